@@ -97,15 +97,15 @@ def classification_metrics(predictions, label="label_id", prediction="prediction
     """One row: accuracy, and precision, recall and F1 weighted by the size of each true class."""
     cells = confusion(predictions, label, prediction)
     # Each cell counts for its true class and for its predicted class; a few rows in all.
+    none = F.lit(0).cast("bigint")
+    right = F.col("label") == F.col("prediction")
+
+    def side(column, true, said):
+        return F.struct(F.col(column).alias("class"), true.alias("true"), said.alias("said"), right.alias("right"))
+
     sides = cells.select(
-        F.explode(
-            F.array(
-                F.struct(F.col("label").alias("class"), F.col("n").alias("true"), F.lit(0).cast("bigint").alias("said")),
-                F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint"), F.col("n")),
-            )
-        ).alias("side"),
-        (F.col("label") == F.col("prediction")).alias("right"),
-    ).select("side.*", "right")
+        F.explode(F.array(side("label", F.col("n"), none), side("prediction", none, F.col("n")))).alias("side")
+    ).select("side.*")
     classes = sides.groupBy("class").agg(
         F.sum("true").alias("support"),
         F.sum("said").alias("said"),

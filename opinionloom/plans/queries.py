@@ -513,7 +513,11 @@ def arrivals(spark, folder):
     schema = table(spark, folder, "events").schema
     stream = live.read_arrivals(spark, f"{folder}/events*.parquet", schema)
     stars = F.floor(F.col("value") % 5).cast("double") + 1
-    return stream.withColumn("sentiment_score", stars).withColumn("sentiment_label", lab.label_of_stars(stars))
+    return (
+        stream.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withColumn("sentiment_score", stars)
+        .withColumn("sentiment_label", lab.label_of_stars(stars))
+    )
 
 
 @query

@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from __spark_entry__ import oracle_sql, queries  # noqa: E402
-from compare import difference, sql_result  # noqa: E402
+from compare import difference, sql_result, type_differences  # noqa: E402
 from pyspark.sql import SparkSession  # noqa: E402
 
 
@@ -25,10 +25,14 @@ def main(folder, names):
             continue
         start = time.time()
         try:
-            found = function(spark, folder).toPandas()
+            result = function(spark, folder)
+            found = result.toPandas()
             took = time.time() - start
             start = time.time()
-            said = difference(found, sql_result(folder, sql[name])) if name in sql else f"no SQL, {len(found)} rows"
+            said = f"no SQL, {len(found)} rows"
+            if name in sql:
+                expected, types = sql_result(folder, sql[name])
+                said = difference(found, expected) or type_differences(result.dtypes, types) or None
             print(f"{name:26} {took:6.2f}s {time.time() - start:6.2f}s {len(found):7d} rows  {said or 'same'}", flush=True)
         except Exception as error:
             print(f"{name:26} FAILED {type(error).__name__}: {str(error)[:700]}", flush=True)

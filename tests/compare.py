@@ -8,12 +8,28 @@ TABLES = (
 ).split()
 
 
+SQL_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP",
+}
+
+
 def sql_result(folder, sql):
+    """Rows of the statement, and its column types."""
     with duckdb.connect() as connection:
         connection.execute("set timezone = 'UTC'")
         for name in TABLES:
             connection.execute(f"create view {name} as select * from '{folder}/{name}.parquet'")
-        return connection.execute(sql).df()
+        types = {row[0]: row[1] for row in connection.execute(f"describe {sql}").fetchall()}
+        return connection.execute(sql).df(), types
+
+
+def type_differences(spark_types, sql_types):
+    """Columns whose types do not correspond."""
+    return {
+        name: (kind, sql_types.get(name))
+        for name, kind in spark_types
+        if SQL_TYPES.get(kind, kind) != sql_types.get(name)
+    }
 
 
 def comparable(frame):
