@@ -12,19 +12,32 @@ from itertools import chain
 from pyspark.sql import functions as F
 
 
+# Alternatives are tried one by one, so long lists are cut into parts behind a test of the first letter.
+ALTERNATIVES = 7
+
+
 def phrase_pattern(phrases):
     """Regular expression for any of the phrases that prefers the longest at a position."""
     by_first = {}
     for phrase in sorted(set(phrases)):
         by_first.setdefault(phrase[:1], []).append(phrase)
     may_end = by_first.pop("", None)
-    options = []
-    for group in by_first.values():
-        stem = os.path.commonprefix(group)
-        options.append(re.escape(stem) + phrase_pattern([phrase[len(stem):] for phrase in group]))
-    if not options:
+    if not by_first:
         return ""
-    return f"(?:{'|'.join(options)})" + ("?" if may_end else "")
+    options = {}
+    for first, group in by_first.items():
+        stem = os.path.commonprefix(group)
+        options[first] = re.escape(stem) + phrase_pattern([phrase[len(stem):] for phrase in group])
+    parts = [list(options)[i:i + ALTERNATIVES] for i in range(0, len(options), ALTERNATIVES)]
+    bodies = ["|".join(options[first] for first in part) for part in parts]
+    if len(parts) > 1:
+        bodies = [f"(?=[{re.escape(''.join(part))}])(?:{body})" for part, body in zip(parts, bodies)]
+    return f"(?:{'|'.join(bodies)})" + ("?" if may_end else "")
+
+
+def bind(value, body):
+    """``body(value)`` with the value computed once, however often the body refers to it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def phrase_hits(text, phrases):
@@ -35,20 +48,30 @@ def phrase_hits(text, phrases):
     return F.array_distinct(F.flatten(expanded))
 
 
+def word_count(text, words, word_class):
+    """How often any of the words stands in the text on its own, ignoring case."""
+    firsts = re.escape("".join(sorted({word[0] for word in words})))
+    alone = f"(?=[{firsts}])(?<![{word_class}]){phrase_pattern(words)}(?![{word_class}])"
+    return F.regexp_count(F.lower(text), F.lit(alone))
+
+
 def best_group(hits, groups, fallback):
     """Group with most of the hit phrases; the earlier group wins a tie, no hit gives the fallback."""
     ranks = {}
     for rank, phrases in enumerate(groups.values()):
         for phrase in phrases:
             ranks.setdefault(phrase, []).append(rank)
+
+    def best_rank(per_hit):
+        scored = F.transform(
+            F.array_distinct(per_hit),
+            lambda rank: F.struct(F.size(F.filter(per_hit, lambda r: r == rank)).alias("hits"), (-rank).alias("order")),
+        )
+        return -F.array_max(scored)["order"]
+
     per_hit = F.flatten(F.transform(hits, lambda p: _literal_map(ranks)[p]))
-    scored = F.transform(
-        F.array_distinct(per_hit),
-        lambda rank: F.struct(F.size(F.filter(per_hit, lambda r: r == rank)).alias("hits"), (-rank).alias("order")),
-    )
-    best = -F.array_max(scored)["order"]
     names = F.array(*[F.lit(name) for name in groups])
-    return F.coalesce(F.get(names, best), F.lit(fallback))
+    return F.coalesce(F.get(names, bind(per_hit, best_rank)), F.lit(fallback))
 
 
 def _literal_map(entries):

@@ -11,27 +11,28 @@ from pyspark.sql import functions as F
 
 from opinionloom.functions import text as txt
 from opinionloom.functions import vocab
+from opinionloom.functions.phrases import bind, word_count
 from opinionloom.functions.vocab import NEGATIVE, NEUTRAL, POSITIVE
 
 SCORE_TYPE = "struct<raw_label: string, confidence: double>"
 
 
 def lexicon_scorer(positive=vocab.POSITIVE_WORDS, negative=vocab.NEGATIVE_WORDS):
-    """Scorer by word lists: the side with more words wins, a tie is neutral.
+    """Scorer by lists of lower-case words: the side with more uses wins, a tie is neutral.
 
     Confidence is the share of the winning side among the listed words found, 0 if none was.
     """
 
-    def score(text):
-        found = F.filter(txt.words(text), lambda word: word.isin(*positive, *negative))
-        return _tally(found)
-
-    def _tally(found):
-        good = F.size(F.filter(found, lambda word: word.isin(*positive)))
-        bad = F.size(found) - good
+    def verdict(found):
+        good, bad = found["good"], found["bad"]
         label = F.when(good > bad, POSITIVE).when(bad > good, NEGATIVE).otherwise(NEUTRAL)
         confidence = F.when(good + bad > 0, F.greatest(good, bad) / (good + bad)).otherwise(F.lit(0.0))
-        return F.when(found.isNotNull(), F.struct(label.alias("raw_label"), confidence.alias("confidence")))
+        return F.when(good.isNotNull(), F.struct(label.alias("raw_label"), confidence.alias("confidence")))
+
+    def score(text):
+        good = word_count(text, positive, txt.WORD).alias("good")
+        bad = word_count(text, negative, txt.WORD).alias("bad")
+        return bind(F.struct(good, bad), verdict)
 
     return score
 

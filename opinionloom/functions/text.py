@@ -1,7 +1,9 @@
 """Text functions: every one maps Columns to a Column and stays inside the JVM.
 
 Letters, digits and white space are Unicode-wide, so the classes are spelled out; the short
-forms ``\\w`` and ``\\s`` mean ASCII only in Java regular expressions.
+forms ``\\w`` and ``\\s`` mean ASCII only in Java regular expressions.  Most characters are
+letters, so a class that excludes letters tests for them first (``\\P{L}&&``); that makes the
+scans about twice as fast.
 """
 
 from pyspark.sql import functions as F
@@ -10,20 +12,24 @@ from opinionloom.functions import vocab
 from opinionloom.functions.phrases import best_group, phrase_hits
 
 # Inside of a character class: word characters, and white space.
-WORD = r"\p{L}\p{N}_"
-SPACE = (
-    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = r"\p{L}[\p{N}_]"
+SPACE = r"\p{IsWhite_Space}\x{1c}-\x{1f}"
+
+# The same white space, character by character.
+SPACE_CHARACTERS = "".join(
+    map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
+              0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
 )
 
 URL = rf"http[^{SPACE}]+|www\.[^{SPACE}]+"
 TAG = r"<[^\n]*?>"
-SYMBOL = rf"[^{WORD},.{SPACE}]+"
-SPACES = rf"[{SPACE}]+"
+SYMBOLS = rf"[\P{{L}}&&[^\p{{N}}_,.{SPACE}]]+"
+SPACES = rf"[\P{{L}}&&[{SPACE}]]+"
 DOTS = r"\.{2,}"
-PUNCTUATION = rf"[^{WORD}{SPACE}]+"
-CLAUSE_END = rf"(?i)(?<![{WORD}])(?:but|however|though)(?![{WORD}])|[.!?]"
-SENTENCE_END = rf"(?<=[.!?])[{SPACE}]+|\n"
+PUNCTUATION = rf"[\P{{L}}&&[^\p{{N}}_{SPACE}]]+"
+NOT_ALNUM = r"[\P{L}&&\P{N}]+"
+CLAUSE_END = rf"[.!?]|(?=[bhtBHT])(?<![{WORD}])(?i:but|however|though)(?![{WORD}])"
+SENTENCE_END = rf"([.!?])[{SPACE}]+"
 
 
 def clean_text(text):
@@ -33,14 +39,14 @@ def clean_text(text):
         text.contains("http") | text.contains("www."), F.regexp_replace(text, URL, "")
     ).otherwise(text)
     no_tags = F.regexp_replace(no_links, TAG, "")
-    words_only = F.regexp_replace(no_tags, SYMBOL, "")
+    words_only = F.regexp_replace(no_tags, SYMBOLS, "")
     squeezed = F.trim(F.regexp_replace(words_only, SPACES, " "))
     return F.coalesce(F.regexp_replace(squeezed, DOTS, "."), F.lit(""))
 
 
 def trim_space(text):
     """Trim white space of any kind from both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def is_meaningless(text, filler=vocab.FILLER_WORDS, min_letters=vocab.MIN_LETTERS,
@@ -54,7 +60,7 @@ def is_meaningless(text, filler=vocab.FILLER_WORDS, min_letters=vocab.MIN_LETTER
         F.size(F.array_except(tokens, F.array(*[F.lit(w) for w in (*filler, "")]))) == 0
     )
     enough_letters = text.rlike(r"\p{L}[^\p{L}]*+" * min_letters)
-    alnum_share = F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]+", "")) / F.length(text)
+    alnum_share = F.length(F.regexp_replace(text, NOT_ALNUM, "")) / F.length(text)
     return F.coalesce(only_filler | ~enough_letters | (alnum_share < min_alnum_share), F.lit(True))
 
 
@@ -76,7 +82,7 @@ def split_clauses(text):
 
 def split_sentences(text):
     """Sentences, with their end marks: cut after [.!?] before white space, and at line ends."""
-    parts = F.transform(F.split(text, SENTENCE_END), trim_space)
+    parts = F.transform(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n"), trim_space)
     return F.filter(parts, lambda sentence: sentence != "")
 
 

@@ -12,9 +12,23 @@ from opinionloom.sources.shared import kept
 from opinionloom.sources.writers import write_markdown, write_results
 
 
-def final_reviews(reviews, translator=None):
-    """Clean, reject, translate and mark repeats."""
-    return mark_repeats(translate_reviews(preprocess_reviews(reviews), translator))
+def final_reviews(reviews, translator=None, keep=True):
+    """Clean, reject, translate and mark repeats.
+
+    Finding repeats reads the cleaned texts twice.  Cleaning them costs far more than writing
+    and reading them, so they are kept as a table in between; ``keep=False`` recomputes instead.
+    """
+    stage = translate_reviews(preprocess_reviews(reviews), translator)
+    if translator is None:
+        # The later columns equal the cleaned one and need no place of their own in the table.
+        stage = stage.drop("translated_review", "final_review")
+    else:
+        stage = stage.drop("final_review")
+    if keep:
+        stage = kept(stage, "cleaned")
+    if translator is None:
+        stage = stage.withColumn("translated_review", F.col("cleaned_review"))
+    return mark_repeats(stage.withColumn("final_review", F.col("translated_review")))
 
 
 def with_known_labels(reviews, known):

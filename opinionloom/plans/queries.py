@@ -45,8 +45,12 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark, folder, *columns):
+    return readers.spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+
+
 def reviews(spark, folder):
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder, "source", "text", "lang").select(
         F.col("doc_id").alias("review_id"), F.col("source").alias("model"),
         F.col("text").alias("original_review"), "lang",
     )
@@ -76,8 +80,7 @@ def absa(spark, folder):
 
 
 def clauses(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return aspects.clause_aspects(documents, "text", "doc_id", word_scorer())
+    return aspects.clause_aspects(documents(spark, folder, "text"), "text", "doc_id", word_scorer())
 
 
 def model_figures(spark, folder, denominator="labelled"):
@@ -94,7 +97,8 @@ def clean_documents(spark, folder):
 
 @query
 def clean_pages(spark, folder):
-    return table(spark, folder, "pages").select("page_id", txt.clean_text(F.col("html")).alias("cleaned"))
+    pages = readers.spread(table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    return pages.select("page_id", txt.clean_text(F.col("html")).alias("cleaned"))
 
 
 @query
@@ -197,14 +201,13 @@ def score_plugged(spark, folder):
 
 @query
 def overall_scores(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    return scoring.score_overall(documents, "text", word_scorer()).drop("text")
+    return scoring.score_overall(documents(spark, folder, "lang", "text"), "text", word_scorer()).drop("text")
 
 
 @query
 def overall_join(spark, folder):
-    documents = table(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), "source", "n_chars")
-    return scoring.attach_scores(documents, known_labels(spark, folder))
+    figures = table(spark, folder, "documents").select(F.col("doc_id").alias("review_id"), "source", "n_chars")
+    return scoring.attach_scores(figures, known_labels(spark, folder))
 
 
 # Aspects
@@ -229,14 +232,13 @@ def absa_sentence_labels(spark, folder):
 @query
 def vocabulary_matches(spark, folder):
     phrases = [phrase for group in vocab.ASPECT_KEYWORDS.values() for phrase in group]
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return aspects.vocabulary_matches(documents, "text", phrases).select("doc_id", "term")
+    return aspects.vocabulary_matches(documents(spark, folder, "text"), "text", phrases).select("doc_id", "term")
 
 
 @query
 def clause_split(spark, folder):
-    documents = table(spark, folder, "documents")
-    return documents.select("doc_id", F.posexplode(txt.split_clauses(F.col("text"))).alias("clause_pos", "clause"))
+    texts = documents(spark, folder, "text")
+    return texts.select("doc_id", F.posexplode(txt.split_clauses(F.col("text"))).alias("clause_pos", "clause"))
 
 
 @query
@@ -251,8 +253,8 @@ def aspect_pivot(spark, folder):
 
 @query
 def insight_lines(spark, folder):
-    documents = table(spark, folder, "documents").select("doc_id", "text")
-    return aspects.insight_lines(aspects.clauses_in_place(documents, "text", "doc_id", word_scorer()))
+    texts = documents(spark, folder, "text")
+    return aspects.insight_lines(aspects.clauses_in_place(texts, "text", "doc_id", word_scorer()))
 
 
 @query
@@ -468,8 +470,8 @@ def csv_reviews(spark, folder):
 def csv_numbered(spark, folder):
     path = shared_folder(spark, "reviews") + ".csv"
     columns = F.col("source").alias("Product"), F.col("text").alias("Review")
-    documents = table(spark, folder, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    writers.write_table(documents.select(*columns), path, "csv")
+    in_order = table(spark, folder, "documents").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    writers.write_table(in_order.select(*columns), path, "csv")
     return readers.load_reviews(spark, path)
 
 

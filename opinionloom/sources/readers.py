@@ -25,6 +25,18 @@ def read_table(spark, path, multiline=True):
     raise ValueError(f"not a .csv or .parquet path: {path}")
 
 
+def spread(rows, key):
+    """The rows over at least as many partitions as the session has slots.
+
+    A file that cannot be split (one row group, or CSV with line ends in fields) is read by one
+    task, and the text work after it would stay there.  A large input has partitions enough and
+    is returned as it is.  The rows are spread by the hash of a unique key, so a later join on
+    that key needs no further shuffle.
+    """
+    slots = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= slots else rows.repartition(slots, key)
+
+
 def missing_to_null(rows, columns=None):
     """NULL for every text that stands for a missing value."""
     return rows.withColumns(
@@ -42,7 +54,7 @@ def load_reviews(spark, path, id_column=None, multiline=True):
     first, second = table.columns[:2]
     picked = [F.col(f"`{first}`").cast("string").alias("model"), F.col(f"`{second}`").cast("string").alias("original_review")]
     if id_column is not None:
-        reviews = table.select(F.col(id_column).cast("bigint").alias("review_id"), *picked)
+        reviews = spread(table.select(F.col(id_column).cast("bigint").alias("review_id"), *picked), "review_id")
     else:
         reviews = numbered(table, picked)
     return missing_to_null(reviews, ["model", "original_review"])

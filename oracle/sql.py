@@ -82,12 +82,15 @@ GOOD = "('the', 'and', 'with', 'pour', 'und', 'los')"
 BAD = "('that', 'from', 'der', 'que', 'les', 'was')"
 
 
+NO_WORD = r"[^\p{L}\p{N}_]"
+
+
 def lexicon(text, rows, keep):
     """Rows with the raw label and confidence of the word lists."""
     return f"""
 counted as (select {keep}, {text} as scored_text,
-   len(list_filter({words(text)}, lambda w: w in {GOOD})) as good,
-   len(list_filter({words(text)}, lambda w: w in {BAD})) as bad from {rows}),
+   len(list_filter(string_split_regex(lower({text}), '{NO_WORD}'), lambda w: w in {GOOD})) as good,
+   len(list_filter(string_split_regex(lower({text}), '{NO_WORD}'), lambda w: w in {BAD})) as bad from {rows}),
 judged as (select * exclude (scored_text, good, bad),
    case when scored_text is null then null when good > bad then 'Positive' when bad > good then 'Negative'
         else 'Neutral' end as raw_label,
