@@ -31,8 +31,6 @@ def main(names):
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        # The tables are small files of heavy text: split them, so that all threads have work.
-        .config("spark.sql.files.maxPartitionBytes", "2m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from opinionloom.functions import labels, vocab
 from opinionloom.functions import text as txt
 from opinionloom.functions.numbers import round_half_even
-from opinionloom.functions.phrases import phrase_hits
+from opinionloom.functions.phrases import bind, phrase_hits
 from opinionloom.functions.scorers import lexicon_scorer
 from opinionloom.functions.vocab import NEGATIVE, NEUTRAL, POSITIVE
 from opinionloom.operators.cleaning import valid_reviews
@@ -20,10 +20,11 @@ def aspect_rows(reviews, terms=vocab.ASPECT_TERMS, splitter=txt.split_sentences,
     sentences = valid_reviews(reviews).select(
         "review_id", "model", "sentiment_label", F.posexplode(splitter(F.col("final_review"))).alias("sent_pos", "text")
     )
-    tagged = sentences.withColumn("_terms", txt.matching_terms(F.col("text"), terms)).where(F.size("_terms") > 0)
+    tagged = sentences.withColumn("_terms", txt.matching_terms(F.col("text"), terms))
     label = F.coalesce(F.col("sentiment_label"), F.lit(NEUTRAL))
     if scorer is not None:
-        tagged = tagged.withColumn("_raw", scorer(F.col("text"))["raw_label"])
+        # A scorer is costly, so it does not get the sentences without any term.
+        tagged = tagged.where(F.size("_terms") > 0).withColumn("_raw", scorer(F.col("text"))["raw_label"])
         in_stars = F.col("_raw").rlike(r"^\p{Nd}+(?: |$)")
         own = F.when(in_stars, labels.label_of_stars(labels.stars_of_raw_label(F.col("_raw"))))
         label = F.coalesce(own, label)
@@ -98,16 +99,18 @@ def clauses_gathered(clauses):
 def insight_lines(gathered):
     """Praise by aspect, then complaints by aspect, as text lines for each review."""
     lines = F.concat(_lines(POSITIVE, vocab.PRAISE_LINE), _lines(NEGATIVE, vocab.COMPLAINT_LINE))
-    lines = F.when(F.size(lines) > 0, lines).otherwise(F.array(F.lit(vocab.NEUTRAL_LINE)))
-    return gathered.select("review_index", F.posexplode(lines).alias("line_no", "line"))
+    neutral = F.array(F.lit(vocab.NEUTRAL_LINE))
+    shown = bind(lines, lambda found: F.when(F.size(found) > 0, found).otherwise(neutral))
+    return gathered.select("review_index", F.posexplode(shown).alias("line_no", "line"))
 
 
 def _lines(sentiment, template):
-    told = F.filter("clauses", lambda c: c["sentiment"] == sentiment)
-    aspects = F.array_sort(F.array_distinct(F.transform(told, lambda c: c["aspect"])))
-
-    def line(aspect):
+    def line(told, aspect):
         about = F.filter(told, lambda c: c["aspect"] == aspect)
         return F.format_string(template, aspect, F.array_join(F.transform(about, lambda c: c["clause"]), "; "))
 
-    return F.transform(aspects, line)
+    def by_aspect(told):
+        aspects = F.array_sort(F.array_distinct(F.transform(told, lambda c: c["aspect"])))
+        return F.transform(aspects, lambda aspect: line(told, aspect))
+
+    return bind(F.filter("clauses", lambda c: c["sentiment"] == sentiment), by_aspect)

@@ -88,10 +88,12 @@ def nearest_in_group(vectors, probes, group, k, vector_id="vec_id"):
     ``probes`` has one row per group with the columns ``group`` and ``probe``; every vector is
     compared with one probe only.
     """
-    compared = vectors.join(probes, group).withColumn("similarity", cosine(F.col("embedding"), F.col("probe")))
-    compared = compared.where(F.col("similarity").isNotNull()).select(group, vector_id, "similarity")
-    order = [F.desc("similarity"), F.asc(vector_id)]
-    return first_n_per_group(compared, [group], order, k, spread_by=vector_id)
+    similarity = cosine(F.col("embedding"), F.col("probe")).alias("similarity")
+    compared = vectors.join(probes, group).select(group, vector_id, similarity)
+    order = [F.desc_nulls_last("similarity"), F.asc(vector_id)]
+    nearest = first_n_per_group(compared, [group], order, k, spread_by=vector_id)
+    # A test before the cut would compute every similarity twice; NULLs rank last anyway.
+    return nearest.where(F.col("similarity").isNotNull())
 
 
 def search_vectors(vectors, queries, k, vector_id="vec_id"):

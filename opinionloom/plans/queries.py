@@ -25,7 +25,7 @@ from opinionloom.operators import (
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
 from opinionloom.sources import readers, writers
-from opinionloom.sources.shared import shared_folder
+from opinionloom.sources.shared import kept, shared_folder
 from opinionloom.streaming import live
 
 QUERIES = {}
@@ -84,7 +84,9 @@ def clauses(spark, folder):
 
 
 def model_figures(spark, folder, denominator="labelled"):
-    return stats.model_stats(scored(spark, folder), denominator)
+    # Read twice, for the counts and for the keywords.
+    columns = "review_id", "model", "final_review", "sentiment_score", "sentiment_label"
+    return stats.model_stats(kept(scored(spark, folder).select(*columns), "scored"), denominator)
 
 
 # Cleaning
@@ -415,13 +417,15 @@ def classifier_metrics(spark, folder):
 
 @query
 def train_classifier(spark, folder):
-    _, metrics = training.train_classifier(training.training_set(absa(spark, folder)), dimensions=2**12, iterations=10)
+    rows = kept(absa(spark, folder), "aspects")
+    _, metrics = training.train_classifier(training.training_set(rows), dimensions=2**12, iterations=10)
     return metrics
 
 
 @query
 def embed_reviews(spark, folder):
-    return vectors.embed_reviews(scored(spark, folder))
+    # Read twice, to fit the word weights and to apply them.
+    return vectors.embed_reviews(kept(scored(spark, folder), "scored"))
 
 
 @query
@@ -500,12 +504,12 @@ def stored_results(spark, folder):
 
 @query
 def retrained_stats(spark, folder):
-    first = scored(spark, folder)
+    first = kept(scored(spark, folder), "scored")
     classifier, _ = training.train_classifier(
         training.training_set(aspects.aspect_rows(first, TERMS)), dimensions=2**12, penalties=(0.01,), iterations=10
     )
     rescored = classifier.score_reviews(first.drop("sentiment_score", "sentiment_label"))
-    return stats.model_stats(rescored).drop("first_review")
+    return stats.model_stats(kept(rescored, "rescored")).drop("first_review")
 
 
 # Streams

@@ -26,15 +26,15 @@ def read_table(spark, path, multiline=True):
 
 
 def spread(rows, key):
-    """The rows over at least as many partitions as the session has slots.
+    """The rows of a small scan, spread over all slots of the session.
 
     A file that cannot be split (one row group, or CSV with line ends in fields) is read by one
-    task, and the text work after it would stay there.  A large input has partitions enough and
-    is returned as it is.  The rows are spread by the hash of a unique key, so a later join on
-    that key needs no further shuffle.
+    task, and the text work after it would stay there.  The scan of a large input has far more
+    partitions than there are slots and is returned as it is.  The rows are spread by the hash of
+    a unique key, so a later join on that key needs no further shuffle.
     """
     slots = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= slots else rows.repartition(slots, key)
+    return rows if rows.rdd.getNumPartitions() > 2 * slots else rows.repartition(slots, key)
 
 
 def missing_to_null(rows, columns=None):

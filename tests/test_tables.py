@@ -1,0 +1,221 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from opinionloom.functions.scorers import lexicon_scorer
+from opinionloom.operators import training, vectors
+from opinionloom.operators.upsert import find_one, upsert
+from opinionloom.plans import job
+from opinionloom.sources import readers, writers
+from opinionloom.sources.shared import kept, shared_folder
+from opinionloom.streaming import live
+
+
+def rows_of(table, *order):
+    return [tuple(r) for r in table.orderBy(*order).collect()]
+
+
+def test_upsert(spark):
+    stored = spark.createDataFrame([(1, "a", "old"), (2, "b", "old"), (None, "c", "old")], "k int, note string, state string")
+    news = spark.createDataFrame(
+        [(2, "new", 1, 1.5), (3, "late", 2, 2.0), (3, "early", 1, 9.0), (None, None, 1, 0.5)],
+        "k int, state string, at int, score double",
+    )
+    merged = upsert(stored, news, ["k"], order="at").select("k", "note", "state", "score")
+    assert rows_of(merged, F.asc_nulls_last("k")) == [
+        (1, "a", "old", None), (2, "b", "new", 1.5), (3, None, "late", 2.0), (None, "c", None, 0.5),
+    ]
+    assert find_one(merged, "k", 2).count() == 1
+
+
+CSV = 'Product,Review,Extra\nA,"line one\nline ""two""",1\nB,NA,2\n,text,3\nC,"  spaced, text ",4\nD,,5\n'
+
+
+def test_load_reviews_from_csv(spark, tmp_path):
+    path = tmp_path / "reviews.csv"
+    path.write_text(CSV)
+    expected = [
+        (0, "A", 'line one\nline "two"'), (1, "B", None), (2, None, "text"), (3, "C", "  spaced, text "), (4, "D", None),
+    ]
+    assert rows_of(readers.load_reviews(spark, str(path)), "review_id") == expected
+    with pytest.raises(ValueError):
+        readers.load_reviews(spark, str(tmp_path / "reviews.xlsx"))
+
+
+def test_rows_are_numbered_in_file_order(spark, tmp_path):
+    for part, size in enumerate((3, 2000, 1, 700)):
+        lines = [f"m{part},review {part} {i}" for i in range(size)]
+        (tmp_path / f"part-{part}.csv").write_text("Product,Review\n" + "\n".join(lines) + "\n")
+    (tmp_path / "all.csv").mkdir()
+    for part in range(4):
+        (tmp_path / f"part-{part}.csv").rename(tmp_path / "all.csv" / f"part-{part}.csv")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10k")
+    try:
+        for multiline in (True, False):
+            reviews = readers.load_reviews(spark, str(tmp_path / "all.csv"), multiline=multiline)
+            found = rows_of(reviews, "review_id")
+            assert [r[0] for r in found] == list(range(2704))
+            assert [r[2] for r in found] == [f"review {p} {i}" for p, n in enumerate((3, 2000, 1, 700)) for i in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_uploaded_table_keeps_its_columns(spark, tmp_path):
+    path = tmp_path / "up.csv"
+    path.write_text("id,My Text\n7,great\n8,\n")
+    uploaded = readers.load_uploaded(spark, str(path), "My Text")
+    assert rows_of(uploaded.select("review_id", "id", "text", "My Text"), "review_id") == [
+        (0, "7", "great", "great"), (1, "8", None, None),
+    ]
+
+
+def test_missing_aspect_table_is_empty(spark, tmp_path):
+    empty = readers.load_aspects(spark, str(tmp_path / "nothing.csv"))
+    assert empty.isEmpty() and "aspect" in empty.columns
+
+
+def test_shared_folder_follows_the_session(spark):
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    path = shared_folder(spark, "x")
+    assert path != shared_folder(spark, "x")
+    if base:
+        assert path.startswith(base.rstrip("/") + "/x-")
+    assert kept(spark.range(3)).count() == 3
+
+
+def reviews(spark):
+    texts = [
+        ("A", "Great camera. I love the battery!"), ("A", "great CAMERA. I love the battery"), ("B", "Bad price, poor sound"),
+        ("B", "ok"), ("A", "The display is bad"), ("C", None),
+    ]
+    return spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "review_id bigint, model string, original_review string")
+
+
+@pytest.mark.parametrize("format", ["csv", "parquet"])
+def test_run_writes_and_reads_back(spark, tmp_path, format):
+    done = job.run(reviews(spark), lexicon_scorer())
+    paths = done.write(str(tmp_path), format)
+    scored, aspects = readers.load_scored(spark, paths["sentiment_output"], paths["absa_training_dataset"])
+    assert {r["review_id"]: r["sentiment_label"] for r in scored.selectExpr("int(review_id) review_id", "sentiment_label").collect()} == {
+        0: "Positive", 1: None, 2: "Negative", 3: None, 4: "Negative", 5: None,
+    }
+    assert sorted(r["aspect"] for r in aspects.collect()) == ["battery", "camera", "display", "price", "sound"]
+    report = "".join(p.read_text() for p in sorted((tmp_path / "manufacturer_recommendations.md").glob("part-*")))
+    assert report.startswith("# Manufacturer Feedback Report\n\n## Model: A\n6.1 Summary\n")
+    assert [line for line in report.splitlines() if line.startswith("## ")] == ["## Model: A", "## Model: B", "## Model: C"]
+    stats, feedback = done.preview(2)
+    assert [r["model"] for r in stats.collect()] == ["A", "B"] and feedback.count() == 2
+
+
+def test_no_aspect_table_without_aspects(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A", "nothing to see")], "review_id bigint, model string, original_review string")
+    paths = job.run(rows).write(str(tmp_path))
+    assert "absa_training_dataset" not in paths
+
+
+def test_unknown_format(spark, tmp_path):
+    with pytest.raises(ValueError):
+        writers.write_table(spark.range(1), str(tmp_path / "x"), "xlsx")
+
+
+def test_metrics(spark):
+    pairs = [(0, 0)] * 5 + [(0, 1)] * 2 + [(1, 1)] * 3 + [(1, 2)] + [(2, 0)] * 4
+    found = training.classification_metrics(spark.createDataFrame(pairs, "label_id int, prediction int")).first()
+    weights = {0: 7 / 15, 1: 4 / 15, 2: 4 / 15}
+    precision, recall = {0: 5 / 9, 1: 3 / 5, 2: 0.0}, {0: 5 / 7, 1: 3 / 4, 2: 0.0}
+    f1 = {k: 2 * precision[k] * recall[k] / (precision[k] + recall[k]) if precision[k] else 0.0 for k in weights}
+    assert found["accuracy"] == pytest.approx(8 / 15)
+    for name, values in (("precision", precision), ("recall", recall), ("f1", f1)):
+        assert found[name] == pytest.approx(sum(weights[k] * values[k] for k in weights))
+
+
+def test_training_learns_and_rescoring_works(spark):
+    words = {"Positive": "great lovely", "Negative": "broken awful", "Neutral": "plain usual"}
+    rows = spark.createDataFrame(
+        [(f"{words[label]} thing {i % 7}", "battery", label, "m", i, 0, 0) for i in range(300) for label in [list(words)[i % 3]]],
+        "text string, aspect string, label string, model_name string, review_id bigint, sent_pos int, aspect_ord int",
+    )
+    split = training.training_set(rows)
+    shares = {r["split"]: r["count"] for r in split.groupBy("split").count().collect()}
+    assert 30 <= shares["validation"] <= 90
+    classifier, metrics = training.train_classifier(split, dimensions=2**10, penalties=(0.0, 0.1), iterations=10)
+    assert metrics.first()["f1"] == 1.0
+    again = spark.createDataFrame([(1, "awful broken"), (2, "lovely"), (3, None), (4, "")], "review_id bigint, final_review string")
+    labels = {r["review_id"]: r["sentiment_label"] for r in classifier.score_reviews(again).collect()}
+    assert labels == {1: "Negative", 2: "Positive", 3: None, 4: None}
+
+
+def stored_vectors(spark):
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(400, 8))
+    data[17] = data[5]
+    data[30] = 0
+    rows = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(data)]
+    return data, spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").repartition(5)
+
+
+def brute_force(data, query, ids, k):
+    query = np.asarray(query, dtype=np.float64)
+    stored = data.astype(np.float32).astype(np.float64)
+    alike = {i: stored[i] @ query / np.linalg.norm(stored[i]) / np.linalg.norm(query) for i in ids if np.linalg.norm(stored[i])}
+    return [i for i, _ in sorted(alike.items(), key=lambda item: (-round(item[1], 12), item[0]))[:k]]
+
+
+def test_vector_search_is_exact(spark):
+    data, table = stored_vectors(spark)
+    queries = [data[5].astype(np.float32).astype(float).tolist(), [1.0] + [0.0] * 7]
+    found = vectors.search_vectors(table, queries, 6).orderBy("query_id", "rank").collect()
+    for q, query in enumerate(queries):
+        assert [r["vec_id"] for r in found if r["query_id"] == q] == brute_force(data, query, range(400), 6)
+    probes = table.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("probe"))
+    near = vectors.nearest_in_group(table, probes, "label", 4).orderBy("label", "rank").collect()
+    for label in range(3):
+        probe = data[label].astype(np.float32).astype(float)
+        assert [r["vec_id"] for r in near if r["label"] == label] == brute_force(data, probe, range(label, 400, 3), 4)
+
+
+def test_embeddings(spark):
+    rows = spark.createDataFrame(
+        [(1, "m", "good phone good", 5.0, "Positive"), (2, None, "bad screen", None, None), (3, "m", " ", None, None), (4, "m", None, None, None)],
+        "review_id bigint, model string, final_review string, sentiment_score double, sentiment_label string",
+    )
+    found = {r["original_index"]: r for r in vectors.embed_reviews(rows, dimensions=32).collect()}
+    assert set(found) == {1, 2}
+    assert len(found[1]["embedding"]) == 32 and np.linalg.norm(found[1]["embedding"]) == pytest.approx(1)
+    assert (found[2]["model"], found[2]["sentiment_label"], found[2]["sentiment_score"]) == ("Unknown", "Neutral", 0.0)
+
+    def load_model():
+        def embed(texts):
+            if any("bad" in t for t in texts):
+                raise RuntimeError("no answer")
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    kept_rows = vectors.embed_reviews(rows, vectors.batch_embedder(load_model, batch_size=1, on_error="skip")).collect()
+    assert [(r["original_index"], r["embedding"]) for r in kept_rows] == [(1, [15.0, 1.0])]
+    with pytest.raises(Exception, match="no answer"):
+        vectors.embed_reviews(rows, vectors.batch_embedder(load_model)).collect()
+
+
+def test_streams_in_several_batches(spark, tmp_path):
+    source = tmp_path / "in"
+    for day in range(3):
+        rows = [(f"2024-01-0{day + 1} 10:0{i}:00", f"u{i}", day * 10 + i, "Positive" if i else "Negative", 5.0 if i else 1.0) for i in range(3)]
+        frame = spark.createDataFrame(rows, "ts string, user string, n int, sentiment_label string, sentiment_score double")
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(source))
+    schema = spark.read.parquet(str(source)).schema
+    arrivals = live.read_arrivals(spark, str(source), schema, files_per_trigger=1)
+
+    table = live.drain_to_keyed_table(arrivals.select("user", "n"), str(tmp_path / "t"), ["user"], str(tmp_path / "c1"), "n")
+    assert rows_of(spark.read.parquet(table).select("user", "n"), "user") == [("u0", 20), ("u1", 21), ("u2", 22)]
+
+    live.drain_to_parquet(live.live_kpi(arrivals), str(tmp_path / "kpi"), str(tmp_path / "c2"))
+    kpi = spark.read.parquet(str(tmp_path / "kpi")).orderBy("window_start").collect()
+    # The last day is still open when the input ends.
+    assert [(r["total_reviews"], round(r["positive_pct"], 2)) for r in kpi] == [(3, 66.67), (3, 66.67)]
+
+    first = live.first_arrivals(arrivals, ["user"], delay="10 days").select("user")
+    live.drain_to_parquet(first, str(tmp_path / "first"), str(tmp_path / "c3"))
+    assert rows_of(spark.read.parquet(str(tmp_path / "first")), "user") == [("u0",), ("u1",), ("u2",)]
