@@ -60,6 +60,11 @@ def clause_aspects(reviews, text="text", review_id="review_id", scorer=None, key
     )
 
 
+def first_clauses(clauses, n=100):
+    """The first ``n`` clause rows, in reading order."""
+    return clauses.orderBy("review_index", "clause_pos").limit(n)
+
+
 def aspect_pivot(clauses):
     """Clauses per aspect and sentiment, and their percentages with one decimal."""
     counts = clauses.groupBy("aspect").agg(

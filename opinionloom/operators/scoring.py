@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from opinionloom.functions import labels
 from opinionloom.functions.scorers import lexicon_scorer
+from opinionloom.functions.text import trim_space
 
 
 def score_reviews(reviews, scorer=None, text="final_review"):
@@ -22,7 +23,7 @@ def score_reviews(reviews, scorer=None, text="final_review"):
 def score_overall(rows, text, scorer=None):
     """Add the classifier's verdict on each whole text; blank and missing texts get NULLs."""
     scorer = scorer or lexicon_scorer()
-    given = F.when(F.trim(F.col(text)) != "", F.col(text))
+    given = F.when(trim_space(F.col(text)) != "", F.col(text))
     scored = rows.withColumn("_score", scorer(given))
     raw = F.col("_score")["raw_label"]
     return scored.select(

@@ -48,7 +48,7 @@ def embed_reviews(reviews, embedder=None, dimensions=256):
 
     Without an ``embedder`` the vector is the hashed, IDF-weighted word count, scaled to length 1.
     """
-    given = reviews.where(F.length(F.trim("final_review")) > 0)
+    given = reviews.where(txt.trim_space(F.col("final_review")) != "")
     if embedder is None:
         words = given.withColumn("_words", F.filter(txt.words(F.col("final_review")), lambda w: w != ""))
         stages = [
@@ -96,38 +96,52 @@ def nearest_in_group(vectors, probes, group, k, vector_id="vec_id"):
     return nearest.where(F.col("similarity").isNotNull())
 
 
+# Query vectors compared at a time: bounds the memory of a task.
+QUERIES_AT_ONCE = 256
+
+
 def search_vectors(vectors, queries, k, vector_id="vec_id"):
     """The ``k`` stored vectors most similar to each query vector.
 
     ``queries`` is a list of vectors given by the caller, like a search request.  Each task
-    multiplies its blocks of stored vectors with all queries and keeps only the best ``k`` per
+    multiplies its blocks of stored vectors with the queries and keeps only the best ``k`` per
     query; those few rows are then ranked over all tasks.
     """
     asked = np.asarray(queries, dtype=np.float64)
     asked = asked / np.linalg.norm(asked, axis=1, keepdims=True)
-    columns = ["query_id", vector_id, "similarity"]
 
     def best_of_task(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = pd.DataFrame({c: [] for c in columns})
+        best = {}
         for block in blocks:
             block = block[block["embedding"].notna()]
             if block.empty:
                 continue
             stored = np.stack(block["embedding"].to_numpy()).astype(np.float64)
             lengths = np.linalg.norm(stored, axis=1)
-            alike = (stored[lengths > 0] / lengths[lengths > 0, None]) @ asked.T
             ids = block[vector_id].to_numpy()[lengths > 0]
-            found = [best] if len(best) else []
-            found += [
-                pd.DataFrame({"query_id": q, vector_id: ids, "similarity": alike[:, q]}) for q in range(len(asked))
-            ]
-            ranked = pd.concat(found).sort_values(["query_id", "similarity", vector_id], ascending=[True, False, True])
-            best = ranked.groupby("query_id", sort=False).head(k)
-        if len(best):
-            yield best[columns]
+            stored = stored[lengths > 0] / lengths[lengths > 0, None]
+            for start in range(0, len(asked), QUERIES_AT_ONCE):
+                alike = stored @ asked[start:start + QUERIES_AT_ONCE].T
+                for offset in range(alike.shape[1]):
+                    before = best.get(start + offset, (ids[:0], alike[:0, 0]))
+                    best[start + offset] = _best(
+                        np.concatenate([before[0], ids]), np.concatenate([before[1], alike[:, offset]]), k
+                    )
+        for query, (found, similarity) in best.items():
+            yield pd.DataFrame({"query_id": query, vector_id: found, "similarity": similarity})
 
     id_type = vectors.schema[vector_id].dataType.simpleString()
     partial = vectors.select(vector_id, "embedding").mapInPandas(
         best_of_task, f"query_id int, {vector_id} {id_type}, similarity double"
     )
-    return first_n_per_group(partial, ["query_id"], [F.desc("similarity"), F.asc(vector_id)], k)
+    order = [F.desc("similarity"), F.asc(vector_id)]
+    return first_n_per_group(partial, ["query_id"], order, k, spread_by=vector_id)
+
+
+def _best(ids, similarity, k):
+    """The ``k`` highest similarities, the smaller id first among equals."""
+    if len(ids) > k:
+        bound = np.partition(similarity, len(ids) - k)[len(ids) - k]
+        ids, similarity = ids[similarity >= bound], similarity[similarity >= bound]
+    first = np.lexsort((ids, -similarity))[:k]
+    return ids[first], similarity[first]

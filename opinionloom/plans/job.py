@@ -86,6 +86,6 @@ def run_twice(reviews, scorer=None, translator=None, denominator="labelled", **t
     first = run(reviews, scorer, translator, denominator)
     if first.aspects.isEmpty():
         return first, None, None
-    classifier, metrics = train_classifier(training_set(first.aspects), **training)
+    classifier, metrics = train_classifier(kept(training_set(first.aspects), "training"), **training)
     unscored = first.scored.drop("sentiment_score", "sentiment_label")
     return Run(kept(classifier.score_reviews(unscored)), denominator), classifier, metrics

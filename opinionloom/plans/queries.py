@@ -24,7 +24,7 @@ from opinionloom.operators import (
 )
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
-from opinionloom.sources import readers, writers
+from opinionloom.sources import keyed, readers, writers
 from opinionloom.sources.shared import kept, shared_folder
 from opinionloom.streaming import live
 
@@ -253,6 +253,11 @@ def aspect_pivot(spark, folder):
     return aspects.aspect_pivot(clauses(spark, folder))
 
 
+@query
+def clause_preview(spark, folder):
+    return aspects.first_clauses(clauses(spark, folder).drop("review_text"))
+
+
 @query
 def insight_lines(spark, folder):
     texts = documents(spark, folder, "text")
@@ -412,7 +417,8 @@ def training_split(spark, folder):
 def classifier_metrics(spark, folder):
     rows = training.training_set(absa(spark, folder))
     said = lab.label_id(word_scorer()(F.col("text"))["raw_label"])
-    return training.classification_metrics(rows.withColumn("prediction", said))
+    metrics = training.classification_metrics(rows.withColumn("prediction", said))
+    return metrics.select(*[F.round(c, 10).alias(c) for c in metrics.columns])
 
 
 @query
@@ -459,6 +465,15 @@ def upsert_vectors(spark, folder):
     return upsert(stored, arrived, ["original_index", "model"])
 
 
+@query
+def keyed_embeddings(spark, folder):
+    path = shared_folder(spark, "vectors")
+    rows = table(spark, folder, "embeddings").select("vec_id", "label", F.size("embedding").alias("dimensions"))
+    keyed.upsert_keyed(rows.withColumn("round", F.lit(1)), path, ["vec_id"])
+    keyed.upsert_keyed(rows.select((F.col("vec_id") + 100).alias("vec_id"), F.lit(2).alias("round")), path, ["vec_id"])
+    return keyed.read_keyed(spark, path)
+
+
 # Files
 
 
@@ -545,7 +560,7 @@ def stream_dedupe(spark, folder):
 def stream_upsert(spark, folder):
     path, checkpoint = shared_folder(spark, "users"), shared_folder(spark, "users-progress")
     columns = "user_id", "event_type", "event_id", "sentiment_label"
-    last = live.drain_to_keyed_table(
+    live.drain_to_keyed_table(
         arrivals(spark, folder).select(*columns), path, ["user_id", "event_type"], checkpoint, "event_id"
     )
-    return spark.read.parquet(last)
+    return keyed.read_keyed(spark, path)

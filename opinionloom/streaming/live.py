@@ -3,8 +3,7 @@
 from pyspark.sql import functions as F
 
 from opinionloom.functions.vocab import NEGATIVE, POSITIVE
-from opinionloom.operators.upsert import upsert
-from opinionloom.sources.readers import path_exists
+from opinionloom.sources.keyed import upsert_keyed
 
 
 def read_arrivals(spark, path, schema, files_per_trigger=None):
@@ -47,26 +46,17 @@ def drain_to_parquet(stream, path, checkpoint):
 
 
 def drain_to_keyed_table(stream, path, keys, checkpoint, order):
-    """Upsert every micro-batch into a keyed table, then stop; returns the path of its last version.
+    """Upsert every micro-batch into the keyed table at ``path``, then stop.
 
-    Each batch writes a whole new version named after its number, so a batch that runs again after
-    a failure replaces its own output and nothing else.
+    A batch writes the version of its own number, so a batch that runs again after a failure
+    replaces its own output and nothing else.
     """
-    newest = {}
 
     def merge(batch, number):
-        previous = f"{path}/version={number - 1}"
-        target = f"{path}/version={number}"
-        if path_exists(batch.sparkSession, previous):
-            merged = upsert(batch.sparkSession.read.parquet(previous), batch, keys, order)
-        else:
-            merged = upsert(batch.limit(0), batch, keys, order)
-        merged.write.mode("overwrite").parquet(target)
-        newest["path"] = target
+        upsert_keyed(batch, path, keys, order, version=number)
 
     query = (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return newest.get("path")

@@ -157,7 +157,7 @@ select *, {star_label('sentiment_score')} as sentiment_label from s"""
 
 
 def overall(text, rows, keep):
-    return f"""{lexicon(f"case when trim({text}) <> '' then {text} end", rows, keep)}
+    return f"""{lexicon(f"case when {strip(text)} <> '' then {text} end", rows, keep)}
 select * exclude (raw_label, confidence), raw_label as overall_raw, {display('raw_label')} as overall_sentiment,
   round_even(confidence, 4)::double as overall_confidence from judged"""
 
@@ -242,6 +242,7 @@ best as (select *, {ASPECT_OF_CLAUSE} as b from judged),
 clause_aspects as (select doc_id as review_index, clause_pos, clause, case when b.h > 0 then b.a else 'Other' end as aspect,
    {display('raw_label')} as sentiment, raw_label, round_even(confidence, 4)::double as confidence from best)"""
 ORACLE["clause_aspects"] = f"with {CLAUSE_ASPECTS} select * from clause_aspects"
+ORACLE["clause_preview"] = f"""with {CLAUSE_ASPECTS} select * from clause_aspects order by review_index, clause_pos limit 100"""
 ORACLE["aspect_pivot"] = f"""with {CLAUSE_ASPECTS},
 n as (select aspect, count(*) filter (where sentiment = 'Positive') as "Positive",
    count(*) filter (where sentiment = 'Neutral') as "Neutral", count(*) filter (where sentiment = 'Negative') as "Negative",
@@ -420,8 +421,8 @@ per_class as (select k, (select count(*) from p where l = k) as support, (select
    (select count(*) from p where l = k and m = k) as hits from (select unnest([0, 1, 2]) as k)),
 r as (select *, case when said > 0 then hits / said else 0 end as pr, case when support > 0 then hits / support else 0 end as re from per_class),
 f as (select *, case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end as f1 from r)
-select sum(hits) / sum(support) as accuracy, sum(f1 * support) / sum(support) as f1,
-   sum(pr * support) / sum(support) as precision, sum(re * support) / sum(support) as recall from f"""
+select round(sum(hits) / sum(support), 10) as accuracy, round(sum(f1 * support) / sum(support), 10) as f1,
+   round(sum(pr * support) / sum(support), 10) as precision, round(sum(re * support) / sum(support), 10) as recall from f"""
 ORACLE["vector_topk"] = """with probes as (select label, arg_min(embedding, vec_id) as probe from embeddings group by label),
 s as (select e.label, vec_id, list_cosine_similarity(embedding::double[], probe::double[]) as sim from embeddings e join probes using (label)),
 r as (select *, row_number() over (partition by label order by sim desc, vec_id)::int as rank from s)
@@ -438,6 +439,9 @@ s as (select 'label' || label as model, vec_id as original_index from embeddings
 select model, original_index, case when dimensions is null then 'stored' else 'arrived' end as state, dimensions
 from s full join a using (model, original_index)"""
 
+ORACLE["keyed_embeddings"] = """select coalesce(a.vec_id, b.vec_id + 100) as vec_id, label, len(embedding)::int as dimensions,
+  case when b.vec_id is null then 1 else 2 end as round from embeddings a full join (select vec_id from embeddings) b on a.vec_id = b.vec_id + 100"""
+
 # Files
 
 NA = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"

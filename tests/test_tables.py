@@ -7,6 +7,7 @@ from opinionloom.operators import training, vectors
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
 from opinionloom.sources import readers, writers
+from opinionloom.sources.keyed import newest_version, read_keyed, upsert_keyed
 from opinionloom.sources.shared import kept, shared_folder
 from opinionloom.streaming import live
 
@@ -31,6 +32,20 @@ def test_upsert(spark):
 CSV = 'Product,Review,Extra\nA,"line one\nline ""two""",1\nB,NA,2\n,text,3\nC,"  spaced, text ",4\nD,,5\n'
 
 
+def test_keyed_table(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    with pytest.raises(FileNotFoundError):
+        read_keyed(spark, path)
+    assert upsert_keyed(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"]) == 0
+    assert upsert_keyed(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, ["k"]) == 1
+    assert rows_of(read_keyed(spark, path), "k") == [(1, "a"), (2, "c"), (3, "d")]
+    # Writing a version again replaces it; a version without its mark does not count.
+    assert upsert_keyed(spark.createDataFrame([(2, "e")], "k int, v string"), path, ["k"], version=1) == 1
+    assert rows_of(read_keyed(spark, path), "k") == [(1, "a"), (2, "e")]
+    (tmp_path / "keyed" / "version=2").mkdir()
+    assert newest_version(spark, path) == 1
+
+
 def test_load_reviews_from_csv(spark, tmp_path):
     path = tmp_path / "reviews.csv"
     path.write_text(CSV)
@@ -108,6 +123,21 @@ def test_run_writes_and_reads_back(spark, tmp_path, format):
     assert [r["model"] for r in stats.collect()] == ["A", "B"] and feedback.count() == 2
 
 
+def test_run_twice(spark):
+    texts = ["The battery is great", "The battery is bad", "The camera is usual"]
+    rows = spark.range(90).select(
+        F.col("id").alias("review_id"), F.concat(F.lit("m"), F.col("id") % 2).alias("model"),
+        F.concat(F.element_at(F.array(*[F.lit(t) for t in texts]), (F.col("id") % 3 + 1).cast("int")), F.lit(" no "), "id")
+        .alias("original_review"),
+    )
+    again, _, metrics = job.run_twice(rows, dimensions=2**10, penalties=(0.01,), iterations=10)
+    assert metrics.first()["accuracy"] == 1.0
+    assert {r["sentiment_label"]: r["n"] for r in again.scored.groupBy("sentiment_label").agg(F.count("*").alias("n")).collect()} == {
+        "Positive": 30, "Negative": 30, "Neutral": 30,
+    }
+    assert job.run_twice(rows.limit(0))[1] is None
+
+
 def test_no_aspect_table_without_aspects(spark, tmp_path):
     rows = spark.createDataFrame([(1, "A", "nothing to see")], "review_id bigint, model string, original_review string")
     paths = job.run(rows).write(str(tmp_path))
@@ -208,8 +238,8 @@ def test_streams_in_several_batches(spark, tmp_path):
     schema = spark.read.parquet(str(source)).schema
     arrivals = live.read_arrivals(spark, str(source), schema, files_per_trigger=1)
 
-    table = live.drain_to_keyed_table(arrivals.select("user", "n"), str(tmp_path / "t"), ["user"], str(tmp_path / "c1"), "n")
-    assert rows_of(spark.read.parquet(table).select("user", "n"), "user") == [("u0", 20), ("u1", 21), ("u2", 22)]
+    live.drain_to_keyed_table(arrivals.select("user", "n"), str(tmp_path / "t"), ["user"], str(tmp_path / "c1"), "n")
+    assert rows_of(read_keyed(spark, str(tmp_path / "t")).select("user", "n"), "user") == [("u0", 20), ("u1", 21), ("u2", 22)]
 
     live.drain_to_parquet(live.live_kpi(arrivals), str(tmp_path / "kpi"), str(tmp_path / "c2"))
     kpi = spark.read.parquet(str(tmp_path / "kpi")).orderBy("window_start").collect()
