@@ -9,9 +9,8 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
-
 from opinionloom.plans.queries import QUERIES
+from opinionloom.plans.session import build_session
 
 HEADLINES = (
     "clean_documents", "reject_meaningless", "dedupe_per_model", "score_lexicon", "score_plugged", "absa_rows",
@@ -24,14 +23,13 @@ HEADLINES = (
 def main(names):
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]").appName("bench")
-        .config("spark.sql.shuffle.partitions", cpus)
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
+    spark = build_session(
+        "bench",
+        spark__master=f"local[{cpus}]",
+        spark__sql__shuffle__partitions=cpus,
+        spark__driver__memory="16g",
+        spark__ui__enabled="false",
+        spark__ui__showConsoleProgress="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{folder}/documents.parquet").selectExpr("sum(length(text))").collect()

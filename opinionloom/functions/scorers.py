@@ -69,20 +69,31 @@ def batch_scorer(load_model, batch_size=32, on_error="raise"):
     return score
 
 
-def batch_translator(load_model):
+def batch_translator(load_model, batch_size=32, on_error="raise"):
     """Translator around a batch model; ``load_model()`` gives a function list → list.
 
     NULL texts are not passed on, and a text that comes back as None counts as not translated.
+    With ``on_error='keep'`` the texts of a failing batch stay as they were.
     """
+    if on_error not in ("raise", "keep"):
+        raise ValueError("on_error is 'raise' or 'keep'")
+
+    def translate_batch(model, texts):
+        try:
+            return list(model(texts))
+        except Exception:
+            if on_error == "raise":
+                raise
+            return [None] * len(texts)
 
     @F.pandas_udf("string")
     def translate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model()
         for texts in batches:
             given = texts[texts.notna()]
-            out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
-            if len(given):
-                out.loc[given.index] = list(model(given.tolist()))
-            yield out
+            translated = []
+            for start in range(0, len(given), batch_size):
+                translated.extend(translate_batch(model, given.iloc[start:start + batch_size].tolist()))
+            yield pd.Series(translated, index=given.index, dtype=object).reindex(texts.index)
 
     return translate

@@ -50,14 +50,14 @@ def label_by_model(reviews):
 
 def aspect_crosstab(aspects, top=8):
     """Percentage of each label within the ``top`` most frequent aspects (ties by name)."""
-    labelled = aspects.where(F.col("label").isNotNull())
-    counts = labelled.groupBy("aspect").agg(
-        F.count("*").alias("total"),
+    counts = aspects.groupBy("aspect").agg(
+        F.count("*").alias("n"),
+        F.count("label").alias("total"),
         *[F.count_if(F.col("label") == name).alias(name) for name in (NEGATIVE, NEUTRAL, POSITIVE)],
     )
     # One aggregate gives both the shares and the ranking, so the list of frequent aspects
     # needs no second pass and no join.
-    frequent = counts.orderBy(F.desc("total"), "aspect").limit(top)
+    frequent = counts.orderBy(F.desc("n"), "aspect").limit(top).where(F.col("total") > 0)
     return frequent.select(
         "aspect", *[(F.col(name) / F.col("total") * 100).alias(name) for name in (NEGATIVE, NEUTRAL, POSITIVE)]
     )

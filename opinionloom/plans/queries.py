@@ -253,6 +253,13 @@ def aspect_pivot(spark, folder):
     return aspects.aspect_pivot(clauses(spark, folder))
 
 
+@query
+def clause_csv(spark, folder):
+    path = shared_folder(spark, "clauses") + ".csv"
+    writers.write_table(clauses(spark, folder).drop("review_text"), path, "csv")
+    return readers.read_table(spark, path).withColumn("confidence", F.col("confidence").cast("double"))
+
+
 @query
 def clause_preview(spark, folder):
     return aspects.first_clauses(clauses(spark, folder).drop("review_text"))
@@ -434,6 +441,12 @@ def embed_reviews(spark, folder):
     return vectors.embed_reviews(kept(scored(spark, folder), "scored"))
 
 
+@query
+def embedded_documents(spark, folder):
+    embedded = vectors.embed_reviews(kept(scored(spark, folder), "scored"), dimensions=64)
+    return embedded.withColumn("dimensions", F.size("embedding")).drop("embedding")
+
+
 @query
 def vector_topk(spark, folder):
     stored = table(spark, folder, "embeddings").select("label", "vec_id", "embedding")

@@ -1,9 +1,11 @@
 """The registered queries as SQL for another engine, written on their own.
 
-Nothing here uses the library: word lists, patterns and rules are stated again, so that a slip
-in the library shows up as a difference.
+Only the fixed values (word lists and wordings) come from the library; patterns and rules are
+stated again, so that a slip in the library shows up as a difference.
 """
 
+from opinionloom.functions import vocab
+
 ORACLE = {}
 
 SPACE = (
@@ -47,12 +49,10 @@ def rounded(value, digits):
     return f"(round_even(({value}) * {10**digits}, 0) / {10**digits}.0)::double"
 
 
-STOP = """
-the and a to of in it is i for that you my with on this was but so have be not are as at if or me one up out all very
-good great product laptop phone device its just like from an no has had will can do about when get use than more some
-only would really after time buy best well much also even too am because don t s ve m re d ll
-""".split()
-STOP_LIST = ", ".join(f"'{w}'" for w in STOP)
+
+
+def sql_list(values):
+    return "[" + ", ".join("'" + value.replace("'", "''") + "'" for value in values) + "]"
 
 REVIEWS = "reviews as (select doc_id as review_id, source as model, text as original_review, lang from documents)"
 CLEANED = f"""{REVIEWS},
@@ -169,7 +169,7 @@ ORACLE["overall_join"] = f"""with {KNOWN} select d.doc_id as review_id, source,
 # Aspects
 
 TERMS = ["thin", "ment", "ung", "tion", "heat", "eau", "ción", "os", "able", "sch", "the and"]
-TERM_LIST = "[" + ", ".join(f"'{t}'" for t in TERMS) + "]"
+TERM_LIST = sql_list(TERMS)
 SENTENCES = f"""
 cut as (select review_id, model, sentiment_label,
    list_filter(list_transform(string_split(regexp_replace(final_review, '([.!?])[{SPACE}]+', '\\1\n', 'g'), '\n'),
@@ -187,48 +187,16 @@ own as (select *, case when length(text) % 7 = 0 then null else length(text) % 5
 select review_id, sent_pos, unnest(hits) as aspect,
    coalesce({star_label('n')}, sentiment_label, 'Neutral') as label from own"""
 
-CATEGORIES = {
-    "Camera": "camera,cameras,photo,photos,picture,pictures,image quality,picture quality,clarity,sharpness,selfie,"
-    "front camera,rear camera,telephoto,ultrawide,portrait mode,macro mode,night mode,hdr,stabilization,optical zoom,"
-    "digital zoom,lens,sensor,exposure",
-    "Battery": "battery,battery life,battery backup,charge,charging,charging speed,fast charging,wireless charging,"
-    "charger,power adapter,power consumption,drains fast,drains quickly,loses charge,dies quickly,"
-    "needs frequent charging,screen on time,sot",
-    "Performance": "performance,speed,lag,slow,fast,smooth,snappy,responsive,responsiveness,multitasking,freeze,freezes,"
-    "stutter,stutters,hang,hangs,choppy,processor,chip,gpu,cpu,a14,a15,a16,a17,m1,m2,m3,m3 pro,m3 max,overheats,"
-    "heats up,thermal throttle,thermal throttling",
-    "Display": "display,screen,lcd,oled,super retina,retina,brightness,contrast,color accuracy,colour accuracy,resolution,"
-    "refresh rate,120hz,90hz,60hz,promotion,vivid colors,washed out,sunlight visibility,glare,viewing angles,pixel density",
-    "Design & Build": "design,build,build quality,material,aluminium,metal,durability,durable,sleek,thin,lightweight,"
-    "premium feel,matte finish,glossy finish,scratch,scratches easily,look,looks,feel in hand,aesthetics",
-    "Software & OS": "ios,macos,software,system,os,update,updates,bug,bugs,crash,crashes,glitch,glitches,freezes,freeze,ui,"
-    "ux,user interface,notifications,apple ecosystem,continuity,handoff,airdrop,icloud",
-    "Audio": "audio,sound,speaker,speakers,bass,treble,loudness,microphone,mic,call quality,voice clarity,stereo speakers,"
-    "muffled audio,tinny sound",
-    "Connectivity": "wifi,wi-fi,bluetooth,network,cellular,5g,lte,signal,connectivity,hotspot,airdrop disconnect,"
-    "network drops,weak signal,unstable wifi",
-    "Storage": "storage,space,memory,ram,32gb,64gb,128gb,256gb,512gb,1tb,running out of space,not enough storage",
-    "Price": "price,pricing,cost,expensive,overpriced,too costly,cheap,value for money,worth the price,not worth it,"
-    "premium pricing",
-    "Heating / Thermals": "heat,heating,heats,heats up,gets hot,overheats,thermal throttling,hot while charging,"
-    "hot during gaming",
-}
-
-
-def sql_list(text):
-    return "[" + ", ".join(f"'{w}'" for w in text.split(",")) + "]"
-
-
 ASPECT_OF_CLAUSE = (
     "list_sort(["
     + ", ".join(
         f"{{'h': len(list_filter({sql_list(k)}, lambda p: contains(lower(clause), p))), 'r': {-i}, 'a': '{name}'}}"
-        for i, (name, k) in enumerate(CATEGORIES.items())
+        for i, (name, k) in enumerate(vocab.ASPECT_KEYWORDS.items())
     )
     + "], 'DESC')[1]"
 )
 ORACLE["vocabulary_matches"] = f"""select doc_id, t.term from documents join
-  (select distinct unnest({sql_list(','.join(CATEGORIES.values()))}) as term) t on contains(lower(text), t.term)"""
+  (select distinct unnest({sql_list(sum(vocab.ASPECT_KEYWORDS.values(), []))}) as term) t on contains(lower(text), t.term)"""
 # The data has no accented letter next to the three words, so plain word boundaries do.
 CLAUSES = f"""
 parts as (select doc_id, list_filter(list_transform(
@@ -242,6 +210,8 @@ best as (select *, {ASPECT_OF_CLAUSE} as b from judged),
 clause_aspects as (select doc_id as review_index, clause_pos, clause, case when b.h > 0 then b.a else 'Other' end as aspect,
    {display('raw_label')} as sentiment, raw_label, round_even(confidence, 4)::double as confidence from best)"""
 ORACLE["clause_aspects"] = f"with {CLAUSE_ASPECTS} select * from clause_aspects"
+ORACLE["clause_csv"] = f"""with {CLAUSE_ASPECTS} select review_index::varchar as review_index, clause_pos::varchar as clause_pos, clause, aspect,
+  sentiment, raw_label, confidence from clause_aspects"""
 ORACLE["clause_preview"] = f"""with {CLAUSE_ASPECTS} select * from clause_aspects order by review_index, clause_pos limit 100"""
 ORACLE["aspect_pivot"] = f"""with {CLAUSE_ASPECTS},
 n as (select aspect, count(*) filter (where sentiment = 'Positive') as "Positive",
@@ -280,7 +250,7 @@ def keywords(rows, group, n):
 split_words as (select *, {words('final_review')} as ws from {rows}),
 used as (select {keys}review_id, unnest(ws) as word, unnest(range(len(ws))) as pos from split_words),
 counted_words as (select {keys}word, count(*) as uses, min(review_id::hugeint * 2147483648 + pos) as first_place from used
-   where length(word) > 2 and word not in ({STOP_LIST}) group by all),
+   where length(word) > 2 and not list_contains({sql_list(vocab.STOP_WORDS)}, word) group by all),
 ranked_words as (select *, row_number() over ({over}order by uses desc, first_place)::int as rank from counted_words),
 top_words as (select * from ranked_words where rank <= {n})"""
 
@@ -327,6 +297,11 @@ ORACLE["label_by_model"] = f"""with {SCORED} select model, sentiment_label, coun
   where sentiment_label is not null group by 1, 2"""
 ORACLE["model_list"] = "select source as model from documents union select role from conversations order by 1"
 
+ADVICE = ", ".join(
+    "case when " + " or ".join(f"contains(lower(top_6_negative_keywords), '{word}')" for word in words.split())
+    + f" then '{line}' end"
+    for words, line in vocab.ADVICE_RULES
+)
 FEEDBACK = rf"""{model_figures('labelled')},
 sections as (select model, first_review,
   '6.1 Summary' || chr(10) || 'The overall sentiment for ' || model || ' is ' ||
@@ -341,23 +316,9 @@ sections as (select model, first_review,
   '6.3 Weaknesses' || chr(10) || 'Critical areas for improvement include ' || case when top_6_negative_keywords <> ''
     then 'recurring complaints focused on: ' || top_6_negative_keywords || '.'
     else 'No specific complaint themes detected.' end as weaknesses,
-  list_filter([
-   case when regexp_matches(lower(top_6_negative_keywords), 'battery|drain')
-     then 'Technical: Optimize background process management to extend battery life.' end,
-   case when regexp_matches(lower(top_6_negative_keywords), 'screen|display|crack')
-     then 'Quality Control: Investigate display panel durability and consider stronger protective glass.' end,
-   case when regexp_matches(lower(top_6_negative_keywords), 'price|cost|expensive')
-     then 'Marketing: Emphasize long-term value and premium build quality to justify pricing.' end,
-   case when regexp_matches(lower(top_6_negative_keywords), 'camera|photo')
-     then 'Product: Refine image processing algorithms for better low-light performance.' end,
-   case when regexp_matches(lower(top_6_negative_keywords), 'delivery|shipping')
-     then 'Logistics: Review courier partners to reduce shipping delays and damage.' end,
-   case when regexp_matches(lower(top_6_negative_keywords), 'service|support')
-     then 'Trust: Expand customer support availability and reduce response times.' end],
+  list_filter([{ADVICE}],
    lambda x: x is not null) as called_for from figures),
-advised as (select *, list_concat(called_for, ['Marketing: Highlight the most praised features (Strengths) in upcoming ad campaigns.',
-   'Engagement: packaging enhancements to create a more premium unboxing experience.',
-   'Trust: Respond publicly to constructive negative reviews to show brand accountability.'][1:greatest(3 - len(called_for), 0)]) as advice from sections),
+advised as (select *, list_concat(called_for, {sql_list(vocab.DEFAULT_ADVICE)}[1:greatest(3 - len(called_for), 0)]) as advice from sections),
 feedback as (select model, first_review, summary, strengths, weaknesses,
    '6.4 Actionable Recommendations' || chr(10) || list_aggregate(list_transform(advice, lambda a: '- ' || a), 'string_agg', chr(10)) as recommendations
    from advised)"""
@@ -423,6 +384,9 @@ r as (select *, case when said > 0 then hits / said else 0 end as pr, case when
 f as (select *, case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end as f1 from r)
 select round(sum(hits) / sum(support), 10) as accuracy, round(sum(f1 * support) / sum(support), 10) as f1,
    round(sum(pr * support) / sum(support), 10) as precision, round(sum(re * support) / sum(support), 10) as recall from f"""
+ORACLE["embedded_documents"] = f"""with {SCORED} select final_review as review_text, 64 as dimensions, coalesce(model, 'Unknown') as model,
+  coalesce(sentiment_label, 'Neutral') as sentiment_label, coalesce(sentiment_score, 0) as sentiment_score, review_id as original_index
+  from scored where {strip('final_review')} <> ''"""
 ORACLE["vector_topk"] = """with probes as (select label, arg_min(embedding, vec_id) as probe from embeddings group by label),
 s as (select e.label, vec_id, list_cosine_similarity(embedding::double[], probe::double[]) as sim from embeddings e join probes using (label)),
 r as (select *, row_number() over (partition by label order by sim desc, vec_id)::int as rank from s)
@@ -444,8 +408,7 @@ ORACLE["keyed_embeddings"] = """select coalesce(a.vec_id, b.vec_id + 100) as vec
 
 # Files
 
-NA = "('', '#N/A', '#N/A N/A', '#NA', '-1.#IND', '-1.#QNAN', '-NaN', '-nan', '1.#IND', '1.#QNAN', '<NA>', 'N/A', 'NA', 'NULL', 'NaN', 'None', 'n/a', 'nan', 'null')"
-MISSING = f"case when {{0}} in {NA} then null else {{0}} end"
+MISSING = f"case when list_contains({sql_list(vocab.NA_STRINGS)}, {{0}}) then null else {{0}} end"
 ORACLE["csv_reviews"] = f"""select doc_id as review_id, {MISSING.format('source')} as model,
   {MISSING.format('text')} as original_review from documents"""
 ORACLE["csv_numbered"] = f"""select row_number() over (order by doc_id) - 1 as review_id, {MISSING.format('source')} as model,

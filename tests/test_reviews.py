@@ -98,6 +98,20 @@ def test_translation_sees_only_foreign_texts(spark):
     }
 
 
+def test_failing_translator_keeps_texts(spark):
+    def load_model():
+        def translate(texts):
+            raise OSError("no answer")
+
+        return translate
+
+    rows = spark.createDataFrame([(1, "fr", "bonjour")], "review_id bigint, lang string, cleaned_review string")
+    kept_text = cleaning.translate_reviews(rows, batch_translator(load_model, on_error="keep"))
+    assert by_id(kept_text, "final_review") == {1: "bonjour"}
+    with pytest.raises(Exception, match="no answer"):
+        cleaning.translate_reviews(rows, batch_translator(load_model)).collect()
+
+
 RAW_LABELS = {
     "1 star": (1, "Negative", "Negative"), "2 stars": (2, "Negative", "Negative"), "3 stars": (3, "Neutral", "Neutral"),
     "4 stars": (4, "Positive", "Positive"), "5 stars": (5, "Positive", "Positive"), "Positive": (5, "Positive", "Positive"),
