@@ -26,7 +26,7 @@ def training_set(aspects):
 
 def with_tokens(pairs, text="text", aspect="aspect"):
     """Words of the text plus one token for the aspect asked about."""
-    words = F.filter(txt.words(F.coalesce(F.col(text), F.lit(""))), lambda word: word != "")
+    words = F.array_remove(txt.words(F.coalesce(F.col(text), F.lit(""))), "")
     return pairs.withColumn("_tokens", F.concat(words, F.array(F.concat(F.lit("aspect="), F.col(aspect)))))
 
 

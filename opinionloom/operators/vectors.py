@@ -50,7 +50,7 @@ def embed_reviews(reviews, embedder=None, dimensions=256):
     """
     given = reviews.where(txt.trim_space(F.col("final_review")) != "")
     if embedder is None:
-        words = given.withColumn("_words", F.filter(txt.words(F.col("final_review")), lambda w: w != ""))
+        words = given.withColumn("_words", F.array_remove(txt.words(F.col("final_review")), ""))
         stages = [
             HashingTF(inputCol="_words", outputCol="_counts", numFeatures=dimensions),
             IDF(inputCol="_counts", outputCol="_weighted"),

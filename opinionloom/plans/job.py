@@ -12,13 +12,16 @@ from opinionloom.sources.shared import kept
 from opinionloom.sources.writers import write_markdown, write_results
 
 
-def final_reviews(reviews, translator=None, keep=True):
+def final_reviews(reviews, translator=None, keep=True, with_original=True):
     """Clean, reject, translate and mark repeats.
 
     Finding repeats reads the cleaned texts twice.  Cleaning them costs far more than writing
     and reading them, so they are kept as a table in between; ``keep=False`` recomputes instead.
+    Without the original texts that table is half as large.
     """
     stage = translate_reviews(preprocess_reviews(reviews), translator)
+    if not with_original:
+        stage = stage.drop("original_review")
     if translator is None:
         # The later columns equal the cleaned one and need no place of their own in the table.
         stage = stage.drop("translated_review", "final_review")
@@ -48,7 +51,8 @@ class Run:
     def __init__(self, scored, denominator="labelled"):
         self.scored = scored
         self.aspects = aspect_rows(scored)
-        self.stats = model_stats(scored, denominator)
+        # A small table that the reports and the preview all start from.
+        self.stats = kept(model_stats(scored, denominator), "stats")
         self.feedback = feedback_report(self.stats)
 
     def write(self, folder, format="parquet"):

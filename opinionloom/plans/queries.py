@@ -67,8 +67,12 @@ def known_labels(spark, folder):
     )
 
 
+def final(spark, folder):
+    return job.final_reviews(reviews(spark, folder), with_original=False)
+
+
 def scored(spark, folder):
-    return job.with_known_labels(job.final_reviews(reviews(spark, folder)), known_labels(spark, folder))
+    return job.with_known_labels(final(spark, folder), known_labels(spark, folder))
 
 
 def word_scorer():
@@ -132,7 +136,7 @@ def translate_foreign(spark, folder):
 
 @query
 def dedupe_per_model(spark, folder):
-    return job.final_reviews(reviews(spark, folder)).select("review_id", "model", "norm_review", "final_review")
+    return final(spark, folder).select("review_id", "model", "norm_review", "final_review")
 
 
 @query
@@ -147,12 +151,12 @@ def dedupe_conversations(spark, folder):
         (F.col("conv_id") * 2**20 + F.col("turn")).alias("review_id"), F.col("role").alias("model"),
         F.col("text").alias("original_review"),
     )
-    return job.final_reviews(turns).select("review_id", "model", "final_review")
+    return job.final_reviews(turns, with_original=False).select("review_id", "model", "final_review")
 
 
 @query
 def valid_reviews(spark, folder):
-    return cleaning.valid_reviews(job.final_reviews(reviews(spark, folder))).select("review_id", "model")
+    return cleaning.valid_reviews(final(spark, folder)).select("review_id", "model")
 
 
 # Polarity
@@ -186,8 +190,8 @@ def label_map_display(spark, folder):
 
 @query
 def score_lexicon(spark, folder):
-    final = job.final_reviews(reviews(spark, folder))
-    return scoring.score_reviews(final, word_scorer()).select("review_id", "sentiment_score", "sentiment_label")
+    rated = scoring.score_reviews(final(spark, folder), word_scorer())
+    return rated.select("review_id", "sentiment_score", "sentiment_label")
 
 
 @query
@@ -195,10 +199,8 @@ def score_plugged(spark, folder):
     def load_model():
         return lambda texts: [(f"{len(text) % 5 + 1} stars", 0.5) for text in texts]
 
-    final = job.final_reviews(reviews(spark, folder))
-    return scoring.score_reviews(final, batch_scorer(load_model)).select(
-        "review_id", "sentiment_score", "sentiment_label"
-    )
+    rated = scoring.score_reviews(final(spark, folder), batch_scorer(load_model))
+    return rated.select("review_id", "sentiment_score", "sentiment_label")
 
 
 @query
@@ -393,13 +395,13 @@ def upsert_summary(spark, folder):
     def per_model(rows, *figures):
         return rows.groupBy("model").agg(*figures)
 
-    final = scored(spark, folder)
+    rated = kept(scored(spark, folder).select("review_id", "model", "lang", "sentiment_score", "sentiment_label"), "scored")
     stored = per_model(
-        final.where(F.col("sentiment_label") == vocab.NEGATIVE).withColumn("model", F.concat("model", F.lit("-"), "lang")),
+        rated.where(F.col("sentiment_label") == vocab.NEGATIVE).withColumn("model", F.concat("model", F.lit("-"), "lang")),
         F.count("*").alias("reviews"), F.min("review_id").alias("first_review"),
     )
     news = per_model(
-        final.where(F.col("sentiment_label") == vocab.POSITIVE).withColumn("model", F.concat("model", F.lit("-"), "lang")),
+        rated.where(F.col("sentiment_label") == vocab.POSITIVE).withColumn("model", F.concat("model", F.lit("-"), "lang")),
         F.count("*").alias("reviews"), F.avg("sentiment_score").alias("average"),
     )
     return upsert(stored, news, ["model"])

@@ -76,6 +76,7 @@ def numbered(table, columns):
             F.monotonically_increasing_id().alias("_raw"),
         )
     )
+    raw = spread(raw, "_raw")
     # One row per file split: small even for a very large input.
     sizes = raw.groupBy(*split).agg(F.min("_raw").alias("_first"), F.count("*").alias("_rows"))
     earlier = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)
