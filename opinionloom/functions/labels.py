@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from opinionloom.functions import vocab
 from opinionloom.functions.vocab import NEGATIVE, NEUTRAL, POSITIVE
 
-LEADING_NUMBER = r"^(\p{Nd}+)"
+LEADING_NUMBER = "^([0-9]+)"
 
 
 def label_of_stars(stars):

@@ -42,10 +42,13 @@ def bind(value, body):
 
 def phrase_hits(text, phrases):
     """Distinct phrases that occur anywhere in the text, as substrings, ignoring case."""
-    prefixes = {p: [q for q in phrases if p.startswith(q)] for p in phrases}
     longest = F.regexp_extract_all(F.lower(text), F.lit(f"(?=({phrase_pattern(phrases)}))"), F.lit(1))
-    expanded = F.transform(F.array_distinct(longest), lambda p: _literal_map(prefixes)[p])
-    return F.array_distinct(F.flatten(expanded))
+
+    def with_prefixes(match):
+        prefixes = F.transform(F.sequence(F.lit(1), F.length(match)), lambda end: F.substring(match, F.lit(1), end))
+        return F.filter(prefixes, lambda prefix: prefix.isin(*phrases))
+
+    return F.array_distinct(F.flatten(F.transform(F.array_distinct(longest), with_prefixes)))
 
 
 def word_count(text, words, word_class):

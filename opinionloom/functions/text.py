@@ -70,7 +70,7 @@ def is_meaningless(text, filler=vocab.FILLER_WORDS, min_letters=vocab.MIN_LETTER
         F.size(F.array_except(tokens, F.array(*[F.lit(w) for w in (*filler, "")]))) == 0
     )
     enough_letters = text.rlike(r"\p{L}[^\p{L}]*+" * min_letters)
-    alnum_share = F.length(F.regexp_replace(text, NOT_ALNUM, "")) / F.length(text)
+    alnum_share = F.try_divide(F.length(F.regexp_replace(text, NOT_ALNUM, "")), F.length(text))
     return F.coalesce(only_filler | ~enough_letters | (alnum_share < min_alnum_share), F.lit(True))
 
 

@@ -25,7 +25,7 @@ def aspect_rows(reviews, terms=vocab.ASPECT_TERMS, splitter=txt.split_sentences,
     if scorer is not None:
         # A scorer is costly, so it does not get the sentences without any term.
         tagged = tagged.where(F.size("_terms") > 0).withColumn("_raw", scorer(F.col("text"))["raw_label"])
-        in_stars = F.col("_raw").rlike(r"^\p{Nd}+(?: |$)")
+        in_stars = F.col("_raw").rlike("^[0-9]+( |$)")
         own = F.when(in_stars, labels.label_of_stars(labels.stars_of_raw_label(F.col("_raw"))))
         label = F.coalesce(own, label)
     return tagged.select(
@@ -75,7 +75,7 @@ def aspect_pivot(clauses):
     return counted.select(
         "*",
         *[
-            round_half_even(F.col(name) / F.col("Total") * 100, 1).alias(f"{name}_pct")
+            round_half_even(F.try_divide(F.col(name), F.col("Total")) * 100, 1).alias(f"{name}_pct")
             for name in (POSITIVE, NEUTRAL, NEGATIVE)
         ],
     )

@@ -18,8 +18,8 @@ def kpi_row(reviews, model=ALL_MODELS):
     totals = of_model(reviews, model).agg(
         F.count("*").alias("total_reviews"),
         F.avg("sentiment_score").alias("average_rating"),
-        (F.count_if(label == POSITIVE) / F.count("*") * 100).alias("positive_pct"),
-        (F.count_if(label == NEGATIVE) / F.count("*") * 100).alias("negative_pct"),
+        (F.try_divide(F.count_if(label == POSITIVE), F.count("*")) * 100).alias("positive_pct"),
+        (F.try_divide(F.count_if(label == NEGATIVE), F.count("*")) * 100).alias("negative_pct"),
     )
     return totals.select(
         "*",

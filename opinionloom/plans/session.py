@@ -10,6 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Reviews can be long; this keeps the batches of plugged-in models small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

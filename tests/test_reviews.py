@@ -370,6 +370,19 @@ def test_dashboard(spark):
     assert [r[0] for r in known.collect()] == ["a", "b", "zz"]
 
 
+def test_nothing_in_gives_nothing_out(spark):
+    none = scored(spark, [])
+    kpi = dashboard.kpi_row(none).first()
+    assert (kpi["total_reviews"], kpi["average_rating"], kpi["positive_pct"], kpi["positive_text"]) == (0, None, None, None)
+    assert report.feedback_report(stats.model_stats(none)).isEmpty()
+    assert stats.top_keywords_overall(none).isEmpty()
+    assert final_reviews(raw(spark, [])).isEmpty()
+    rows = spark.createDataFrame([(1, "fine words here")], "review_id bigint, text string")
+    silent = batch_scorer(lambda: lambda texts: [(None, None) for _ in texts])
+    unjudged = aspect_pivot(clause_aspects(rows, scorer=silent)).first()
+    assert (unjudged["Total"], unjudged["Positive_pct"]) == (0, None)
+
+
 ASPECTS = "text string, aspect string, label string, model_name string, review_id bigint, sent_pos int, aspect_ord int"
 
 
