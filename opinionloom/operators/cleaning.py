@@ -21,12 +21,13 @@ def translate_reviews(reviews, translator=None, lang="lang"):
 
     ``translator`` maps a text Column to a Column; it sees only the texts whose ``lang`` calls
     for it, and NULL otherwise, so one pass serves all rows.  A text that it returns as NULL
-    stays as it was.  Without a translator both columns equal ``cleaned_review``.
+    stays as it was.  With ``lang=None`` it sees every text.  Without a translator both columns
+    equal ``cleaned_review``.
     """
     cleaned = F.col("cleaned_review")
     if translator is None:
         return reviews.withColumn("translated_review", cleaned).withColumn("final_review", cleaned)
-    foreign = F.coalesce(~F.col(lang).isin(*NO_TRANSLATION), F.lit(False))
+    foreign = F.lit(True) if lang is None else F.coalesce(~F.col(lang).isin(*NO_TRANSLATION), F.lit(False))
     translated = reviews.withColumn("_translation", translator(F.when(foreign, cleaned)))
     recleaned = translated.withColumn(
         "translated_review", txt.clean_text(F.coalesce(F.col("_translation"), cleaned))

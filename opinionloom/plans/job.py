@@ -2,14 +2,17 @@
 
 from pyspark.sql import functions as F
 
-from opinionloom.operators.aspects import aspect_rows
+from opinionloom.operators.aspects import aspect_pivot, aspect_rows, clause_aspects
 from opinionloom.operators.cleaning import mark_repeats, preprocess_reviews, translate_reviews
+from opinionloom.operators.evidence import aspect_shares, business_summaries
 from opinionloom.operators.report import feedback_report, markdown_full, markdown_sections
-from opinionloom.operators.scoring import score_reviews
+from opinionloom.operators.scoring import score_overall, score_reviews
 from opinionloom.operators.stats import model_stats
 from opinionloom.operators.training import train_classifier, training_set
+from opinionloom.operators.vectors import embed_reviews
+from opinionloom.sources.keyed import upsert_keyed
 from opinionloom.sources.shared import kept
-from opinionloom.sources.writers import write_markdown, write_results
+from opinionloom.sources.writers import write_markdown, write_results, write_table
 
 
 def final_reviews(reviews, translator=None, keep=True, with_original=True):
@@ -93,3 +96,30 @@ def run_twice(reviews, scorer=None, translator=None, denominator="labelled", **t
     classifier, metrics = train_classifier(kept(training_set(first.aspects), "training"), **training)
     unscored = first.scored.drop("sentiment_score", "sentiment_label")
     return Run(kept(classifier.score_reviews(unscored)), denominator), classifier, metrics
+
+
+class UploadedAnalysis:
+    """Verdicts on whole reviews, on their clauses, and their summary by aspect, for any table of texts."""
+
+    def __init__(self, rows, text="text", review_id="review_id", scorer=None):
+        self.reviews = score_overall(rows, text, scorer)
+        self.clauses = clause_aspects(rows, text, review_id, scorer)
+        self.by_aspect = aspect_pivot(self.clauses)
+
+    def write(self, folder):
+        """Write the review and clause tables as CSV; returns their paths."""
+        tables = {"review_level_sentiment": self.reviews, "aspect_level_sentiment": self.clauses}
+        paths = {name: f"{folder.rstrip('/')}/{name}.csv" for name in tables}
+        for name, rows in tables.items():
+            write_table(rows, paths[name], "csv")
+        return paths
+
+
+def publish_summaries(aspects, path):
+    """Summarise the aspect rows of every model and upsert the summaries into the keyed table."""
+    return upsert_keyed(business_summaries(aspect_shares(aspects)), path, ["model"])
+
+
+def publish_embeddings(scored, path, embedder=None):
+    """Embed the scored reviews and upsert the documents into the keyed table."""
+    return upsert_keyed(embed_reviews(scored, embedder), path, ["original_index", "model"])

@@ -390,6 +390,15 @@ def bi_summary(spark, folder):
     return evidence.summary_lines(evidence.parse_summaries(evidence.summary_json(summaries)))
 
 
+@query
+def published_summaries(spark, folder):
+    path = shared_folder(spark, "summaries")
+    rows = kept(absa(spark, folder), "aspects")
+    job.publish_summaries(rows.where(F.col("label") == vocab.NEGATIVE), path)
+    job.publish_summaries(rows, path)
+    return evidence.summary_lines(keyed.read_keyed(spark, path))
+
+
 @query
 def upsert_summary(spark, folder):
     def per_model(rows, *figures):
@@ -514,7 +523,7 @@ def uploaded_csv(spark, folder):
     path = shared_folder(spark, "uploaded") + ".csv"
     writers.write_table(table(spark, folder, "documents").select("doc_id", "lang", "text"), path, "csv")
     uploaded = readers.load_uploaded(spark, path, "text")
-    return scoring.score_overall(uploaded, "text", word_scorer()).drop("text", "review_id")
+    return job.UploadedAnalysis(uploaded, scorer=word_scorer()).reviews.drop("text", "review_id")
 
 
 @query

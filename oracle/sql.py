@@ -363,6 +363,7 @@ lines as (
    printf('%.1f', negative_share * 100) || '% of ' || mentions || ' mentions are negative.',
    'Fewer complaints about ' || aspect from rated where negative_share >= 0.25)
 select model, (row_number() over (partition by model order by block, o1, o2) - 1)::int as line_no, section, title, priority, text, note from lines"""
+ORACLE["published_summaries"] = ORACLE["bi_summary"]
 ORACLE["upsert_summary"] = f"""with {SCORED},
 stored as (select model || '-' || lang as model, count(*) as reviews, min(review_id) as first_review from scored
   where sentiment_label = 'Negative' group by 1),

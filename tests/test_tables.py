@@ -123,6 +123,37 @@ def test_run_writes_and_reads_back(spark, tmp_path, format):
     assert [r["model"] for r in stats.collect()] == ["A", "B"] and feedback.count() == 2
 
 
+def test_uploaded_analysis(spark, tmp_path):
+    rows = spark.createDataFrame([(0, "Great camera but bad battery", "x"), (1, " ", "y")], "review_id bigint, text string, tag string")
+    analysis = job.UploadedAnalysis(rows)
+    paths = analysis.write(str(tmp_path / "out"))
+    clauses = readers.read_table(spark, paths["aspect_level_sentiment"])
+    assert sorted((r["clause"], r["aspect"], r["sentiment"]) for r in clauses.collect()) == [
+        ("Great camera", "Camera", "Positive"), ("bad battery", "Battery", "Negative"),
+    ]
+    reviews = readers.read_table(spark, paths["review_level_sentiment"])
+    assert sorted((r["tag"], r["overall_sentiment"]) for r in reviews.collect()) == [("x", "Neutral"), ("y", None)]
+    assert {r["aspect"]: r["Total"] for r in analysis.by_aspect.collect()} == {"Camera": 1, "Battery": 1}
+
+
+def test_published_tables(spark, tmp_path):
+    aspects = "text string, aspect string, label string, model_name string"
+    first = spark.createDataFrame([("t", "price", "Negative", "a"), ("t", "price", "Positive", "b")], aspects)
+    second = spark.createDataFrame([("t", "sound", "Positive", "a")], aspects)
+    path = str(tmp_path / "summaries")
+    assert [job.publish_summaries(rows, path) for rows in (first, second)] == [0, 1]
+    stored = {r["model"]: r["business_summary"] for r in read_keyed(spark, path).collect()}
+    assert set(stored) == {"a", "b"}
+    assert stored["a"]["key_issues"] == [] and stored["a"]["key_strengths"][0]["aspect"] == "sound"
+
+    scored = "review_id bigint, model string, final_review string, sentiment_score double, sentiment_label string"
+    path = str(tmp_path / "vectors")
+    job.publish_embeddings(spark.createDataFrame([(1, "a", "good phone", 5.0, "Positive"), (2, "a", "other", None, None)], scored), path)
+    job.publish_embeddings(spark.createDataFrame([(1, "a", "bad phone", 1.0, "Negative"), (1, "b", "new", None, None)], scored), path)
+    stored = {(r["original_index"], r["model"]): r["review_text"] for r in read_keyed(spark, path).collect()}
+    assert stored == {(1, "a"): "bad phone", (2, "a"): "other", (1, "b"): "new"}
+
+
 def test_run_twice(spark):
     texts = ["The battery is great", "The battery is bad", "The camera is usual"]
     rows = spark.range(90).select(
