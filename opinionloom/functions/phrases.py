@@ -52,10 +52,10 @@ def phrase_hits(text, phrases):
 
 
 def word_count(text, words, word_class):
-    """How often any of the words stands in the text on its own, ignoring case."""
+    """How often any of the words stands in the (lower-case) text on its own."""
     firsts = re.escape("".join(sorted({word[0] for word in words})))
     alone = f"(?=[{firsts}])(?<![{word_class}]){phrase_pattern(words)}(?![{word_class}])"
-    return F.regexp_count(F.lower(text), F.lit(alone))
+    return F.regexp_count(text, F.lit(alone))
 
 
 def best_group(hits, groups, fallback):

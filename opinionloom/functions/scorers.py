@@ -29,11 +29,14 @@ def lexicon_scorer(positive=vocab.POSITIVE_WORDS, negative=vocab.NEGATIVE_WORDS)
         confidence = F.when(good + bad > 0, F.greatest(good, bad) / (good + bad)).otherwise(F.lit(0.0))
         return F.when(good.isNotNull(), F.struct(label.alias("raw_label"), confidence.alias("confidence")))
 
-    def score(text):
-        good = word_count(text, positive, txt.WORD).alias("good")
-        bad = word_count(text, negative, txt.WORD).alias("bad")
+    def counts(lowered):
+        good = word_count(lowered, positive, txt.WORD).alias("good")
+        bad = word_count(lowered, negative, txt.WORD).alias("bad")
         return bind(F.struct(good, bad), verdict)
 
+    def score(text):
+        return bind(F.lower(text), counts)
+
     return score
 
 

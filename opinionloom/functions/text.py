@@ -97,8 +97,11 @@ def split_sentences(text):
 
 def matching_terms(text, terms=vocab.ASPECT_TERMS):
     """All terms that occur in the text as substrings, in the order of the list, ignoring case."""
-    lowered = F.lower(text)
-    return F.array_compact(F.array(*[F.when(lowered.contains(term), F.lit(term)) for term in terms]))
+
+    def found(lowered):
+        return F.array_compact(F.array(*[F.when(lowered.contains(term), F.lit(term)) for term in terms]))
+
+    return bind(F.lower(text), found)
 
 
 def detect_aspect(text, keywords=vocab.ASPECT_KEYWORDS, fallback=vocab.FALLBACK_ASPECT):
