@@ -10,6 +10,7 @@ TABLES = (
 
 SQL_TYPES = {
     "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "timestamp": "TIMESTAMP",
+    "boolean": "BOOLEAN", "float": "FLOAT",
 }
 
 
