@@ -2,10 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from . import linededup, repetition, sharding
+from . import linededup, mixing, repetition, sharding, simhash
 from .common import read
 
 
+def op1_mixing(spark, sf_dir):
+    done = mixing.mix(read(spark, sf_dir).select("doc_id", "text", "source"))
+    return done.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op2_line_dedup(spark, sf_dir):
     done = linededup.drop_common_lines(read(spark, sf_dir), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -21,4 +26,12 @@ def op7_quality_rules(spark, sf_dir):
     return done.drop("text")
 
 
-QUERIES = {x.__name__: x for x in (op2_line_dedup, op6_sharding, op7_quality_rules)}
+def op8_simhash(spark, sf_dir):
+    done = simhash.near_duplicates(read(spark, sf_dir).select("doc_id", "text"))
+    return done.select(
+        F.col("key").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"), "n_near",
+    )
+
+
+QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op6_sharding, op7_quality_rules, op8_simhash)}
