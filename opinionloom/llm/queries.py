@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, repetition, sharding, simhash
+from . import linededup, mixing, packing, repetition, sharding, simhash, topk
 from .common import read
 
 
@@ -16,6 +16,11 @@ def op2_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_packing(spark, sf_dir):
+    docs = read(spark, sf_dir).select("doc_id", "text")
+    return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), packing.tokenizer_path("byte_bpe_50k.tiktoken"), capacity=2048)
+
+
 def op6_sharding(spark, sf_dir):
     shards = {f"shard-{n:03d}": 2 if n < 16 else 1 for n in range(112)}
     return sharding.assign_shards(read(spark, sf_dir).select("doc_id"), shards).select("doc_id", "slot", "shard")
@@ -34,4 +39,8 @@ def op8_simhash(spark, sf_dir):
     )
 
 
-QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op6_sharding, op7_quality_rules, op8_simhash)}
+def op9_topk(spark, sf_dir):
+    return topk.top_k(read(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op4_packing, op6_sharding, op7_quality_rules, op8_simhash, op9_topk)}

@@ -57,4 +57,17 @@ from documents d left join w using (doc_id) left join l using (doc_id)
 """
 
 
-SQL = {"op2_line_dedup": LINE_DEDUP, "op7_quality_rules": quality_rules()}
+TOP_K = """
+with v as (
+  select vec_id, row_number() over () as row, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::bigint as score, q.row as query_row
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)
+), r as (
+  select query_id, row_number() over (partition by query_row order by score desc, vec_id)::integer as rank, vec_id, score from s
+)
+select * from r where rank <= 20
+"""
+
+SQL = {"op2_line_dedup": LINE_DEDUP, "op7_quality_rules": quality_rules(), "op9_topk": TOP_K}
