@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, repetition, sharding, simhash, topk
+from . import compression, linededup, mixing, packing, repetition, sharding, simhash, topk
 from .common import read
 
 
@@ -43,4 +43,8 @@ def op9_topk(spark, sf_dir):
     return topk.top_k(read(spark, sf_dir, "embeddings"), is_query=F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
-QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op4_packing, op6_sharding, op7_quality_rules, op8_simhash, op9_topk)}
+def op10_quality(spark, sf_dir):
+    return compression.classify(read(spark, sf_dir), read(spark, sf_dir, "labels"), label="quality", threshold=0.3)
+
+
+QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op4_packing, op6_sharding, op7_quality_rules, op8_simhash, op9_topk, op10_quality)}
