@@ -10,7 +10,7 @@ from .common import with_outputs
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Slices of the order in which a source's cut is first looked for.
-SLICES = 1 << 16
+SLICES = 1 << 12
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
