@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import compression, linededup, mixing, packing, repetition, sharding, simhash, topk
+from . import compression, linededup, mixing, packing, repetition, secrets, sharding, simhash, topk
 from .common import read
 
 
@@ -16,6 +16,14 @@ def op2_line_dedup(spark, sf_dir):
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_secrets(spark, sf_dir):
+    found = secrets.find_secrets(read(spark, sf_dir).select("doc_id", "text"))
+    return found.select(
+        "doc_id", *[secrets.count_of("base", kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.written("base"), 256).alias("base_sha256"), secrets.written("spans").alias("spans"),
+    )
+
+
 def op4_packing(spark, sf_dir):
     docs = read(spark, sf_dir).select("doc_id", "text")
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), packing.tokenizer_path("byte_bpe_50k.tiktoken"), capacity=2048)
@@ -47,4 +55,4 @@ def op10_quality(spark, sf_dir):
     return compression.classify(read(spark, sf_dir), read(spark, sf_dir, "labels"), label="quality", threshold=0.3)
 
 
-QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op4_packing, op6_sharding, op7_quality_rules, op8_simhash, op9_topk, op10_quality)}
+QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op3_secrets, op4_packing, op6_sharding, op7_quality_rules, op8_simhash, op9_topk, op10_quality)}
