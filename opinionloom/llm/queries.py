@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import compression, linededup, mixing, packing, repetition, secrets, sharding, simhash, topk
+from . import compression, linededup, mixing, packing, repetition, secrets, sharding, simhash, suffixes, topk
 from .common import read
 
 
@@ -29,6 +29,11 @@ def op4_packing(spark, sf_dir):
     return packing.pack(docs, packing.tokenizer_path("byte_bpe_50k.json"), packing.tokenizer_path("byte_bpe_50k.tiktoken"), capacity=2048)
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    done = suffixes.drop_repeats(read(spark, sf_dir).select("doc_id", "text"), length=400, keep="none")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+
+
 def op6_sharding(spark, sf_dir):
     shards = {f"shard-{n:03d}": 2 if n < 16 else 1 for n in range(112)}
     return sharding.assign_shards(read(spark, sf_dir).select("doc_id"), shards).select("doc_id", "slot", "shard")
@@ -55,4 +60,4 @@ def op10_quality(spark, sf_dir):
     return compression.classify(read(spark, sf_dir), read(spark, sf_dir, "labels"), label="quality", threshold=0.3)
 
 
-QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op3_secrets, op4_packing, op6_sharding, op7_quality_rules, op8_simhash, op9_topk, op10_quality)}
+QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op3_secrets, op4_packing, op5_suffix_dedup, op6_sharding, op7_quality_rules, op8_simhash, op9_topk, op10_quality)}
