@@ -68,8 +68,8 @@ def measure(data, offsets, lengths):
     line_first = first[:-1].copy()
     line_first[1:] |= data[:-1] == 10
     line_begins = np.flatnonzero(line_first)
-    line_ends = np.append(line_begins[1:], len(data))
-    line_ends = line_ends - (data[line_ends - 1] == 10) if len(line_ends) else line_ends
+    line_ends = np.append(line_begins[1:], len(data))[: len(line_begins)]
+    line_ends = line_ends - (data[line_ends - 1] == 10)
     held = np.searchsorted(begins, line_ends) > np.searchsorted(begins, line_begins)
     line_begins, line_ends = line_begins[held], line_ends[held]
     lines = np.searchsorted(line_begins, offsets)
