@@ -74,7 +74,7 @@ def test_empty_and_clashing_tables(spark):
     from pyspark.sql import functions as F
 
     docs = documents(spark)
-    for some in (docs.limit(0), table(spark, [None, ""]), docs.withColumn("copies", F.lit("x")).withColumn("_text", F.lit(1)).withColumn("a.b", F.lit(2))):
+    for some in (docs.limit(0), table(spark, [None, ""]), docs.withColumn("n_lines", F.lit("x")).withColumn("_text", F.lit(1)).withColumn("a.b", F.lit(2))):
         for name, stage in corpus_pipeline.STAGES:
             columns = some.columns
             some = stage(spark, some, None)
