@@ -36,7 +36,7 @@ def advice_list(complaints):
     """Advice lines called for by the complaint keywords, filled up with general advice."""
     lowered = F.lower(complaints)
     called_for = F.array_compact(
-        F.array(*[F.when(lowered.rlike("|".join(words.split())), F.lit(line)) for words, line in vocab.ADVICE_RULES])
+        F.array(*[F.when(lowered.rlike("|".join(words)), F.lit(line)) for words, line in vocab.ADVICE_RULES])
     )
     general = F.array(*[F.lit(line) for line in vocab.DEFAULT_ADVICE])
     missing = F.greatest(F.lit(vocab.MIN_ADVICE) - F.size(called_for), F.lit(0))

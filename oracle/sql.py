@@ -298,7 +298,7 @@ ORACLE["label_by_model"] = f"""with {SCORED} select model, sentiment_label, coun
 ORACLE["model_list"] = "select source as model from documents union select role from conversations order by 1"
 
 ADVICE = ", ".join(
-    "case when " + " or ".join(f"contains(lower(top_6_negative_keywords), '{word}')" for word in words.split())
+    "case when " + " or ".join(f"contains(lower(top_6_negative_keywords), '{word}')" for word in words)
     + f" then '{line}' end"
     for words, line in vocab.ADVICE_RULES
 )

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from golden import REPORTS, STATISTICS
+
 from opinionloom.functions import labels as lab
 from opinionloom.functions.scorers import batch_scorer, batch_translator, lexicon_scorer
 from opinionloom.operators import cleaning, dashboard, evidence, report, scoring, stats
@@ -257,20 +259,8 @@ def test_keywords_with_the_largest_ids(spark):
 
 
 # model, total, positive, negative, neutral, mean stars, shares of all rows
-GOLDEN = [
-    ("laptop two", 102, 87, 6, 7, 4.62, 85.29, 5.88, 6.86),
-    ("laptop one", 1700, 1233, 242, 174, 4.2, 72.53, 14.24, 10.24),
-    ("phone (64GB) - Black", 5010, 2013, 586, 195, 4.02, 40.18, 11.7, 3.89),
-    ("phone 14", 531, 458, 21, 36, 4.7, 86.25, 3.95, 6.78),
-    ("phone15_pro", 93, 65, 10, 14, 4.24, 69.89, 10.75, 15.05),
-    ("phone11", 9967, 5115, 686, 648, 4.37, 51.32, 6.88, 6.5),
-    ("laptop three", 40, 38, 0, 2, 4.9, 95.0, 0.0, 5.0),
-    ("laptop four", 39, 17, 10, 12, 3.36, 43.59, 25.64, 30.77),
-]
-
-
 def golden_reviews(spark):
-    sizes = spark.createDataFrame([(i, *row[:5]) for i, row in enumerate(GOLDEN)], "o int, model string, t int, p int, n int, u int")
+    sizes = spark.createDataFrame([(i, *row[:5]) for i, row in enumerate(STATISTICS)], "o int, model string, t int, p int, n int, u int")
     rows = sizes.select("*", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("i"))
     label = (
         F.when(F.col("i") < F.col("p"), "Positive").when(F.col("i") < F.col("p") + F.col("n"), "Negative")
@@ -288,9 +278,9 @@ def test_golden_statistics(spark):
     assert [
         (r["model"], r["total_reviews"], r["valid_cleaned_reviews"], r["average_sentiment_score"], r["pct_positive"],
          r["pct_negative"], r["pct_neutral"]) for r in found
-    ] == [(m, t, t, mean, p, n, u) for m, t, _, _, _, mean, p, n, u in GOLDEN]
+    ] == [(m, t, t, mean, p, n, u) for m, t, _, _, _, mean, p, n, u, _, _ in STATISTICS]
     labelled = stats.model_stats(golden_reviews(spark)).collect()
-    assert {r["model"]: r["valid_cleaned_reviews"] for r in labelled} == {g[0]: sum(g[2:5]) for g in GOLDEN}
+    assert {r["model"]: r["valid_cleaned_reviews"] for r in labelled} == {g[0]: sum(g[2:5]) for g in STATISTICS}
     assert all(abs(r["pct_positive"] + r["pct_negative"] + r["pct_neutral"] - 100) < 0.02 for r in labelled)
 
 
@@ -311,36 +301,30 @@ STATS = "model string, valid_cleaned_reviews bigint, pct_positive double, pct_ne
 
 
 def test_golden_report(spark):
-    rows = spark.createDataFrame([
-        ("laptop three", 40, 95.0, 0.0, 5.0, "without, excellent, perfect, performance, work, everything", "", 2),
-        ("laptop one", 1700, 72.53, 14.24, 10.24, "notebook, orchard, love, battery, air, computer",
-         "orchard, notebook, computer, screen, they, new", 1),
-    ], STATS)
-    first, second = report.feedback_report(rows).orderBy("first_review").collect()
-    assert first["full_report_text"] == (
-        "6.1 Summary\nThe overall sentiment for laptop one is generally positive. Analysis shows a breakdown "
-        "of 72.53% Positive, 14.24% Negative, and 10.24% Neutral sentiment. High review volume with diverse opinions.\n\n"
-        "6.2 Strengths\nCustomers frequently praised key aspects such as: notebook, orchard, love, battery, air, computer.\n\n"
-        "6.3 Weaknesses\nCritical areas for improvement include recurring complaints focused on: orchard, notebook, computer, "
-        "screen, they, new.\n\n"
-        "6.4 Actionable Recommendations\n- Quality Control: Investigate display panel durability and consider stronger "
-        "protective glass.\n- Marketing: Highlight the most praised features (Strengths) in upcoming ad campaigns.\n"
-        "- Engagement: packaging enhancements to create a more premium unboxing experience."
-    )
-    assert second["summary"].startswith("6.1 Summary\nThe overall sentiment for laptop three is overwhelmingly positive. ")
-    assert "95.0% Positive, 0.0% Negative, and 5.0% Neutral sentiment. Low to moderate volume—insights" in second["summary"]
-    assert second["weaknesses"].endswith("include No specific complaint themes detected.")
-    parts = report.markdown_full(report.feedback_report(rows)).orderBy("part", "place").collect()
+    rows = [(m, t, p, n, u, good, bad, i) for i, (m, t, _, _, _, _, p, n, u, good, bad) in enumerate(STATISTICS)]
+    feedback = report.feedback_report(spark.createDataFrame(rows, STATS))
+    found = {r["model"]: r for r in feedback.collect()}
+    assert found.keys() == REPORTS.keys() and len(found) == 8
+    for model, texts in REPORTS.items():
+        names = ("summary", "strengths", "weaknesses", "recommendations", "full_report_text")
+        assert tuple(found[model][name] for name in names) == texts
+    parts = report.markdown_full(feedback).orderBy("part", "place").collect()
     text = "".join(r["value"] + "\n" for r in parts)
-    assert text.startswith("# Manufacturer Feedback Report\n\n## Model: laptop one\n6.1 Summary\n")
-    assert text.endswith("accountability.\n\n---\n\n")
+    assert text == "# Manufacturer Feedback Report\n\n" + "".join(
+        f"## Model: {row[0]}\n{REPORTS[row[0]][4]}\n\n---\n\n" for row in STATISTICS
+    )
+
+
+def test_hand_made_report(spark):
+    rows = spark.createDataFrame([("shoe", 50, 30.0, 60.0, 10.0, "", "shipping, photo, battery", 1), ("hat", 51, 75.0, 20.0, 5.0, "soft", "", 0)], STATS)
+    hat, shoe = report.feedback_report(rows).orderBy("first_review").collect()
+    assert "sentiment for hat is generally positive." in hat["summary"] and "High review volume" in hat["summary"]
+    assert "sentiment for shoe is largely negative." in shoe["summary"] and "Low to moderate volume" in shoe["summary"]
+    assert shoe["strengths"].endswith("No specific praise themes detected.") and shoe["recommendations"].count("\n- ") == 3
     bold = report.markdown_sections(report.feedback_report(rows)).orderBy("part", "place").collect()
-    assert bold[1]["value"].startswith("## Model: laptop one\n**Summary**: 6.1 Summary\n")
+    assert bold[1]["value"].startswith("## Model: hat\n**Summary**: 6.1 Summary\n")
 
 
-@pytest.mark.parametrize("positive, tone", [
-    (75.0, "generally positive"), (75.01, "overwhelmingly positive"), (50.0, "mixed"), (30.0, "largely negative"), (30.01, "mixed"),
-])
 def test_tones_are_strict(spark, positive, tone):
     rows = spark.createDataFrame([("m", 50, positive, 0.0, 0.0, "", "", 1)], STATS)
     summary = report.feedback_report(rows).first()["summary"]
