@@ -27,6 +27,7 @@ def main(names):
         "bench",
         spark__master=f"local[{cpus}]",
         spark__sql__shuffle__partitions=cpus,
+        spark__opinionloom__partitions=cpus,
         spark__driver__memory="16g",
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",

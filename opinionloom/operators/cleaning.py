@@ -16,18 +16,23 @@ def preprocess_reviews(reviews, text="original_review"):
     return cleaned.withColumn("cleaned_review", _null_if_meaningless(F.col("cleaned_review")))
 
 
-def translate_reviews(reviews, translator=None, lang="lang"):
+def translate_reviews(reviews, translator=None, lang="lang", detector=None):
     """Add ``translated_review`` and ``final_review``.
 
-    ``translator`` maps a text Column to a Column; it sees only the texts whose ``lang`` calls
-    for it, and NULL otherwise, so one pass serves all rows.  A text that it returns as NULL
-    stays as it was.  With ``lang=None`` it sees every text.  Without a translator both columns
-    equal ``cleaned_review``.
+    ``translator`` maps a text Column to a Column; it sees only the texts whose language calls
+    for it, and NULL otherwise, so one pass serves all rows.  The language is what ``detector`` (a function from
+    a text Column to a Column) says, or else the column ``lang``; with ``lang=None`` the translator sees every
+    text.  A text that it returns as NULL stays as it was.  Without a translator both columns equal
+    ``cleaned_review``.
     """
     cleaned = F.col("cleaned_review")
     if translator is None:
         return reviews.withColumn("translated_review", cleaned).withColumn("final_review", cleaned)
-    foreign = F.lit(True) if lang is None else F.coalesce(~F.col(lang).isin(*NO_TRANSLATION), F.lit(False))
+    if detector is not None:
+        reviews, language = reviews.withColumn("_language", detector(cleaned)), F.col("_language")
+    else:
+        language = None if lang is None else F.col(lang)
+    foreign = F.lit(True) if language is None else F.coalesce(~language.isin(*NO_TRANSLATION), F.lit(False))
     translated = reviews.withColumn("_translation", translator(F.when(foreign, cleaned)))
     recleaned = translated.withColumn(
         "translated_review", txt.clean_text(F.coalesce(F.col("_translation"), cleaned))
@@ -35,7 +40,7 @@ def translate_reviews(reviews, translator=None, lang="lang"):
     return (
         recleaned.withColumn("translated_review", _null_if_meaningless(F.col("translated_review")))
         .withColumn("final_review", F.col("translated_review"))
-        .drop("_translation")
+        .drop("_translation", "_language")
     )
 
 
@@ -44,18 +49,24 @@ def mark_repeats(reviews, group=("model",), text="final_review"):
 
     The first ``review_id`` of each distinct text is found by an aggregate over a digest, so a
     text that makes up a large part of the input is combined before the shuffle.  The reviews
-    themselves are joined on the unique ``review_id``, which cannot be skewed.
+    themselves are joined on the unique ``review_id``, which cannot be skewed, and the normalised
+    text is made after that, so that it need not travel.
     """
-    keyed = reviews.withColumn("norm_review", txt.normalise_review(F.col(text)))
-    first = _by_distinct_text(keyed, group).agg(F.min("review_id").alias("review_id"))
-    first = first.select("review_id", F.lit(True).alias("_first"))
+    marked = with_first(reviews, group, text)
     return (
-        keyed.join(first, "review_id", "left")
+        marked.withColumn("norm_review", txt.normalise_review(F.col(text)))
         .withColumn(text, F.when(F.col("_first"), F.col(text)))
         .drop("_first")
     )
 
 
+def with_first(reviews, group=("model",), text="final_review"):
+    """Add ``_first``, which is true for the first review of each normalised text of a group and NULL for others."""
+    keyed = reviews.select("review_id", *group, txt.normalise_review(F.col(text)).alias("norm_review"))
+    first = _by_distinct_text(keyed, group).agg(F.min("review_id").alias("review_id"))
+    return reviews.join(first.select("review_id", F.lit(True).alias("_first")), "review_id", "left")
+
+
 def quality_report(reviews, group=("model",)):
     """One row: reviews in all, worthless ones, and repeats (missing texts count as equal)."""
     keyed = reviews.withColumn("norm_review", txt.normalise_review(F.col("final_review")))

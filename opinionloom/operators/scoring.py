@@ -27,7 +27,7 @@ def score_overall(rows, text, scorer=None):
     scored = rows.withColumn("_score", scorer(given))
     raw = F.col("_score")["raw_label"]
     return scored.select(
-        *rows.columns,
+        *[F.col("`" + c.replace("`", "``") + "`") for c in rows.columns],
         raw.alias("overall_raw"),
         labels.display_label(raw).alias("overall_sentiment"),
         F.bround(F.col("_score")["confidence"], 4).alias("overall_confidence"),

@@ -1,7 +1,7 @@
 """Training set, classifier and its metrics."""
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import functions as F
 
@@ -65,6 +65,15 @@ class Classifier:
         self.features = features
         self.model = model
 
+    def save(self, path):
+        """Write features and model below the path, for ``Classifier.load`` in another session."""
+        self.features.write().overwrite().save(f"{path.rstrip('/')}/features")
+        self.model.write().overwrite().save(f"{path.rstrip('/')}/model")
+
+    @classmethod
+    def load(cls, path):
+        return cls(PipelineModel.load(f"{path.rstrip('/')}/features"), LogisticRegressionModel.load(f"{path.rstrip('/')}/model"))
+
     def predict(self, pairs, text="text", aspect="aspect"):
         """Add ``prediction`` (class id) and ``predicted_label``."""
         scored = self.model.transform(self.features.transform(with_tokens(pairs, text, aspect)))

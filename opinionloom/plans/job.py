@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from opinionloom.functions.text import normalise_review
 from opinionloom.operators.aspects import aspect_pivot, aspect_rows, clause_aspects
-from opinionloom.operators.cleaning import mark_repeats, preprocess_reviews, translate_reviews
+from opinionloom.operators.cleaning import preprocess_reviews, translate_reviews, with_first
 from opinionloom.operators.evidence import aspect_shares, business_summaries
 from opinionloom.operators.report import feedback_report, markdown_full, markdown_sections
 from opinionloom.operators.scoring import score_overall, score_reviews
@@ -11,30 +12,31 @@ from opinionloom.operators.stats import model_stats
 from opinionloom.operators.training import train_classifier, training_set
 from opinionloom.operators.vectors import embed_reviews
 from opinionloom.sources.keyed import upsert_keyed
-from opinionloom.sources.shared import kept
+from opinionloom.sources.shared import cached, workspace
 from opinionloom.sources.writers import write_markdown, write_results, write_table
 
 
-def final_reviews(reviews, translator=None, keep=True, with_original=True):
+def final_reviews(reviews, translator=None, keep=True, with_original=True, lang=None, detector=None):
     """Clean, reject, translate and mark repeats.
 
-    Finding repeats reads the cleaned texts twice.  Cleaning them costs far more than writing
-    and reading them, so they are kept as a table in between; ``keep=False`` recomputes instead.
-    Without the original texts that table is half as large.
+    Finding repeats reads the cleaned texts twice.  Cleaning them costs far more than storing
+    and reading them, so they are stored at their first use; ``keep=False`` recomputes instead.
+    Without the original texts one text per review is stored and shuffled; the other columns are made
+    from it afterwards.  ``lang`` names a column with the language, ``detector`` finds it; without both a
+    translator sees every text.
     """
-    stage = translate_reviews(preprocess_reviews(reviews), translator)
+    stage, text = preprocess_reviews(reviews), "cleaned_review"
+    if translator is not None:
+        stage, text = translate_reviews(stage, translator, lang, detector).drop("final_review"), "translated_review"
     if not with_original:
         stage = stage.drop("original_review")
-    if translator is None:
-        # The later columns equal the cleaned one and need no place of their own in the table.
-        stage = stage.drop("translated_review", "final_review")
-    else:
-        stage = stage.drop("final_review")
-    if keep:
-        stage = kept(stage, "cleaned")
-    if translator is None:
-        stage = stage.withColumn("translated_review", F.col("cleaned_review"))
-    return mark_repeats(stage.withColumn("final_review", F.col("translated_review")))
+    stage = with_first(cached(stage) if keep else stage, text=text)
+    return (
+        stage.withColumn("translated_review", F.col(text))
+        .withColumn("final_review", F.when(F.col("_first"), F.col(text)))
+        .withColumn("norm_review", normalise_review(F.col(text)))
+        .drop("_first")
+    )
 
 
 def with_known_labels(reviews, known):
@@ -49,15 +51,23 @@ def with_known_labels(reviews, known):
 
 
 class Run:
-    """Tables of one run of the job."""
+    """Tables of one run of the job.
+
+    What several results start from is stored at its first use; ``close`` forgets it and deletes what was
+    written in between.
+    """
 
-    def __init__(self, scored, denominator="labelled"):
+    def __init__(self, scored, denominator="labelled", space=None):
+        self.space = space or workspace(scored.sparkSession)
         self.scored = scored
         self.aspects = aspect_rows(scored)
         # A small table that the reports and the preview all start from.
-        self.stats = kept(model_stats(scored, denominator), "stats")
+        self.stats = self.space.cached(model_stats(scored, denominator))
         self.feedback = feedback_report(self.stats)
 
+    def close(self):
+        self.space.close()
+
     def write(self, folder, format="parquet"):
         """Write the tables and both Markdown reports; statistics in order of first appearance."""
         paths = write_results(
@@ -77,25 +87,28 @@ class Run:
         return tuple(table.orderBy("first_review").limit(n) for table in (self.stats, self.feedback))
 
 
-def run(reviews, scorer=None, translator=None, denominator="labelled"):
-    """Run the job on loaded reviews.
+def run(reviews, scorer=None, translator=None, denominator="labelled", lang=None, detector=None, space=None):
+    """Run the job on loaded reviews; no Spark job starts before a result is used.
 
-    The scored reviews feed several results, so they are kept in the shared folder once.
+    ``lang`` and ``detector`` say which texts a ``translator`` sees, see ``final_reviews``.  The scored reviews feed
+    several results, so they are stored once, in the workspace ``space`` (by default the application's).
     """
-    return Run(kept(score_reviews(final_reviews(reviews, translator), scorer)), denominator)
+    space = space or workspace(reviews.sparkSession)
+    final = final_reviews(reviews, translator, lang=lang, detector=detector)
+    return Run(space.cached(score_reviews(final, scorer)), denominator, space)
 
 
-def run_twice(reviews, scorer=None, translator=None, denominator="labelled", **training):
+def run_twice(reviews, scorer=None, translator=None, denominator="labelled", lang=None, detector=None, **training):
     """Run the job, train a classifier on its aspect rows, and run again with that classifier.
 
     Returns the second run, the classifier and its metrics; without aspect rows the first run.
     """
-    first = run(reviews, scorer, translator, denominator)
+    first = run(reviews, scorer, translator, denominator, lang, detector)
     if first.aspects.isEmpty():
         return first, None, None
-    classifier, metrics = train_classifier(kept(training_set(first.aspects), "training"), **training)
+    classifier, metrics = train_classifier(first.space.cached(training_set(first.aspects)), **training)
     unscored = first.scored.drop("sentiment_score", "sentiment_label")
-    return Run(kept(classifier.score_reviews(unscored)), denominator), classifier, metrics
+    return Run(first.space.cached(classifier.score_reviews(unscored)), denominator, first.space), classifier, metrics
 
 
 class UploadedAnalysis:

@@ -25,7 +25,7 @@ from opinionloom.operators import (
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
 from opinionloom.sources import keyed, readers, writers
-from opinionloom.sources.shared import kept, shared_folder
+from opinionloom.sources.shared import cached, kept, shared_folder
 from opinionloom.streaming import live
 
 QUERIES = {}
@@ -45,8 +45,14 @@ def table(spark, folder, name):
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def partitions(spark):
+    """In how many parts unsplittable files are dealt out: a setting of the session, by default not at all."""
+    number = spark.conf.get("spark.opinionloom.partitions", None)
+    return int(number) if number else None
+
+
 def documents(spark, folder, *columns):
-    return readers.spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id")
+    return readers.spread(table(spark, folder, "documents").select("doc_id", *columns), "doc_id", partitions(spark))
 
 
 def reviews(spark, folder):
@@ -90,7 +96,7 @@ def clauses(spark, folder):
 def model_figures(spark, folder, denominator="labelled"):
     # Read twice, for the counts and for the keywords.
     columns = "review_id", "model", "final_review", "sentiment_score", "sentiment_label"
-    return stats.model_stats(kept(scored(spark, folder).select(*columns), "scored"), denominator)
+    return stats.model_stats(cached(scored(spark, folder).select(*columns)), denominator)
 
 
 # Cleaning
@@ -103,7 +109,7 @@ def clean_documents(spark, folder):
 
 @query
 def clean_pages(spark, folder):
-    pages = readers.spread(table(spark, folder, "pages").select("page_id", "html"), "page_id")
+    pages = readers.spread(table(spark, folder, "pages").select("page_id", "html"), "page_id", partitions(spark))
     return pages.select("page_id", txt.clean_text(F.col("html")).alias("cleaned"))
 
 
@@ -239,6 +245,12 @@ def vocabulary_matches(spark, folder):
     return aspects.vocabulary_matches(documents(spark, folder, "text"), "text", phrases).select("doc_id", "term")
 
 
+@query
+def vocabulary_table_matches(spark, folder):
+    words = table(spark, folder, "benchmark").select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("term"))
+    return aspects.vocabulary_matches(documents(spark, folder, "text"), "text", words.where(F.length("term") >= 9)).select("doc_id", "term")
+
+
 @query
 def clause_split(spark, folder):
     texts = documents(spark, folder, "text")
@@ -259,7 +271,7 @@ def aspect_pivot(spark, folder):
 def clause_csv(spark, folder):
     path = shared_folder(spark, "clauses") + ".csv"
     writers.write_table(clauses(spark, folder).drop("review_text"), path, "csv")
-    return readers.read_table(spark, path).withColumn("confidence", F.col("confidence").cast("double"))
+    return readers.typed(readers.read_table(spark, path), {"review_index": "bigint", "clause_pos": "int", "confidence": "double"})
 
 
 @query
@@ -393,9 +405,10 @@ def bi_summary(spark, folder):
 @query
 def published_summaries(spark, folder):
     path = shared_folder(spark, "summaries")
-    rows = kept(absa(spark, folder), "aspects")
+    rows = cached(absa(spark, folder))
+    # Models that the second publication does not name keep what the first one said.
     job.publish_summaries(rows.where(F.col("label") == vocab.NEGATIVE), path)
-    job.publish_summaries(rows, path)
+    job.publish_summaries(rows.where(F.col("model_name").startswith("src1")), path)
     return evidence.summary_lines(keyed.read_keyed(spark, path))
 
 
@@ -418,8 +431,9 @@ def upsert_summary(spark, folder):
 
 @query
 def find_summary(spark, folder):
-    summaries = evidence.summary_json(evidence.business_summaries(evidence.aspect_shares(absa(spark, folder))))
-    return find_one(summaries, "model", "src1").select("model")
+    path = shared_folder(spark, "summaries")
+    job.publish_summaries(absa(spark, folder), path)
+    return evidence.summary_lines(find_one(keyed.read_keyed(spark, path), "model", "src1"))
 
 
 # Training and vectors
@@ -441,20 +455,28 @@ def classifier_metrics(spark, folder):
 
 @query
 def train_classifier(spark, folder):
-    rows = kept(absa(spark, folder), "aspects")
-    _, metrics = training.train_classifier(training.training_set(rows), dimensions=2**12, iterations=10)
-    return metrics
+    """Rows and predictions by split and label; how good these are is for the metrics to say."""
+    rows = cached(training.training_set(absa(spark, folder)))
+    classifier, _ = training.train_classifier(rows)
+    path = shared_folder(spark, "classifier")
+    classifier.save(path)
+    predicted = training.Classifier.load(path).predict(rows)
+    return predicted.groupBy("split", "label").agg(
+        F.count("*").alias("n_rows"), F.count_if(F.col("predicted_label").isin(*vocab.LABEL_IDS)).alias("predicted")
+    )
 
 
 @query
 def embed_reviews(spark, folder):
-    # Read twice, to fit the word weights and to apply them.
-    return vectors.embed_reviews(kept(scored(spark, folder), "scored"))
+    """The vectors in rows: every component that is not 0."""
+    vectors_of = vectors.embed_reviews(scored(spark, folder))
+    parts = vectors_of.select("original_index", "model", F.posexplode("embedding").alias("place", "value")).where("value <> 0")
+    return parts.withColumn("value", F.col("value").cast("double"))
 
 
 @query
 def embedded_documents(spark, folder):
-    embedded = vectors.embed_reviews(kept(scored(spark, folder), "scored"), dimensions=64)
+    embedded = vectors.embed_reviews(scored(spark, folder))
     return embedded.withColumn("dimensions", F.size("embedding")).drop("embedding")
 
 
@@ -521,9 +543,53 @@ def csv_numbered(spark, folder):
 @query
 def uploaded_csv(spark, folder):
     path = shared_folder(spark, "uploaded") + ".csv"
-    writers.write_table(table(spark, folder, "documents").select("doc_id", "lang", "text"), path, "csv")
+    columns = F.col("doc_id").alias("review_id"), F.col("lang").alias("a.b"), "text"
+    writers.write_table(table(spark, folder, "documents").select(*columns), path, "csv")
     uploaded = readers.load_uploaded(spark, path, "text")
-    return job.UploadedAnalysis(uploaded, scorer=word_scorer()).reviews.drop("text", "review_id")
+    analysis = job.UploadedAnalysis(uploaded, readers.UPLOAD_TEXT, readers.UPLOAD_ID, word_scorer())
+    return analysis.reviews.drop(readers.UPLOAD_ID)
+
+
+@query
+def run_translated(spark, folder):
+    def load_model():
+        return lambda texts: [f"translated!! {text}" for text in texts]
+
+    path = shared_folder(spark, "reviews") + ".csv"
+    columns = F.col("source").alias("Product"), F.col("text").alias("Review"), "lang", "doc_id"
+    writers.write_table(table(spark, folder, "documents").select(*columns), path, "csv")
+    loaded = readers.load_reviews(spark, path, id_column="doc_id", extra=["lang"])
+    done = job.run(loaded, word_scorer(), batch_translator(load_model), lang="lang")
+    return done.scored.select("review_id", "model", "translated_review", "final_review", "sentiment_label")
+
+
+@query
+def reloaded_first_records(spark, folder):
+    path = shared_folder(spark, "aspects") + ".csv"
+    writers.write_table(absa(spark, folder), path, "csv")
+    return evidence.payload_records(evidence.first_records(readers.load_aspects(spark, path), 5))
+
+
+@query
+def reloaded_model_stats(spark, folder):
+    path = shared_folder(spark, "scored") + ".csv"
+    columns = "review_id", "model", "final_review", "sentiment_score", "sentiment_label"
+    writers.write_table(scored(spark, folder).select(*columns), path, "csv")
+    again, _ = readers.load_scored(spark, path, path + ".none.csv")
+    return stats.model_stats(again)
+
+
+@query
+def plain_aspect_file(spark, folder):
+    """Aspect rows of a file with the four plain columns, numbered in its order."""
+    path = shared_folder(spark, "aspects") + ".csv"
+    rows = table(spark, folder, "documents").select(
+        F.col("doc_id"), F.concat(F.lit("text "), F.col("doc_id")).alias("text"), F.lit("price").alias("aspect"),
+        F.lit(vocab.POSITIVE).alias("label"), F.col("source").alias("model_name"),
+    )
+    in_order = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").drop("doc_id")
+    writers.write_table(in_order, path, "csv")
+    return evidence.payload_records(evidence.first_records(readers.load_aspects(spark, path), 5))
 
 
 @query
@@ -543,20 +609,28 @@ def stored_results(spark, folder):
 
 @query
 def retrained_stats(spark, folder):
-    first = kept(scored(spark, folder), "scored")
-    classifier, _ = training.train_classifier(
-        training.training_set(aspects.aspect_rows(first, TERMS)), dimensions=2**12, penalties=(0.01,), iterations=10
-    )
+    """Every review with a text has a label of the new classifier; the labels are its own."""
+    first = cached(scored(spark, folder))
+    classifier, _ = training.train_classifier(training.training_set(aspects.aspect_rows(first, TERMS)))
     rescored = classifier.score_reviews(first.drop("sentiment_score", "sentiment_label"))
-    return stats.model_stats(kept(rescored, "rescored")).drop("first_review")
+    figures = stats.model_stats(cached(rescored))
+    whole = F.round(F.col("pct_positive") + F.col("pct_negative") + F.col("pct_neutral")).cast("int")
+    return figures.select("model", "total_reviews", "valid_cleaned_reviews", whole.alias("percent"), "first_review")
 
 
 # Streams
 
 
-def arrivals(spark, folder):
-    schema = table(spark, folder, "events").schema
-    stream = live.read_arrivals(spark, f"{folder}/events*.parquet", schema)
+WEEKS = (range(1, 9), range(9, 17), range(17, 25), range(25, 32))
+
+
+def arrivals(spark, folder, weeks=WEEKS):
+    """The events of some parts of the month as a stream of one file each, in this order, one file at a time."""
+    path = shared_folder(spark, "arrivals")
+    events = table(spark, folder, "events")
+    for days in weeks:
+        events.where(F.dayofmonth("ts").isin(*days)).coalesce(1).write.mode("append").parquet(path)
+    stream = live.read_arrivals(spark, path, events.schema, files_per_trigger=1)
     stars = F.floor(F.col("value") % 5).cast("double") + 1
     return (
         stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -582,9 +656,11 @@ def stream_dedupe(spark, folder):
 
 @query
 def stream_upsert(spark, folder):
-    path, checkpoint = shared_folder(spark, "users"), shared_folder(spark, "users-progress")
+    """The late half of the month comes first; the early half, from a second checkpoint, changes no stored row."""
+    path = shared_folder(spark, "users")
     columns = "user_id", "event_type", "event_id", "sentiment_label"
-    live.drain_to_keyed_table(
-        arrivals(spark, folder).select(*columns), path, ["user_id", "event_type"], checkpoint, "event_id"
-    )
+    for weeks in (WEEKS[2:], WEEKS[:2]):
+        some = arrivals(spark, folder, weeks).select(*columns)
+        live.drain_to_keyed_table(some, path, ["user_id", "event_type"], shared_folder(spark, "users-progress"), "event_id")
+    keyed.prune_keyed(spark, path)
     return keyed.read_keyed(spark, path)

@@ -1,43 +1,142 @@
-"""Keyed tables on a file system: every upsert writes a whole new version next to the old ones.
+"""Keyed tables on a file system, kept in hash buckets of their keys.
 
-A version counts once its ``_SUCCESS`` mark is there, so a reader never meets a half-written
-one, and a write that failed can simply run again.
+Every upsert writes a new version with the buckets that it touches; the others stay where they are.  A version
+counts once its ``_SUCCESS`` mark is there, so a reader never meets a half-written one.  A writer
+first claims the number of its version, so two of them cannot write the same one.
 """
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from opinionloom.operators.upsert import upsert
+from opinionloom.sources.shared import delete_path, file_system
+
+BUCKETS = 16
+
+
+class BusyTable(RuntimeError):
+    """Another write has claimed the next version."""
+
 
+def versions(spark, path):
+    """Complete versions as ``{number: (folder, source)}``."""
+    out = {}
+    for mark in _listed(spark, f"{path.rstrip('/')}/_version=*/_SUCCESS"):
+        folder = mark.rsplit("/", 1)[0]
+        number, _, source = folder.rsplit("=", 1)[1].partition("~")
+        out[int(number)] = (folder, source)
+    return out
 
-def newest_version(spark, path, before=None):
-    """Number of the newest complete version (below ``before``), or None."""
-    jvm = spark.sparkContext._jvm
-    marks = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
-    found = marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(marks) or []
-    numbers = [int(status.getPath().getParent().getName().split("=")[1]) for status in found]
-    return max((n for n in numbers if before is None or n < before), default=None)
 
+def newest_version(spark, path):
+    """Number of the newest complete version, or None."""
+    return max(versions(spark, path), default=None)
 
-def read_keyed(spark, path, version=None):
-    """The newest (or the named) version of a keyed table."""
-    if version is None:
-        version = newest_version(spark, path)
-    if version is None:
+
+def read_keyed(spark, path, version=None, buckets=None):
+    """The newest (or the named) state of a keyed table; ``buckets`` names those wanted, by default all."""
+    found = _bucket_folders(spark, path, version)
+    folders = [own[-1] for bucket, own in sorted(found.items()) if buckets is None or bucket in buckets]
+    if not found:
         raise FileNotFoundError(f"no keyed table at {path}")
-    return spark.read.parquet(_folder(path, version))
+    if not folders:
+        return spark.read.parquet(next(iter(found.values()))[-1]).limit(0)
+    # Columns that came with a later update are missing in the buckets it did not touch.
+    return spark.read.option("mergeSchema", "true").parquet(*folders)
+
+
+def upsert_keyed(updates, path, keys, order=None, source=None, buckets=BUCKETS, takeover=False):
+    """Merge updates into the keyed table, which need not exist yet; returns the number of the version.
+
+    See ``upsert`` for the rules.  ``source`` names the updates: if a complete version has it, they are in already and
+    nothing is written.  Another writer's claim on the next version raises ``BusyTable``; ``takeover`` says that
+    this writer is known to have failed.  ``buckets`` counts when the table is new.
+    """
+    spark, path = updates.sparkSession, path.rstrip("/")
+    known = versions(spark, path)
+    source = source or uuid.uuid4().hex
+    for number, (_, own) in known.items():
+        if own == source:
+            return number
+    number = max(known, default=-1) + 1
+    _claim(spark, f"{path}/_claims/{number}", source, takeover)
+    if newest_version(spark, path) != (number - 1 if number else None):
+        raise BusyTable(f"version {number} of {path} has been written meanwhile")
+    buckets = _bucket_number(spark, path, buckets)
+    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+    touched = [row[0] for row in updates.select(bucket).distinct().collect()]
+    try:
+        stored = read_keyed(spark, path, buckets=touched)
+    except FileNotFoundError:
+        stored = updates.limit(0)
+    merged = upsert(stored, updates, keys, order).withColumn("_bucket", bucket)
+    merged.write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_version={number}~{source}")
+    return number
 
 
-def upsert_keyed(updates, path, keys, order=None, version=None):
-    """Merge updates into the keyed table, which need not exist yet; returns the new version.
+def prune_keyed(spark, path, keep=1):
+    """Delete the folders of buckets that ``keep`` or more newer versions replace; returns how many went.
 
-    Naming the ``version`` makes a repeated write replace its own output.
+    Readers of the ``keep`` newest states are not disturbed.
     """
-    spark = updates.sparkSession
-    newest = newest_version(spark, path, before=version)
-    stored = updates.limit(0) if newest is None else read_keyed(spark, path, newest)
-    if version is None:
-        version = 0 if newest is None else newest + 1
-    upsert(stored, updates, keys, order).write.mode("overwrite").parquet(_folder(path, version))
-    return version
+    old = [folder for own in _bucket_folders(spark, path).values() for folder in own[:-keep]]
+    for folder in old:
+        delete_path(spark, folder)
+    return len(old)
+
+
+def _bucket_folders(spark, path, version=None):
+    """Folders of each bucket in complete versions up to the named one, oldest first."""
+    complete = {folder: number for number, (folder, _) in versions(spark, path).items() if version is None or number <= version}
+    found = {}
+    for folder in _listed(spark, f"{path.rstrip('/')}/_version=*/_bucket=*"):
+        parent, name = folder.rsplit("/", 1)
+        if parent in complete:
+            found.setdefault(int(name.split("=")[1]), []).append((complete[parent], folder))
+    return {bucket: [folder for _, folder in sorted(own)] for bucket, own in found.items()}
+
+
+def _listed(spark, pattern):
+    system, target = file_system(spark, pattern)
+    return [status.getPath().toString() for status in system.globStatus(target) or []]
+
+
+def _create(spark, path, text):
+    """Write a small file that must not be there yet; whether that worked."""
+    system, target = file_system(spark, path)
+    try:
+        stream = system.create(target, False)
+    except Exception:
+        if not system.exists(target):
+            raise
+        return False
+    stream.write(bytearray(text.encode()))
+    stream.close()
+    return True
+
+
+def _claim(spark, path, source, takeover):
+    if _create(spark, path, source):
+        return
+    if _text_of(spark, path) == source:
+        return
+    if not takeover:
+        raise BusyTable(f"{path} is claimed by another write")
+    delete_path(spark, path)
+    _claim(spark, path, source, False)
+
+
+def _bucket_number(spark, path, wanted):
+    _create(spark, f"{path}/_buckets", str(wanted))
+    return int(_text_of(spark, f"{path}/_buckets"))
 
 
-def _folder(path, version):
-    return f"{path.rstrip('/')}/version={version}"
+def _text_of(spark, path):
+    """The text of a small file."""
+    system, target = file_system(spark, path)
+    stream = system.open(target)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -1,5 +1,7 @@
 """Live views over arriving reviews, and keyed tables kept up to date by a stream."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from opinionloom.functions.vocab import NEGATIVE, POSITIVE
@@ -36,7 +38,11 @@ def first_arrivals(arrivals, keys, time="ts", delay="1 hour"):
 
 
 def drain_to_parquet(stream, path, checkpoint):
-    """Process all that is there now in append mode, then stop."""
+    """Process all that is there now in append mode, then stop.
+
+    Windows that the watermark has not closed yet are not written; they come with later arrivals, from
+    the same checkpoint.
+    """
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
@@ -48,12 +54,14 @@ def drain_to_parquet(stream, path, checkpoint):
 def drain_to_keyed_table(stream, path, keys, checkpoint, order):
     """Upsert every micro-batch into the keyed table at ``path``, then stop.
 
-    A batch writes the version of its own number, so a batch that runs again after a failure
-    replaces its own output and nothing else.
+    Every batch writes the next version and names itself in it by the checkpoint and its own number, so a batch
+    that runs again after a failure finds its version or takes its claim up again.  An arrival whose ``order`` is
+    below that of the stored row changes nothing.
     """
+    name = hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
 
     def merge(batch, number):
-        upsert_keyed(batch, path, keys, order, version=number)
+        upsert_keyed(batch, path, keys, order, source=f"{name}-{number}")
 
     query = (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

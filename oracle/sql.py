@@ -197,6 +197,8 @@ ASPECT_OF_CLAUSE = (
 )
 ORACLE["vocabulary_matches"] = f"""select doc_id, t.term from documents join
   (select distinct unnest({sql_list(sum(vocab.ASPECT_KEYWORDS.values(), []))}) as term) t on contains(lower(text), t.term)"""
+ORACLE["vocabulary_table_matches"] = r"""select doc_id, t.term from documents join
+  (select distinct unnest(string_split_regex(lower(text), '[^\p{L}]+')) as term from benchmark) t on length(t.term) >= 9 and contains(lower(text), t.term)"""
 # The data has no accented letter next to the three words, so plain word boundaries do.
 CLAUSES = f"""
 parts as (select doc_id, list_filter(list_transform(
@@ -210,7 +212,7 @@ best as (select *, {ASPECT_OF_CLAUSE} as b from judged),
 clause_aspects as (select doc_id as review_index, clause_pos, clause, case when b.h > 0 then b.a else 'Other' end as aspect,
    {display('raw_label')} as sentiment, raw_label, round_even(confidence, 4)::double as confidence from best)"""
 ORACLE["clause_aspects"] = f"with {CLAUSE_ASPECTS} select * from clause_aspects"
-ORACLE["clause_csv"] = f"""with {CLAUSE_ASPECTS} select review_index::varchar as review_index, clause_pos::varchar as clause_pos, clause, aspect,
+ORACLE["clause_csv"] = f"""with {CLAUSE_ASPECTS} select review_index, clause_pos, clause, aspect,
   sentiment, raw_label, confidence from clause_aspects"""
 ORACLE["clause_preview"] = f"""with {CLAUSE_ASPECTS} select * from clause_aspects order by review_index, clause_pos limit 100"""
 ORACLE["aspect_pivot"] = f"""with {CLAUSE_ASPECTS},
@@ -347,7 +349,7 @@ SHARES = f"""{ABSA}, shares as (select model_name as model, aspect, count(*) as
   from absa where model_name is not null group by 1, 2),
 rated as (select *, case when negative_share >= 0.5 then 'HIGH' when negative_share >= 0.25 then 'MEDIUM' else 'LOW' end as priority from shares)"""
 ORACLE["aspect_shares"] = f"with {SHARES} select * from rated"
-ORACLE["bi_summary"] = f"""with {SHARES},
+SUMMARY = f"""with {SHARES},
 lines as (
  select model, 1 as block, 0.0::double as o1, '' as o2, 'overview' as section, null as title, null as priority,
    model || ': ' || sum(mentions)::bigint || ' mentions of ' || count(*) || ' aspects, ' ||
@@ -363,14 +365,17 @@ lines as (
    printf('%.1f', negative_share * 100) || '% of ' || mentions || ' mentions are negative.',
    'Fewer complaints about ' || aspect from rated where negative_share >= 0.25)
 select model, (row_number() over (partition by model order by block, o1, o2) - 1)::int as line_no, section, title, priority, text, note from lines"""
-ORACLE["published_summaries"] = ORACLE["bi_summary"]
+ORACLE["bi_summary"] = SUMMARY
+ONLY_NEGATIVE = SUMMARY.replace("from absa where model_name is not null", "from absa where model_name is not null and label = 'Negative'", 1)
+ORACLE["published_summaries"] = f"""select * from ({SUMMARY}) where model like 'src1%'
+  union all select * from ({ONLY_NEGATIVE}) where model not like 'src1%'"""
+ORACLE["find_summary"] = f"select * from ({SUMMARY}) where model = 'src1'"
 ORACLE["upsert_summary"] = f"""with {SCORED},
 stored as (select model || '-' || lang as model, count(*) as reviews, min(review_id) as first_review from scored
   where sentiment_label = 'Negative' group by 1),
 news as (select model || '-' || lang as model, count(*) as reviews, avg(sentiment_score) as average from scored
   where sentiment_label = 'Positive' group by 1)
 select model, coalesce(n.reviews, s.reviews) as reviews, s.first_review, n.average from stored s full join news n using (model)"""
-ORACLE["find_summary"] = f"with {ABSA} select distinct model_name as model from absa where model_name = 'src1'"
 
 # Training and vectors
 
@@ -385,9 +390,22 @@ r as (select *, case when said > 0 then hits / said else 0 end as pr, case when
 f as (select *, case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end as f1 from r)
 select round(sum(hits) / sum(support), 10) as accuracy, round(sum(f1 * support) / sum(support), 10) as f1,
    round(sum(pr * support) / sum(support), 10) as precision, round(sum(re * support) / sum(support), 10) as recall from f"""
-ORACLE["embedded_documents"] = f"""with {SCORED} select final_review as review_text, 64 as dimensions, coalesce(model, 'Unknown') as model,
+ORACLE["embedded_documents"] = f"""with {SCORED} select final_review as review_text, 256 as dimensions, coalesce(model, 'Unknown') as model,
   coalesce(sentiment_label, 'Neutral') as sentiment_label, coalesce(sentiment_score, 0) as sentiment_score, review_id as original_index
   from scored where {strip('final_review')} <> ''"""
+ORACLE["embed_reviews"] = f"""with {SCORED},
+given as (select review_id, coalesce(model, 'Unknown') as model, unnest(list_filter({words('final_review')}, lambda w: w <> '')) as word
+  from scored where {strip('final_review')} <> ''),
+texts as (select count(*) as n from scored where {strip('final_review')} <> ''),
+hashed as (select review_id, model, (('0x' || substr(md5(word), 1, 8))::bigint % 256)::int as place, count(*) as uses from given group by all),
+weight as (select place, floor(1000 * ln(((select n from texts) + 1) / (count(*) + 1)) + 0.5)::bigint as w from hashed group by place),
+part as (select review_id, model, place, uses * w as v from hashed join weight using (place))
+select review_id as original_index, model, place, (v / sqrt((sum(v * v) over (partition by review_id))::double))::float::double as value
+from part where v <> 0"""
+ORACLE["train_classifier"] = f"with {SPLIT} select split, label, count(*) as n_rows, count(*) as predicted from pairs group by 1, 2"
+ORACLE["retrained_stats"] = f"""with {SCORED} select model, count(*) as total_reviews,
+  count(*) filter (where final_review <> '') as valid_cleaned_reviews, 100 as percent, min(review_id) as first_review
+  from scored where model is not null group by model"""
 ORACLE["vector_topk"] = """with probes as (select label, arg_min(embedding, vec_id) as probe from embeddings group by label),
 s as (select e.label, vec_id, list_cosine_similarity(embedding::double[], probe::double[]) as sim from embeddings e join probes using (label)),
 r as (select *, row_number() over (partition by label order by sim desc, vec_id)::int as rank from s)
@@ -414,8 +432,8 @@ ORACLE["csv_reviews"] = f"""select doc_id as review_id, {MISSING.format('source'
   {MISSING.format('text')} as original_review from documents"""
 ORACLE["csv_numbered"] = f"""select row_number() over (order by doc_id) - 1 as review_id, {MISSING.format('source')} as model,
   {MISSING.format('text')} as original_review from documents"""
-ORACLE["uploaded_csv"] = f"""with up as (select doc_id::varchar as doc_id, lang, {MISSING.format('text')} as text from documents),
-  {overall('text', 'up', 'doc_id, lang')}"""
+ORACLE["uploaded_csv"] = f"""with up as (select doc_id::varchar as review_id, lang as "a.b", text, {MISSING.format('text')} as _review_text from documents),
+  {overall('_review_text', 'up', 'review_id, "a.b", text, _review_text')}"""
 LEXICON_RUN = f"""{FINAL}, {lexicon("nullif(final_review, '')", 'final', 'review_id')},
 scored_by_words as (select final.*, {stars('raw_label')} as sentiment_score, raw_label as sentiment_label from final join judged using (review_id))"""
 
@@ -428,6 +446,18 @@ ORACLE["full_run"] = f"with {lexicon_figures()} select * exclude (first_review)
 ORACLE["stored_results"] = f"""with {LEXICON_RUN} select model, sentiment_label, count(*) as n from scored_by_words
   where sentiment_label is not null group by 1, 2"""
 
+TRANSLATED = f"""{CLEANED},
+sent as (select review_id, model, {clean("case when lang <> 'en' then 'translated!! ' || cleaned_review else cleaned_review end")} as t from cleaned),
+translated as (select review_id, model, null as lang, case when {junk('t')} then null else t end as cleaned_review from sent)"""
+ORACLE["run_translated"] = f"""with {TRANSLATED},{deduped('model').replace('from cleaned)', 'from translated)')},
+{lexicon("nullif(final_review, '')", 'final', 'review_id')}
+select review_id, model, cleaned_review as translated_review, final_review, raw_label as sentiment_label from final join judged using (review_id)"""
+ORACLE["reloaded_first_records"] = f"with {RECORDS} select * from records where review_id < 5"
+ORACLE["reloaded_model_stats"] = f"with {model_figures('labelled')} select * from figures"
+ORACLE["plain_aspect_file"] = """with r as (select source as model, doc_id, row_number() over (partition by source order by doc_id) - 1 as i from documents)
+select model, i::int as review_id, 'text ' || doc_id as review_text, 'price' as aspect, 'positive' as sentiment, 0.95::double as confidence
+from r where i < 5 and model is not null"""
+
 # Streams
 
 STARS = f"""e as (select *, floor(value % 5)::double + 1 as sentiment_score from events),
