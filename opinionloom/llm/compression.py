@@ -76,14 +76,15 @@ def fit(docs, labels, text="text", key="doc_id", label="quality", rows=SAMPLE_RO
     """A ``Model`` from labelled rows that are not held out.
 
     The sample is bounded: of each label, the ``rows`` rows whose keys have the smallest hashes, without texts over
-    ``most_bytes``.  Other columns of the tables are not looked at.  Without rows of both labels the score is the share of
+    ``most_bytes``; of rows that repeat a key, one.  Other columns of the tables are not looked at.  Without rows of both labels the score is the share of
     label 1, or one half.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(key).agg(F.max(label).alias("_label"))
     order = F.xxhash64(F.lit(11), F.col(key))
     chosen = known.where("_label = 0").orderBy(order, key).limit(rows).union(known.where("_label = 1").orderBy(order, key).limit(rows))
     texts = docs.select(F.col(key), F.col(text).alias("_text")).where(F.octet_length("_text").between(1, most_bytes))
-    drawn = texts.join(F.broadcast(chosen), key).select(key, F.col("_text").cast("binary").alias("text"), "_label").toArrow()
+    drawn = texts.join(F.broadcast(chosen), key).groupBy(key, "_label").agg(F.min("_text").alias("_text"))
+    drawn = drawn.select(key, F.col("_text").cast("binary").alias("text"), "_label").toArrow()
     share = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     good_share = share.get(1, 0) / sum(share.values()) if share else 0.5
     sample = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), drawn.column(2).to_pylist()))
