@@ -2,13 +2,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinionloom.functions.scorers import lexicon_scorer
+from opinionloom.functions import phrases
+from opinionloom.functions.scorers import batch_translator, lexicon_scorer
 from opinionloom.operators import training, vectors
+from opinionloom.operators.aspects import vocabulary_matches
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
 from opinionloom.sources import readers, writers
-from opinionloom.sources.keyed import newest_version, read_keyed, upsert_keyed
-from opinionloom.sources.shared import kept, shared_folder
+from opinionloom.sources.keyed import BusyTable, newest_version, prune_keyed, read_keyed, upsert_keyed
+from opinionloom.sources.shared import Workspace, kept, shared_folder
 from opinionloom.streaming import live
 
 
@@ -39,11 +41,41 @@ def test_keyed_table(spark, tmp_path):
     assert upsert_keyed(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), path, ["k"]) == 0
     assert upsert_keyed(spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), path, ["k"]) == 1
     assert rows_of(read_keyed(spark, path), "k") == [(1, "a"), (2, "c"), (3, "d")]
-    # Writing a version again replaces it; a version without its mark does not count.
-    assert upsert_keyed(spark.createDataFrame([(2, "e")], "k int, v string"), path, ["k"], version=1) == 1
-    assert rows_of(read_keyed(spark, path), "k") == [(1, "a"), (2, "e")]
-    (tmp_path / "keyed" / "version=2").mkdir()
+    # A version without its mark does not count, and an earlier state can still be read.
+    (tmp_path / "keyed" / "_version=2~x").mkdir()
     assert newest_version(spark, path) == 1
+    assert rows_of(read_keyed(spark, path, 0), "k") == [(1, "a"), (2, "b")]
+    # Updates that name their source are taken once.
+    news = spark.createDataFrame([(2, "e", 1.5)], "k int, v string, w double")
+    assert upsert_keyed(news, path, ["k"], source="s-0") == 2 == upsert_keyed(news, path, ["k"], source="s-0")
+    assert rows_of(read_keyed(spark, path).select("k", "v", "w"), "k") == [(1, "a", None), (2, "e", 1.5), (3, "d", None)]
+    assert prune_keyed(spark, path) >= 2 and prune_keyed(spark, path) == 0
+    assert rows_of(read_keyed(spark, path).select("k", "v"), "k") == [(1, "a"), (2, "e"), (3, "d")]
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    upsert_keyed(spark.range(1000).withColumn("v", F.lit(0)), path, ["id"], buckets=8)
+    upsert_keyed(spark.range(1).withColumn("v", F.lit(1)), path, ["id"])
+    assert len(list((tmp_path / "keyed").glob("_version=0*/_bucket=*"))) == 8
+    assert len(list((tmp_path / "keyed").glob("_version=1*/_bucket=*"))) == 1
+    assert read_keyed(spark, path).agg(F.count("*"), F.sum("v")).first() == (1000, 1)
+
+
+def test_orders_duplicates_and_other_writers(spark, tmp_path):
+    path, schema = str(tmp_path / "keyed"), "k int, at int, v string"
+    upsert_keyed(spark.createDataFrame([(1, 20, "new"), (1, 3, "old"), (2, 5, "x")], schema), path, ["k"], "at")
+    upsert_keyed(spark.createDataFrame([(1, 5, "late"), (2, 5, "same"), (3, 1, "first")], schema), path, ["k"], "at")
+    assert rows_of(read_keyed(spark, path), "k") == [(1, 20, "new"), (2, 5, "same"), (3, 1, "first")]
+    with pytest.raises(Exception, match="several updates for one key"):
+        upsert_keyed(spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], schema), path, ["k"], source="twice")
+    # The failed write keeps its claim, which it may take up again and others may not.
+    with pytest.raises(BusyTable):
+        upsert_keyed(spark.createDataFrame([(4, 1, "a")], schema), path, ["k"], "at")
+    assert upsert_keyed(spark.createDataFrame([(4, 1, "a")], schema), path, ["k"], "at", source="twice") == 2
+    (tmp_path / "keyed" / "_claims" / "3").write_text("someone")
+    assert upsert_keyed(spark.createDataFrame([(5, 1, "a")], schema), path, ["k"], "at", takeover=True) == 3
+    assert read_keyed(spark, path).count() == 5
 
 
 def test_load_reviews_from_csv(spark, tmp_path):
@@ -78,11 +110,94 @@ def test_rows_are_numbered_in_file_order(spark, tmp_path):
 
 def test_uploaded_table_keeps_its_columns(spark, tmp_path):
     path = tmp_path / "up.csv"
-    path.write_text("id,My Text\n7,great\n8,\n")
+    path.write_text("id,My Text,text,review_id,a.b,_path\n7,great,t1,r1,x,p\n8,,t2,r2,NA,q\n")
     uploaded = readers.load_uploaded(spark, str(path), "My Text")
-    assert rows_of(uploaded.select("review_id", "id", "text", "My Text"), "review_id") == [
-        (0, "7", "great", "great"), (1, "8", None, None),
+    assert uploaded.columns == ["_review_id", "_review_text", "id", "My Text", "text", "review_id", "a.b", "_path"]
+    assert rows_of(uploaded, "_review_id") == [
+        (0, "great", "7", "great", "t1", "r1", "x", "p"), (1, None, "8", None, "t2", "r2", "NA", "q"),
     ]
+    analysis = job.UploadedAnalysis(uploaded, readers.UPLOAD_TEXT, readers.UPLOAD_ID)
+    assert [r["overall_sentiment"] for r in analysis.reviews.orderBy("_review_id").collect()] == ["Positive", None]
+    (tmp_path / "own.csv").write_text("_review_id,x\n1,2\n")
+    with pytest.raises(ValueError, match="rename"):
+        readers.load_uploaded(spark, str(tmp_path / "own.csv"), "x")
+
+
+def test_numbering_without_a_broadcast_and_without_moving_texts(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "many.csv")
+    rows = spark.range(3000).select(F.col("id").alias("Product"), F.concat(F.lit("text "), "id").alias("Review"))
+    rows.repartitionByRange(6, "Product").sortWithinPartitions("Product").write.option("header", True).csv(path)
+    want = [(i, str(i), f"text {i}") for i in range(3000)]
+    reviews = readers.load_reviews(spark, path)
+    assert rows_of(reviews, "review_id") == want
+    plan = reviews._jdf.queryExecution().executedPlan().toString()
+    assert not any("Exchange" in line and "_row" in line for line in plan.splitlines())
+    monkeypatch.setattr(readers, "SPLITS_SENT", 0)
+    assert rows_of(readers.load_reviews(spark, path), "review_id") == want
+
+
+def test_stored_files_keep_their_types(spark, tmp_path):
+    path = str(tmp_path / "aspects.csv")
+    rows = [("t", "price", "Positive", "m", i, i % 3, 0) for i in range(200)]
+    schema = ", ".join(f"{n} {t}" for n, t in readers.ASPECT_TYPES.items())
+    writers.write_table(spark.createDataFrame(rows, schema), path, "csv")
+    again = readers.load_aspects(spark, path)
+    assert again.dtypes == readers.load_aspects(spark, str(tmp_path / "none.csv")).dtypes == list(readers.ASPECT_TYPES.items())
+    assert sorted(map(tuple, again.collect())) == sorted(rows)
+    (tmp_path / "plain.csv").write_text("text,aspect,label,model_name\n" + "".join(f"t{i},price,NA,m\n" for i in range(12)))
+    plain = rows_of(readers.load_aspects(spark, str(tmp_path / "plain.csv")), "review_id")
+    assert plain == [(f"t{i}", "price", None, "m", i, 0, 0) for i in range(12)]
+
+
+def test_workspace_deletes_what_it_kept(spark, tmp_path):
+    with Workspace(spark, str(tmp_path)) as space:
+        assert not list(tmp_path.iterdir())
+        assert space.kept(spark.range(5)).count() == 5
+        assert space.cached(spark.range(7)).count() == 7
+        assert len(list(tmp_path.iterdir())) == 1
+    assert not list(tmp_path.iterdir())
+
+
+def test_repeats_move_one_text(spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        final = job.final_reviews(reviews(spark), with_original=False)
+        lines = final._jdf.queryExecution().optimizedPlan().toString().splitlines()
+        exchanged = final._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert any("Join LeftOuter" in line for line in lines)
+    scans = [line for line in exchanged if "InMemoryTableScan" in line]
+    assert scans and all(sum(name in line.split("],")[0] for name in ("cleaned_review", "original_review", "translated_review")) <= 1 for line in scans)
+
+
+def test_no_job_before_a_result_is_used(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building a run")
+    try:
+        done = job.run(reviews(spark), lexicon_scorer())
+        done.stats, done.feedback, done.aspects
+        assert not tracker.getJobIdsForGroup("building")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_translation_in_the_job(spark, tmp_path):
+    def load_model():
+        return lambda texts: [t.replace("bon", "good") for t in texts]
+
+    path = tmp_path / "r.csv"
+    path.write_text("Product,Review,lang\nA,bon phone,fr\nA,bon bon,en\nB,good phone,en\n")
+    loaded = readers.load_reviews(spark, str(path), extra=["lang"])
+    translator = batch_translator(load_model)
+
+    def texts(**options):
+        return [r["final_review"] for r in job.run(loaded, lexicon_scorer(), translator, **options).scored.orderBy("review_id").collect()]
+
+    assert texts(lang="lang") == ["good phone", "bon bon", "good phone"]
+    assert texts() == ["good phone", "good good", "good phone"]
+    assert texts(detector=lambda text: F.when(text.contains("bon bon"), "fr").otherwise("en")) == ["bon phone", "good good", "good phone"]
 
 
 def test_missing_aspect_table_is_empty(spark, tmp_path):
@@ -191,7 +306,7 @@ def test_metrics(spark):
         assert found[name] == pytest.approx(sum(weights[k] * values[k] for k in weights))
 
 
-def test_training_learns_and_rescoring_works(spark):
+def test_training_learns_and_rescoring_works(spark, tmp_path):
     words = {"Positive": "great lovely", "Negative": "broken awful", "Neutral": "plain usual"}
     rows = spark.createDataFrame(
         [(f"{words[label]} thing {i % 7}", "battery", label, "m", i, 0, 0) for i in range(300) for label in [list(words)[i % 3]]],
@@ -205,6 +320,9 @@ def test_training_learns_and_rescoring_works(spark):
     again = spark.createDataFrame([(1, "awful broken"), (2, "lovely"), (3, None), (4, "")], "review_id bigint, final_review string")
     labels = {r["review_id"]: r["sentiment_label"] for r in classifier.score_reviews(again).collect()}
     assert labels == {1: "Negative", 2: "Positive", 3: None, 4: None}
+    classifier.save(str(tmp_path / "classifier"))
+    loaded = training.Classifier.load(str(tmp_path / "classifier"))
+    assert {r["review_id"]: r["sentiment_label"] for r in loaded.score_reviews(again).collect()} == labels
 
 
 def stored_vectors(spark):
@@ -230,10 +348,38 @@ def test_vector_search_is_exact(spark):
     for q, query in enumerate(queries):
         assert [r["vec_id"] for r in found if r["query_id"] == q] == brute_force(data, query, range(400), 6)
     probes = table.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("probe"))
-    near = vectors.nearest_in_group(table, probes, "label", 4).orderBy("label", "rank").collect()
-    for label in range(3):
-        probe = data[label].astype(np.float32).astype(float)
-        assert [r["vec_id"] for r in near if r["label"] == label] == brute_force(data, probe, range(label, 400, 3), 4)
+    for sent in (10, 0):
+        near = vectors.nearest_in_group(table, probes, "label", 4, sent=sent).orderBy("label", "rank").collect()
+        for label in range(3):
+            probe = data[label].astype(np.float32).astype(float)
+            assert [r["vec_id"] for r in near if r["label"] == label] == brute_force(data, probe, range(label, 400, 3), 4)
+    for bad in ([0.0] * 8, [float("nan")] * 8):
+        with pytest.raises(ValueError):
+            vectors.search_vectors(table, [bad], 3)
+    with pytest.raises(Exception, match="length above 0"):
+        zero = probes.withColumn("probe", F.transform("probe", lambda x: x * 0))
+        vectors.nearest_in_group(table, zero, "label", 4).collect()
+
+
+def test_nearest_in_a_hot_group(spark):
+    data, table = stored_vectors(spark)
+    hot = table.withColumn("label", F.when(F.col("vec_id") % 10 == 0, 1).otherwise(0))
+    probes = hot.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("probe"))
+    near = vectors.nearest_in_group(hot, probes, "label", 7, sent=0).orderBy("label", "rank").collect()
+    ids = [i for i in range(400) if i % 10]
+    assert [r["vec_id"] for r in near if r["label"] == 0] == brute_force(data, data[1].astype(np.float32), ids, 7)
+
+
+def test_vocabulary_as_a_table(spark):
+    texts = spark.createDataFrame([(1, "The BATTERY life"), (2, "nothing"), (3, None), (4, "screen, battery; screens")], "id int, text string")
+    terms = spark.createDataFrame([("battery",), ("Battery life",), ("screen",), ("screens",), ("",), ("none",)], "term string")
+    want = {(1, "battery"), (1, "battery life"), (4, "battery"), (4, "screen"), (4, "screens")}
+    for sent in (4 << 20, 20):
+        found = [F.explode(hits).alias("term") for hits in phrases.table_hits(F.lower(F.col("text")), terms, sent)]
+        assert len(found) > 1 or sent > 20
+        assert {tuple(r) for part in found for r in texts.select("id", part).collect()} == want
+    assert {(r["id"], r["term"]) for r in vocabulary_matches(texts, "text", terms).collect()} == want
+    assert vocabulary_matches(texts, "text", terms.limit(0)).count() == 0
 
 
 def test_embeddings(spark):
