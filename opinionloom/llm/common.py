@@ -30,7 +30,23 @@ def quoted(name):
     return "`" + name.replace("`", "``") + "`"
 
 
-def blocks(array, most_bytes=1 << 21):
+#: Bytes of rows that a Python worker gets at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(rows):
+    """The rows, after bounding the batches that Python workers get by bytes, a setting of the session.
+
+    Texts may be long, and a worker holds a batch several times over.
+    """
+    conf, name = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    size = conf.get(name).lower().rstrip("b")
+    if not size.isdigit() or int(size) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return rows
+
+
+def blocks(array, most_bytes=1 << 19):
     """Bytes and offsets (one more than texts) of consecutive texts, in blocks of about so many bytes.
 
     Yields (first text, bytes, offsets from 0).  A longer text is a block of its own.

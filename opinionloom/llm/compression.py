@@ -7,7 +7,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, small_batches
 
 #: Bounds of the sample that the model is fitted on: rows of each label, and bytes of a text (longer ones are not drawn).
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 14
@@ -128,6 +128,6 @@ def classify(docs, labels, text="text", key="doc_id", label="quality", threshold
 
     Rows with a null key are not held out; repeated rows are scored each.
     """
-    model = fit(docs, labels, text, key, label, **bounds)
+    model = fit(small_batches(docs), labels, text, key, label, **bounds)
     rows = docs.select(F.col(key), is_held_out(key).alias("held_out"), scored(docs, model, text).alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .common import as_bytes, mixed, with_outputs
+from .common import as_bytes, mixed, small_batches, with_outputs
 
 #: Distinct lines that one task counts before it hands its counts on.
 HELD = 200_000
@@ -185,7 +185,7 @@ def drop_common_lines(docs, text="text", min_docs=10, min_chars=1, sweep_bytes=6
     null or empty text is one empty line, and a text that loses all its lines is empty.  Input columns
     called ``n_lines`` or ``n_dropped`` are replaced; repeated rows count as documents of their own.
     """
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     counts = line_counts(docs, text, min_chars).where(F.col("n_docs") >= min_docs)
     shards, bits = line_index(counts)
     sizes = shards.select("shard", sum(F.octet_length(x) for x in ("bits", "marks", "counts")).alias("size"))

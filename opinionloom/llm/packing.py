@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .common import as_bytes
+from .common import as_bytes, small_batches
 
 #: Ranks within a length stay below this, so that a length and a rank make one number.
 RANKS = 1 << 50
@@ -37,11 +37,7 @@ class Encoder:
     """
 
     def __init__(self, tokenizer, ranks=None):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.fast = Tokenizer.from_file(tokenizer), None
-        self.tokenizer.encode_special_tokens = True
+        self.path, self.whole, self.fast = tokenizer, None, None
         if ranks:
             import tiktoken
 
@@ -49,11 +45,20 @@ class Encoder:
                 known = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.fast = tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=known, special_tokens={})
 
+    def tokenizer(self):
+        if self.whole is None:
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.whole = Tokenizer.from_file(self.path)
+            self.whole.encode_special_tokens = True
+        return self.whole
+
     def __call__(self, text):
         if self.fast and (len(text) < 100_000 or not _long_gap.search(text)):
             ids = self.fast.encode_ordinary(text)
         else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            ids = self.tokenizer().encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
 
@@ -101,7 +106,7 @@ def pieces(docs, tokenizer, ranks=None, text="text", key="doc_id", capacity=2048
         return pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names + ["ids"] * with_ids)
 
     schema = f"`{name}` {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids
-    return docs.select(F.col(key), as_bytes(text).alias("_text")).mapInArrow(cut, schema)
+    return small_batches(docs).select(F.col(key), as_bytes(text).alias("_text")).mapInArrow(cut, schema)
 
 
 def dominating_set(counts, a, capacity):

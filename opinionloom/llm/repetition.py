@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODES, IS_WHITE, as_bytes, blocks, mixed, segment_hashes, with_outputs
+from .common import BYTE_CODES, IS_WHITE, as_bytes, blocks, mixed, segment_hashes, small_batches, with_outputs
 
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
@@ -109,7 +109,7 @@ def measured(docs, text="text", coverage=None, line_limit=LINES):
             [pa.array(np.concatenate([x[name] for x in found]) if found else [], pa.int64()) for name in names], names
         )
 
-    rows = docs.drop("_measures").withColumn("_measures", counts(as_bytes(text)))
+    rows = small_batches(docs).drop("_measures").withColumn("_measures", counts(as_bytes(text)))
     of = lambda name: F.col(f"_measures.{name}")
     failed = (of("n_words") < LEAST_WORDS) | (100 * of("n_repeat_words") > MOST_REPEATED * of("n_words"))
     good = 100 * of("line_chars") <= line_limit * of("word_chars")

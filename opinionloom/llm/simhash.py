@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .common import as_bytes, quoted, with_outputs
+from .common import as_bytes, quoted, small_batches
 
 #: Most members of a bucket that one task compares with each other; larger ones are split by more masks.
 BUCKET = 4096
@@ -183,7 +183,7 @@ def near_duplicates(docs, text="text", key="doc_id", width=3, radius=3, most=BUC
     bits (null where all keys are null), ``n_near`` the documents with the same fingerprint.  Equal
     fingerprints are one point; only points are bucketed and linked.  Empty texts have fingerprint 0.
     """
-    own = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprints(text, width).alias("fp"))
+    own = small_batches(docs).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprints(text, width).alias("fp"))
     own = kept(own, "fingerprints")
     points = kept(own.groupBy("fp").agg(F.count("*").alias("n_near"), F.min("key").alias("least")), "points")
     roots = components(near_links(points.select("fp"), radius, most))

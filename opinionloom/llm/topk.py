@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
+from .common import small_batches
 
 #: Rows of the index in one block, and queries that are answered by one block in one go.
 BLOCK_ROWS = 1 << 16
@@ -183,7 +184,7 @@ def top_k(rows, key="vec_id", vector="embedding", is_query=None, k=20, scale=64,
     of the query's attributes with bitmap arithmetic, and keeps the best from the most significant slice of the sum
     downward; the best of all blocks are then ranked.
     """
-    numbers = quantised(rows, key, vector, scale)
+    numbers = quantised(small_batches(rows), key, vector, scale)
     blocks = build_index(numbers, block_rows)
     asked = quantised(rows.where(is_query) if is_query is not None else rows, key, vector, scale)
     asked = kept(asked.withColumn("uid", F.monotonically_increasing_id()), "queries")
