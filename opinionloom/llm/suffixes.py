@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .common import BASE, BYTE_CODES, INVERSE, as_bytes, blocks, mixed, powers, quoted
+from .common import BASE, BYTE_CODES, INVERSE, as_bytes, blocks, mixed, powers, quoted, small_batches
 
 #: Bytes of the strings whose smallest hash names a window.
 GRAM = 64
@@ -210,13 +210,22 @@ def _runs(docs, length, gram):
     return docs.select(*PLACE, "_bytes").mapInArrow(cut, schema)
 
 
+def _same_place():
+    return F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))
+
+
+def _whole(rows):
+    """A use of all other columns, without which Spark would prune them differently in two joins, and then shuffle twice."""
+    return F.lit(0).cast("long") if "map<" in rows.schema["_row"].dataType.simpleString() else F.xxhash64("_row")
+
+
 def _contents(docs, firsts, length):
     """The bytes of the given stretches: their texts are cut where they lie."""
     kind = docs.schema["_key"].dataType.simpleString()
     lists = firsts.groupBy(*PLACE).agg(F.collect_list(F.struct("name", "content", "n", "start", "windows")).alias("parts"))
     lists = lists.select(*[F.col(c).alias(c + "2") for c in PLACE], "parts")
-    same = F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))
-    joined = docs.select(*PLACE, "_bytes").join(lists, same).select(*PLACE, "_bytes", "parts")
+    # The rows are dealt out with all their columns, as for the last join, so that Spark does that once.
+    joined = docs.join(lists, _same_place()).select(*PLACE, "_bytes", "parts", _whole(docs).alias("_all"))
 
     def cut(batches):
         for batch in batches:
@@ -313,10 +322,11 @@ def _by_windows(parts, length, both):
     return found.select(*PLACE, "start", (F.col("start") + length).alias("end"))
 
 
-def repeated_ranges(docs, text="text", key="doc_id", length=400, keep="none", gram=GRAM, most=GROUP):
-    """(key, two hashes of the text, start, end): byte ranges covered by strings of ``length`` bytes that occur elsewhere.
+def repeated_ranges(docs, length, keep, gram, most):
+    """(_key, _a, _b, start, end): byte ranges covered by strings of ``length`` bytes that occur elsewhere.
 
-    ``keep="none"`` gives all copies, ``keep="first"`` spares the first (by key, then by the hashes).  Every window of
+    ``docs`` has a place for each text (its key and two hashes of it) and its ``_bytes``.  ``keep="none"`` gives all
+    copies, ``keep="first"`` spares the first (in the order of places).  Every window of
     ``length`` bytes belongs to one stretch of windows with the same name, and equal windows have equal names.  So
     stretches with the same bytes are settled by counting, and of different ones with one name, a single copy
     each goes into a suffix array with the others of its name, and so do stretches that may repeat in themselves.  Where one name has more than ``most`` different
@@ -358,16 +368,17 @@ def drop_repeats(docs, text="text", key="doc_id", length=400, keep="none", gram=
     Null texts are empty.  Repeated rows are copies of each other with ``keep="none"``, and one document with ``keep="first"``.
     Input columns with the names of the outputs are replaced.
     """
-    own = [c for c in docs.columns]
-    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in own]).alias("_row"), as_bytes(text).alias("_bytes"), *[c.alias(n) for n, c in _named(docs, text, key).items()])
-    ranges = repeated_ranges(rows, text, key, length, keep, gram, most)
+    names = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
+    own = [c for c in docs.columns if c.lower() not in names]
+    others = F.struct(*[F.col(quoted(c)) for c in own if c != text], F.col(text).isNull().alias("_null"))
+    rows = small_batches(docs).select(others.alias("_row"), as_bytes(text).alias("_bytes"), *[c.alias(n) for n, c in _named(docs, text, key).items()])
+    ranges = repeated_ranges(rows, length, keep, gram, most)
     lists = ranges.groupBy(*PLACE).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_ranges"))
     lists = lists.select(*[F.col(c).alias(c + "2") for c in PLACE], "_ranges")
-    same = F.col("_key").eqNullSafe(F.col("_key2")) & (F.col("_a") == F.col("_a2")) & (F.col("_b") == F.col("_b2"))
-    joined = rows.join(lists, same, "left").select("_row", "_bytes", "_ranges")
+    joined = rows.join(lists, _same_place(), "left").select("_row", "_bytes", "_ranges")
 
     @F.arrow_udf("struct<n_bytes:long,n_removed:long,n_spans:long,kept_bytes:binary>")
-    def remove(texts: pa.Array, ranges: pa.Array) -> pa.Array:
+    def remove(texts: pa.Array, ranges: pa.Array, _: pa.Array) -> pa.Array:
         out = [[], [], [], []]
         flat, offsets = ranges.flatten(), np.concatenate([[0], np.cumsum(ranges.fill_null([]).value_lengths().to_numpy(zero_copy_only=False))])
         start, end = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("start", "end"))
@@ -385,7 +396,8 @@ def drop_repeats(docs, text="text", key="doc_id", length=400, keep="none", gram=
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         return pa.StructArray.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
-    done = joined.select("_row", remove("_bytes", "_ranges").alias("_done"))
-    names = ("n_bytes", "n_removed", "n_spans", "kept_bytes")
-    others = [c for c in own if c.lower() not in names]
-    return done.select(*[F.col(f"_row.{quoted(c)}") for c in others], *[F.col(f"_done.{n}") for n in names])
+    done = joined.select("_row", "_bytes", remove("_bytes", "_ranges", _whole(rows)).alias("_done"))
+    given = F.when(~F.col("_row._null"), F.col("_bytes").cast("string"))
+    return done.select(
+        *[given.alias(c) if c == text else F.col(f"_row.{quoted(c)}") for c in own], *[F.col(f"_done.{n}") for n in names]
+    )
