@@ -105,12 +105,17 @@ def randomness(tokens):
     chi = (F.cbrt(F.col("chi") / df) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     both = 2 * F.col("high") * (n - F.col("high"))
     spread = both * (both - n) / (n * n * (n - 1))
-    run = F.when(spread > 0, _two_sided((F.col("runs") - 1 - both / n) / F.sqrt(F.when(spread > 0, spread)))).otherwise(F.pow(F.lit(2.0), 1 - n))
+    run = (F.col("runs") - 1 - both / n) / F.sqrt(F.when(spread > 0, spread))
     along = F.col("serial") / ((k * k - 1) / 12 * F.sqrt(n - 1))
-    least = lambda p: F.greatest(p, F.lit(1e-30))
-    half = -(F.log(least(_two_sided(chi))) + F.log(least(run)) + F.log(least(_two_sided(along))))
-    p = F.exp(-half) * (1 + half + half * half / 2)
-    return rows.withColumn("p", F.when(F.col("alphabet").isNotNull(), p)).drop("alphabet", "places", "chi", "runs", "high", "serial")
+    # Columns in between, for the expressions below name each of them many times.
+    rows = rows.withColumns({"z_chi": chi, "z_run": run, "z_along": along})
+    rows = rows.withColumns({f"p_{x}": _two_sided(F.col(f"z_{x}")) for x in ("chi", "run", "along")})
+    one_sided = F.pow(F.lit(2.0), 1 - n)  # no run but one
+    logs = [F.log(F.greatest(p, F.lit(1e-30))) for p in (F.col("p_chi"), F.coalesce("p_run", one_sided), F.col("p_along"))]
+    rows = rows.withColumn("half", -(logs[0] + logs[1] + logs[2]))
+    p = F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2)
+    rows = rows.withColumn("p", F.when(F.col("alphabet").isNotNull(), p))
+    return rows.drop("alphabet", "places", "chi", "runs", "high", "serial", "half", *[f"{a}_{x}" for a in "zp" for x in ("chi", "run", "along")])
 
 
 def cleared_below(tested, rate=RATE):
