@@ -12,9 +12,11 @@ from .common import as_bytes, small_batches
 #: Bounds of the sample that the model is fitted on: rows of each label, and bytes of a text (longer ones are not drawn).
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 14
 #: Bytes of a dictionary, and the compression level.
-DICTIONARY, LEVEL = 1 << 16, 3
-#: Of the sample, this share makes the dictionaries; the rest calibrates the score.
-FOR_DICTIONARIES = 0.7
+DICTIONARY, LEVEL = 1 << 15, 3
+#: Pairs of dictionaries, each made from all parts of the sample but one, on which its differences are calibrated.
+PAIRS = 4
+#: Share of the straight logistic line in the score, which keeps the order where the steps of the calibration are level.
+STRAIGHT = 0.02
 
 
 def is_held_out(key):
@@ -23,21 +25,24 @@ def is_held_out(key):
 
 
 class Model:
-    """Two dictionaries, and the line that turns the difference of compressed sizes into log odds."""
+    """Pairs of dictionaries (bad, good), and what turns the difference of compressed sizes into a score.
 
-    def __init__(self, dictionaries, slope, base, level=LEVEL):
-        self.dictionaries, self.slope, self.base, self.level = dictionaries, slope, base, level
+    That is a rising curve through the given points, with a little of a logistic line.
+    """
+
+    def __init__(self, pairs, line, curve, level=LEVEL):
+        self.pairs, self.line, self.curve, self.level = pairs, line, curve, level
+
+    def differences(self):
+        """For each pair a function from a text (bytes) to (size as bad - size as good) / (their sum), between -1 and 1."""
+        return [self._difference([self._packer(d) for d in pair]) for pair in self.pairs]
 
-    def difference(self):
-        """A function from a text (bytes) to (size as bad - size as good) / (their sum), between -1 and 1."""
-        packers = [
-            zstandard.ZstdCompressor(
-                level=self.level, write_checksum=False, write_content_size=False, write_dict_id=False,
-                **({"dict_data": zstandard.ZstdCompressionDict(d)} if d else {}),
-            )
-            for d in self.dictionaries
-        ]
+    def _packer(self, dictionary):
+        known = {"dict_data": zstandard.ZstdCompressionDict(dictionary)} if dictionary else {}
+        return zstandard.ZstdCompressor(level=self.level, write_checksum=False, write_content_size=False, write_dict_id=False, **known)
 
+    @staticmethod
+    def _difference(packers):
         def of(text):
             bad, good = (len(x.compress(text)) for x in packers)
             return (bad - good) / (bad + good)
@@ -45,7 +50,10 @@ class Model:
         return of
 
     def score(self, differences):
-        return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(differences) + self.base, -30, 30)))
+        """Scores of mean differences, rising with them."""
+        slope, base = self.line
+        straight = 1 / (1 + np.exp(-np.clip(slope * np.asarray(differences) + base, -30, 30)))
+        return STRAIGHT * straight + (1 - STRAIGHT) * np.interp(differences, *self.curve)
 
 
 def _dictionary(texts, size):
@@ -57,19 +65,32 @@ def _dictionary(texts, size):
         return joined[-size:] if len(joined) >= 8 else b""
 
 
-def _logistic(x, y, rounds=50, ridge=1e-6):
+def _logistic(x, y, weights, rounds=50, ridge=1e-6):
     """Slope and base of a logistic regression on one number, by Newton's method."""
     scale = x.std() or 1.0
     a = np.stack([x / scale, np.ones_like(x)], axis=1)
     w = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        curve = (a * (p * (1 - p) + 1e-9)[:, None]).T @ a + ridge * len(x) * np.eye(2)
-        step = np.linalg.solve(curve, a.T @ (y - p) - ridge * len(x) * w)
+        curve = (a * (weights * (p * (1 - p) + 1e-9))[:, None]).T @ a + ridge * len(x) * np.eye(2)
+        step = np.linalg.solve(curve, a.T @ (weights * (y - p)) - ridge * len(x) * w)
         w = w + np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
-    return w[0] / scale, w[1]
+    return float(w[0] / scale), float(w[1])
+
+
+def _rising(x, y, weights):
+    """Points of the rising curve nearest to y: neighbours in the order of x are pooled while they fall."""
+    pools = []
+    for i in np.argsort(x, kind="stable"):
+        pools.append(weights[i] * np.array([1.0, y[i], x[i]]))
+        while len(pools) > 1 and pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]:
+            last = pools.pop()
+            pools[-1] = pools[-1] + last
+    pools = np.array(pools)
+    share = float(np.average(y, weights=weights))
+    return pools[:, 2] / pools[:, 0], (pools[:, 1] + 0.5 * share) / (pools[:, 0] + 0.5)
 
 
 def fit(docs, labels, text="text", key="doc_id", label="quality", rows=SAMPLE_ROWS, most_bytes=SAMPLE_BYTES, size=DICTIONARY, level=LEVEL):
@@ -95,17 +116,19 @@ def fit(docs, labels, text="text", key="doc_id", label="quality", rows=SAMPLE_RO
         np.random.default_rng(5).shuffle(own)
     if not parts[0] or not parts[1]:
         good = min(max(good_share, 1e-3), 1 - 1e-3)
-        return Model([b"", b""], 0.0, float(np.log(good / (1 - good))), level)
-    cuts = {q: max(1, int(FOR_DICTIONARIES * len(own))) for q, own in parts.items()}
-    model = Model([_dictionary(parts[q][: cuts[q]], size) for q in (0, 1)], 0.0, 0.0, level)
-    of = model.difference()
-    rest = {q: [of(x) for x in own[cuts[q] :] or own] for q, own in parts.items()}
-    x = np.array(rest[0] + rest[1])
-    y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
-    slope, base = _logistic(x, y)
+        return Model([], (0.0, float(np.log(good / (1 - good)))), ([0.0], [good]), level)
+    number = max(1, min(PAIRS, *map(len, parts.values())))
+    held = [{q: own[j::number] for q, own in parts.items()} for j in range(number)]
+    made = [
+        [_dictionary([x for i, part in enumerate(held) if i != j or number == 1 for x in part[q]], size) for q in (0, 1)]
+        for j in range(number)
+    ]
+    model = Model(made, None, None, level)
+    found = [(of(x), float(q)) for of, part in zip(model.differences(), held) for q in (0, 1) for x in part[q]]
+    x, y = np.array(found).T
     # The sample may hold the labels in other shares than all labelled rows do.
-    drawn_odds, odds = len(rest[1]) / len(rest[0]), share[1] / share[0]
-    return Model(model.dictionaries, slope, base + float(np.log(odds / drawn_odds)), level)
+    weights = np.where(y == 1, share[1] / len(parts[1]), share[0] / len(parts[0])) * len(y) / sum(share.values())
+    return Model(made, _logistic(x, y, weights), _rising(x, y, weights), level)
 
 
 def scored(docs, model, text="text"):
@@ -116,9 +139,10 @@ def scored(docs, model, text="text"):
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        of = model.difference()
+        pairs = model.differences()
         for batch in batches:
-            yield pa.array(model.score([of(x.as_py()) for x in batch]), pa.float64())
+            found = [sum(of(x) for of in pairs) / max(1, len(pairs)) for x in batch.to_pylist()]
+            yield pa.array(model.score(found), pa.float64())
 
     return score(as_bytes(text))
 

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from rows import awkward, prose, table
@@ -21,7 +22,7 @@ def test_held_out_accuracy_on_given_tables(spark):
     rows = found.join(labels, "doc_id").where("held_out").collect()
     assert all(held(r["doc_id"]) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
     right = sum(r["predicted"] == r["quality"] for r in rows) / len(rows)
-    assert right >= 0.9
+    assert right >= 0.93
     again = {r["doc_id"]: r["score"] for r in compression.classify(docs.repartition(3), labels.repartition(2)).collect()}
     assert all(again[r["doc_id"]] == r["score"] for r in found.collect())
 
@@ -53,7 +54,12 @@ def test_awkward_tables(spark):
     assert [r["held_out"] for r in nulls.limit(2).collect()] == [False, False]
 
 
-def test_calibration_is_monotone():
-    model = compression.Model([b"", b""], 12.0, 0.5)
-    assert model.score([-0.2, 0.0, 0.3]).tolist() == sorted(model.score([-0.2, 0.0, 0.3]).tolist())
-    assert model.score([0.0])[0] == pytest.approx(1 / (1 + 2.718281828459045**-0.5))
+def test_calibration_rises():
+    x = np.linspace(-1, 1, 400)
+    y = (np.random.default_rng(1).random(400) < (x + 1) / 2).astype(float)
+    weights = np.ones(400)
+    model = compression.Model([], compression._logistic(x, y, weights), compression._rising(x, y, weights))
+    scores = model.score(np.linspace(-1.5, 1.5, 100))
+    assert (np.diff(scores) > 0).all() and 0 <= scores.min() and scores.max() <= 1
+    assert np.abs(model.score(x) - (x + 1) / 2).mean() < 0.1
+    assert compression.Model([], (0.0, 0.0), ([0.0], [0.5])).score([0.0])[0] == pytest.approx(0.5)
