@@ -194,19 +194,24 @@ def near_duplicates(docs, text="text", key="doc_id", width=3, radius=3, most=BUC
     return own.join(groups, "fp").select("key", "text_hash", "fp", "n_near", "component")
 
 
-def one_of_each(docs, text="text", key="doc_id", **options):
-    """One document of each group of near duplicates, the one with the smallest key, with its own columns.
+def first_of_each(docs, found, group, text="text", key="doc_id"):
+    """One document of each group of rows (key, text_hash), the one with the smallest key, with its own columns.
 
     Rows without a key come last, in the order of their texts' hashes; of equal rows one stays.
     """
-    found = near_duplicates(docs, text, key, **options)
     order = F.struct(F.col("key").isNull().alias("none"), F.col("key"), F.col("text_hash"))
-    # A group whose keys are all null is told by its fingerprint.
-    name = F.struct("component", F.when(F.col("component").isNull(), F.col("fp")))
-    first = found.groupBy(name.alias("group")).agg(F.min(order).alias("first")).select("first.key", "first.text_hash")
+    first = found.groupBy(group.alias("group")).agg(F.min(order).alias("first")).select("first.key", "first.text_hash")
     first = first.select(F.col("key").alias("_k"), F.col("text_hash").alias("_h")).distinct()
     own = [F.col(quoted(c)) for c in docs.columns]
     rows = docs.select(F.struct(*own).alias("_row"), F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_hash"))
     rows = rows.join(first, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_hash") == F.col("_h")), "left_semi")
     copy = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_hash"))
     return rows.withColumn("_copy", copy).where("_copy = 1").select("_row.*")
+
+
+def one_of_each(docs, text="text", key="doc_id", **options):
+    """One document of each group of near duplicates; see ``first_of_each``."""
+    found = near_duplicates(docs, text, key, **options)
+    # A group whose keys are all null is told by its fingerprint.
+    name = F.struct("component", F.when(F.col("component").isNull(), F.col("fp")))
+    return first_of_each(docs, found, name, text, key)
