@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches
 
-#: Bounds of the sample that the model is fitted on: rows of each label, and bytes of a text (longer ones are not drawn).
+#: Bounds of the sample that the model is fitted on: rows of each label, and bytes of a text (longer ones are drawn last, and cut).
 SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 14
+#: Bytes of a text that are compressed at a time; more would be judged by the text's own beginning.
+BLOCK = 1 << 13
 #: Bytes of a dictionary, and the compression level.
 DICTIONARY, LEVEL = 1 << 15, 3
 #: Pairs of dictionaries, each made from all parts of the sample but one, on which its differences are calibrated.
@@ -34,7 +36,10 @@ class Model:
         self.pairs, self.line, self.curve, self.level = pairs, line, curve, level
 
     def differences(self):
-        """For each pair a function from a text (bytes) to (size as bad - size as good) / (their sum), between -1 and 1."""
+        """For each pair a function from a text (bytes) to (size as bad - size as good) / (their sum), between -1 and 1.
+
+        Sizes are sums over all blocks of the text, each compressed afresh.
+        """
         return [self._difference([self._packer(d) for d in pair]) for pair in self.pairs]
 
     def _packer(self, dictionary):
@@ -44,7 +49,8 @@ class Model:
     @staticmethod
     def _difference(packers):
         def of(text):
-            bad, good = (len(x.compress(text)) for x in packers)
+            parts = [text[at : at + BLOCK] for at in range(0, len(text), BLOCK)] or [text]
+            bad, good = (sum(len(x.compress(part)) for part in parts) for x in packers)
             return (bad - good) / (bad + good)
 
         return of
@@ -96,16 +102,19 @@ def _rising(x, y, weights):
 def fit(docs, labels, text="text", key="doc_id", label="quality", rows=SAMPLE_ROWS, most_bytes=SAMPLE_BYTES, size=DICTIONARY, level=LEVEL):
     """A ``Model`` from labelled rows that are not held out.
 
-    The sample is bounded: of each label, the ``rows`` rows whose keys have the smallest hashes, without texts over
-    ``most_bytes``; of rows that repeat a key, one.  Other columns of the tables are not looked at.  Without rows of both labels the score is the share of
+    The sample is bounded: of each label, the ``rows`` rows whose keys have the smallest hashes, first those with texts of at
+    most ``most_bytes``; of longer ones, drawn if there are too few, that many bytes are taken.  Empty texts are not drawn; of
+    rows that repeat a key, one is.  Other columns of the tables are not looked at.  Without rows of both labels the score is the share of
     label 1, or one half.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(key).agg(F.max(label).alias("_label"))
     order = F.xxhash64(F.lit(11), F.col(key))
-    chosen = known.where("_label = 0").orderBy(order, key).limit(rows).union(known.where("_label = 1").orderBy(order, key).limit(rows))
-    texts = docs.select(F.col(key), F.col(text).alias("_text")).where(F.octet_length("_text").between(1, most_bytes))
-    drawn = texts.join(F.broadcast(chosen), key).groupBy(key, "_label").agg(F.min("_text").alias("_text"))
-    drawn = drawn.select(key, F.col("_text").cast("binary").alias("text"), "_label").toArrow()
+    texts = docs.select(F.col(key), F.col(text).alias("_text"), (F.octet_length(text) > most_bytes).alias("_long")).where("octet_length(_text) > 0")
+    there = texts.groupBy(key).agg(F.min("_long").alias("_long")).join(known, key)
+    chosen = [there.where(F.col("_label") == q).orderBy("_long", order, key).limit(rows) for q in (0, 1)]
+    texts = texts.select(key, "_long", F.substring(F.col("_text").cast("binary"), 1, most_bytes).alias("_text"))
+    drawn = texts.join(F.broadcast(chosen[0].union(chosen[1])), [key, "_long"]).groupBy(key, "_label").agg(F.min("_text").alias("_text"))
+    drawn = drawn.select(key, F.col("_text").alias("text"), "_label").toArrow()
     share = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     good_share = share.get(1, 0) / sum(share.values()) if share else 0.5
     sample = sorted(zip(drawn.column(0).to_pylist(), drawn.column(1).to_pylist(), drawn.column(2).to_pylist()))

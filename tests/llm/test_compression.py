@@ -63,3 +63,32 @@ def test_calibration_rises():
     assert (np.diff(scores) > 0).all() and 0 <= scores.min() and scores.max() <= 1
     assert np.abs(model.score(x) - (x + 1) / 2).mean() < 0.1
     assert compression.Model([], (0.0, 0.0), ([0.0], [0.5])).score([0.0])[0] == pytest.approx(0.5)
+
+
+def test_long_texts_are_judged_whole(spark):
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    texts = {0: [], 1: []}
+    for r in docs.join(labels, "doc_id").where(compression.is_held_out("doc_id")).orderBy("doc_id").collect():
+        if r["quality"] is not None and r["text"]:
+            texts[r["quality"]].append(r["text"])
+    own = np.random.default_rng(1)
+    rows = [(i, "\n".join(own.choice(texts[i % 2], 150))) for i in range(8)]
+    long = spark.createDataFrame(rows, "doc_id long, text string")
+    model = compression.fit(docs, labels)
+    found = {r["doc_id"]: (r["s"], r["n"]) for r in long.select("doc_id", compression.scored(long, model).alias("s"), F.length("text").alias("n")).collect()}
+    assert min(n for _, n in found.values()) > 150_000
+    assert all((s >= 0.3) == (i % 2 == 1) for i, (s, _) in found.items()), found
+
+
+def test_labels_with_long_texts_only(spark):
+    texts = [prose(i, 60) if i % 2 else "buy now !!! " * 2000 + prose(i, 5) for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], LABELS)
+    found = {r["doc_id"]: r["predicted"] for r in compression.classify(table(spark, texts), labels).collect()}
+    assert sum(found[i] == i % 2 for i in found) > 110
+
+
+def test_length_is_looked_at_before_the_draw(spark):
+    texts = [prose(i, 60) if i % 2 or i >= 60 else "buy now !!! " * 2000 for i in range(120)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], LABELS)
+    assert compression.fit(table(spark, texts), labels, rows=20).pairs
