@@ -16,6 +16,8 @@ ACCESS = r"AKIA[A-Z0-9]{12,}"
 HEX = r"(?<![0-9a-f])[0-9a-f]{32,}"
 #: What may be a token of its own.
 TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
+#: Its parts, which are tokens too: between ``/`` and ``+``, and between all signs.
+PARTS = (r"[A-Za-z0-9_-]{20,}", r"[A-Za-z0-9]{20,}")
 
 DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings in the order in which they are tried: what a token must match, and the alphabet in order.
@@ -111,7 +113,8 @@ def randomness(tokens):
     rows = rows.withColumns({"z_chi": chi, "z_run": run, "z_along": along})
     rows = rows.withColumns({f"p_{x}": _two_sided(F.col(f"z_{x}")) for x in ("chi", "run", "along")})
     one_sided = F.pow(F.lit(2.0), 1 - n)  # no run but one
-    logs = [F.log(F.greatest(p, F.lit(1e-30))) for p in (F.col("p_chi"), F.coalesce("p_run", one_sided), F.col("p_along"))]
+    # least skips nulls, so p_run is never null itself.
+    logs = [F.log(F.greatest(p, F.lit(1e-30))) for p in (F.col("p_chi"), F.when(F.col("z_run").isNotNull(), F.col("p_run")).otherwise(one_sided), F.col("p_along"))]
     rows = rows.withColumn("half", -(logs[0] + logs[1] + logs[2]))
     p = F.exp(-F.col("half")) * (1 + F.col("half") + F.col("half") * F.col("half") / 2)
     rows = rows.withColumn("p", F.when(F.col("alphabet").isNotNull(), p))
@@ -138,22 +141,31 @@ def find_secrets(docs, text="text", key="doc_id", rate=RATE):
 
     ``base`` has the spans of the fixed patterns, ``spans`` these and the tokens that pass as random: tokens of 20 letters,
     digits and ``+/_-`` or more, outside of base spans, of an encoding with digits and letters, that would
-    carry 80 bits or more, and that ``cleared_below`` does not clear.
+    carry 80 bits or more, and that ``cleared_below`` does not clear.  The parts of a token between its signs are tokens
+    as well, as in a path; of tokens in each other that pass, the longest is a span.
 
     Null and empty texts have no spans.  Null and repeated keys are documents of their own.  Only expressions of Spark
     are used; what is shuffled are tokens with their p, and the spans.
     """
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), base_spans(value).alias("base"), _matches(value, TOKEN).alias("tokens"))
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-    rows = kept(rows.withColumn("tokens", free), "secrets")
-    tokens = rows.select("uid", F.explode("tokens").alias("t")).select("uid", "t.start", "t.end", F.col("t.value").alias("token"))
+    rows = kept(rows, "secrets")
+    runs = rows.select("uid", "base", F.explode("tokens").alias("t")).select("uid", "base", F.col("t.start").alias("run"), F.col("t.value").alias("value"))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("value").alias("end"), F.col("value").alias("value")))
+    parts = F.array_distinct(F.concat(whole, *[_matches(F.col("value"), pattern) for pattern in PARTS]))
+    parts = F.when(F.col("value").rlike("[+/_-]"), parts).otherwise(whole)
+    tokens = runs.select("uid", "base", "run", F.explode(parts).alias("t"))
+    tokens = tokens.select("uid", "base", "run", (F.col("run") + F.col("t.start")).alias("start"), (F.col("run") + F.col("t.end")).alias("end"), F.col("t.value").alias("token"))
+    tokens = tokens.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("base")
     number = sum((F.col("size") >= x).cast("int") for x in LENGTHS)
-    tested = randomness(tokens).where("p is not null").withColumn("class", number)
+    tested = randomness(tokens).where("symbols is not null").withColumn("class", number)
     tested = kept(tested.where(F.col("size") * F.log2(F.col("symbols")) >= LEAST_BITS).drop("token"), "tokens")
     limit = F.coalesce(*[F.when(F.col("class") == c, F.lit(p)) for c, p in cleared_below(tested, rate).items()], F.lit(-1.0))
     span = F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")
-    found = tested.where(F.col("p") > limit).groupBy("uid").agg(F.collect_list(span).alias("more"))
+    found = tested.where(F.col("p") > limit).groupBy("uid", "run").agg(F.collect_list(span).alias("all"))
+    wider = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    found = found.select("uid", F.filter("all", lambda x: ~F.exists("all", lambda y: wider(x, y))).alias("all"))
+    found = found.groupBy("uid").agg(F.flatten(F.collect_list("all")).alias("more"))
     spans = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))
     return rows.join(found, "uid", "left").select(F.col("key").alias(key), "base", spans.alias("spans"))
 

@@ -107,3 +107,26 @@ def test_tables(spark):
     rows = secrets.find_secrets(both).select(secrets.written("spans").alias("s"), secrets.count_of("base", "assign").alias("n"), F.sha2(secrets.written("base"), 256).alias("h")).collect()
     assert sorted((r["s"], r["n"]) for r in rows) == [("", 0)] * 4 + [("assign:0:16", 1)] * 2
     assert {r["h"] for r in rows} == {hashlib.sha256(x).hexdigest() for x in (b"", b"assign:0:16")}
+
+
+def test_parts_of_paths(spark):
+    own = random.Random(9)
+    hidden = [token(own, BASE64[:62], 44) for _ in range(60)]
+    heads = ["/my-app/hooks/", "https://host/some-long-directory/other_directory/", "/srv/application/releases/current/hooks/", "key-", "AKIA1234567890ABCD/x-"]
+    texts = [prose(i, 20) + " " + heads[i % 5] + x + ("/end-of_path " if i % 2 else " ") + prose(i, 9) for i, x in enumerate(hidden)]
+    texts += ["path/to/some-Directory/file_name_number_2 " + prose(i, 9) for i in range(60)]
+    rows = {r["doc_id"]: r for r in secrets.find_secrets(table(spark, texts)).collect()}
+    found = [[x for x in rows[i]["spans"] if x["kind"] == 3] for i in range(len(texts))]
+    held = [any(texts[i].index(x) >= s["start"] and texts[i].index(x) + 44 <= s["end"] for s in found[i]) for i, x in enumerate(hidden)]
+    exact = [any(texts[i][s["start"] : s["end"]] == x for s in found[i]) for i, x in enumerate(hidden)]
+    for k in range(5):
+        assert sum(held[k::5]) >= 9, k
+    assert sum(exact[0::5]) >= 9 and sum(exact[1::5]) >= 9
+    assert not any(found[60:]) and all(len(x) <= 2 for x in found)
+
+
+def test_tokens_on_one_side(spark):
+    own = random.Random(5)
+    high, mixed = token(own, "89abcdef", 40), token(own, "0123456789abcdef", 40)
+    p = p_of(spark, [high, mixed])
+    assert p[0] < 1e-13 and p[1] > 1e-3
