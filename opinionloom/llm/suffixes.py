@@ -12,6 +12,10 @@ from .common import BASE, BYTE_CODES, INVERSE, as_bytes, blocks, mixed, powers,
 GRAM = 64
 #: Most different stretches of one name that go into one suffix array; with more, windows are counted one by one.
 GROUP = 20_000
+#: Most bytes of one name's different stretches that go into one suffix array.
+NAME_BYTES = 4 << 20
+#: Windows that are hashed at a time.
+HASHED = 1 << 16
 #: Bytes that a suffix array takes at least, if there are so many.
 TOGETHER = 1 << 20
 PLACE = ("_key", "_a", "_b")
@@ -295,31 +299,55 @@ def _by_suffixes(parts, length, both):
     return parts.repartition("name").sortWithinPartitions("name", "content").mapInArrow(group, schema)
 
 
+def _digests(content, windows, length):
+    """The 128-bit hashes of all windows of a stretch, as two numbers each."""
+    parts = []
+    for at in range(0, windows, HASHED):
+        digests = b"".join([xxhash.xxh3_128_digest(content[i : i + length]) for i in range(at, min(windows, at + HASHED))])
+        parts.append(np.frombuffer(digests, "<i8").reshape(-1, 2))
+    return np.concatenate(parts)
+
+
 def _by_windows(parts, length, both):
-    """The same for names with very many stretches: every window is counted by its hash."""
+    """The same for names with very many or very long stretches: every window is counted by its hash.
+
+    Windows that repeat in their own stretch are settled in it, so a periodic text gives as many rows as its period is
+    long: a row (times, hi, lo) for each different window at its first place, and rows with an ``end`` for ranges found.
+    """
     kind = parts.schema["_key"].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
-            for at in range(0, len(batch), 100):
-                some = batch.slice(at, 100)
-                content, windows = some.column("bytes").to_pylist(), some.column("windows").to_pylist()
-                of = pa.array(np.repeat(np.arange(len(some)), windows))
-                offset = np.concatenate([np.arange(n) for n in windows]) if len(some) else np.empty(0, np.int64)
-                digests = b"".join(xxhash.xxh3_128_digest(x[i : i + length]) for x, n in zip(content, windows) for i in range(n))
-                pairs = np.frombuffer(digests, "<i8").reshape(-1, 2)
-                start = some.column("start").take(of).to_numpy(zero_copy_only=False) + offset
+            for i in range(len(batch)):
+                row = batch.slice(i, 1)
+                start, windows = row.column("start")[0].as_py(), row.column("windows")[0].as_py()
+                pairs = _digests(row.column("bytes")[0].as_py(), windows, length)
+                order = np.lexsort((pairs[:, 1], pairs[:, 0]))  # Stable: the first place of equal windows comes first.
+                ranked = pairs[order]
+                new = np.append(True, (ranked[1:] != ranked[:-1]).any(axis=1))
+                heads = np.flatnonzero(new)
+                times = np.diff(np.append(heads, windows))
+                again = np.zeros(windows, bool)
+                again[order] = np.repeat(times > 1, times) if both else ~new
+                ranges = np.array(_intervals(again, start, length), np.int64).reshape(-1, 2)
+                n, m = len(heads), len(ranges)
+                at = np.concatenate([start + order[heads], ranges[:, 0]])
+                end = pa.array(np.concatenate([np.zeros(n, np.int64), ranges[:, 1]]), mask=np.arange(n + m) < n)
+                hashes = [np.concatenate([ranked[heads, k], np.zeros(m, np.int64)]) for k in (0, 1)]
+                of = pa.array(np.zeros(n + m, np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [*(some.column(x).take(of) for x in PLACE), some.column("n").take(of), pa.array(start), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
-                    [*PLACE, "n", "start", "hi", "lo"],
+                    [*(row.column(x).take(of) for x in (*PLACE, "n")), pa.array(at), end, *map(pa.array, hashes), pa.array(np.append(times, np.zeros(m, np.int64)))],
+                    [*PLACE, "n", "start", "end", "hi", "lo", "times"],
                 )
 
-    windows = kept(parts.dropDuplicates(["name", "content"]).mapInArrow(cut, f"_key {kind}, _a long, _b long, n long, start long, hi long, lo long"), "windows")
+    schema = f"_key {kind}, _a long, _b long, n long, start long, end long, hi long, lo long, times long"
+    rows = kept(parts.dropDuplicates(["name", "content"]).mapInArrow(cut, schema), "windows")
+    windows, inside = rows.where("end is null"), rows.where("end is not null").select(*PLACE, "start", "end")
     place = F.struct(*PLACE, "start")
-    often = windows.groupBy("hi", "lo").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1")
+    often = windows.groupBy("hi", "lo").agg(F.count("*").alias("rows"), F.min(place).alias("first")).where("rows > 1")
     found = windows.join(often, ["hi", "lo"])
-    found = found.where("n = 1") if both else found.where(place != F.col("first"))
-    return found.select(*PLACE, "start", (F.col("start") + length).alias("end"))
+    found = found.where("n = 1 and times = 1") if both else found.where(place != F.col("first"))
+    return inside.union(found.select(*PLACE, "start", (F.col("start") + length).alias("end")))
 
 
 def repeated_ranges(docs, length, keep, gram, most):
@@ -330,7 +358,7 @@ def repeated_ranges(docs, length, keep, gram, most):
     ``length`` bytes belongs to one stretch of windows with the same name, and equal windows have equal names.  So
     stretches with the same bytes are settled by counting, and of different ones with one name, a single copy
     each goes into a suffix array with the others of its name, and so do stretches that may repeat in themselves.  Where one name has more than ``most`` different
-    stretches, their windows are counted by hash instead, which Spark can spread.
+    stretches, or more than ``NAME_BYTES`` in them, their windows are counted by hash instead, which Spark can spread.
     """
     both = {"none": True, "first": False}[keep]
     runs = _runs(docs, length, min(gram, length))
@@ -341,13 +369,15 @@ def repeated_ranges(docs, length, keep, gram, most):
         F.count("*").alias("n"), F.min(place).alias("first"), F.first("windows").alias("windows"), F.first("twice").alias("twice")
     )
     different = kept(different, "different-stretches")
-    names = different.groupBy("name").agg(F.count("*").alias("many"), F.max("twice").alias("again")).where("many > 1 or again")
+    total = F.sum(F.col("windows") + length).alias("total")
+    names = different.groupBy("name").agg(F.count("*").alias("many"), F.max("twice").alias("again"), total).where("many > 1 or again")
+    names = names.withColumn("large", (F.col("many") > most) | (F.col("total") > NAME_BYTES))
     names = kept(names, "names")
-    firsts = different.join(names, "name").select("name", "content", "n", "windows", "many", "first.*")
-    parts = _contents(docs, firsts.where(F.col("many") <= most), length)
+    firsts = different.join(names, "name").select("name", "content", "n", "windows", "large", "first.*")
+    parts = _contents(docs, firsts.where("not large"), length)
     found = [_by_suffixes(parts, length, both)]
-    if not names.where(F.col("many") > most).isEmpty():
-        found.append(_by_windows(_contents(docs, firsts.where(F.col("many") > most), length), length, both))
+    if not names.where("large").isEmpty():
+        found.append(_by_windows(_contents(docs, firsts.where("large"), length), length, both))
     often = different.where("n > 1").select("name", "content", "first")
     copies = runs.join(often, ["name", "content"])
     copies = copies if both else copies.where(place != F.col("first"))

@@ -98,3 +98,17 @@ def test_tables(spark):
     twice = docs.limit(1).union(docs.limit(1)).withColumn("doc_id", F.lit(None).cast("long"))
     assert [r["n_removed"] for r in suffixes.drop_repeats(twice).collect()] == [len(long)] * 2
     assert [r["n_removed"] for r in suffixes.drop_repeats(twice, keep="first").collect()] == [0, 0]
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_names_with_many_bytes_are_spread(spark, monkeypatch, keep):
+    """Periodic texts of one phrase share a name: few stretches, many bytes."""
+    phrase = prose(77, 8) + " "
+    texts = [phrase * (20 + i) + prose(i, 3) for i in range(12)] + [prose(500, 90), prose(500, 90) + prose(501, 40), None]
+    whole = suffixes.drop_repeats(table(spark, texts), length=400, keep=keep).collect()
+    seen, old = [], suffixes._by_windows
+    monkeypatch.setattr(suffixes, "NAME_BYTES", 2000)
+    monkeypatch.setattr(suffixes, "_by_windows", lambda *a: seen.append(1) or old(*a))
+    spread = suffixes.drop_repeats(table(spark, texts), length=400, keep=keep).collect()
+    assert seen and sorted(whole, key=lambda r: r["doc_id"]) == sorted(spread, key=lambda r: r["doc_id"])
+    assert sum(r["n_removed"] for r in spread) > 1000
