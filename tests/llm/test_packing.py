@@ -13,15 +13,22 @@ from opinionloom.llm import packing
 JSON, RANKS = (packing.tokenizer_path(f"byte_bpe_50k.{x}") for x in ("json", "tiktoken"))
 
 
+END = "<|endoftext|>"
+#: Texts that hold the string of the added token: at the start, in the middle, at the end, repeated, broken, in a long text.
+ADDED = [
+    f"{END} a", f"one {END} two", f"end {END}", END, END * 3, f"{END} {END}\n{END}", f"a{END}b", "<|endoftext|", "<|endoftext |>",
+    f"{'many words ' * 20_000}{END}{'more of them ' * 20_000}{END}", f"{' ' * 200_000}{END}x",
+]
+
+
 def ids_of(texts):
     tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
     return [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_ids_are_the_tokenizers():
     own = random.Random(1)
-    texts = [*(t or "" for t in awkward()), "<|endoftext|> a <|endoftext|>", "\x85 a\xa0 b ᠎ c", " " * 3000 + "a"]
+    texts = [*(t or "" for t in awkward()), *ADDED, "\x85 a\xa0 b ᠎ c", " " * 3000 + "a"]
     texts += ["".join(own.choice(" \n\t\xa0ab1é's!　\x1c日9") for _ in range(own.randint(1, 40))) for _ in range(3000)]
     texts += [f"a{c}b {c}1 {c}{c}  {c}\n'{c}" for c in map(chr, range(1, 0x30000, 7)) if not 0xD800 <= ord(c) < 0xE000]
     encode, slow = packing.Encoder(JSON, RANKS), packing.Encoder(JSON)
@@ -30,6 +37,7 @@ def test_ids_are_the_tokenizers():
     assert [np.frombuffer(slow(x), "<u4").tolist() for x in texts[:40]] == want[:40]
     long = " " * 300_000 + "b" + " " * 1_000_000
     assert np.frombuffer(encode(long), "<u4").tolist() == ids_of([long])[0]
+    assert ids_of([f"one {END} two"]) == [[505, 220, 50256, 734]]
 
 
 def check(rows, texts, capacity, key=lambda r: r["doc_id"]):
