@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from . import compression, linededup, mixing, packing, repetition, secrets, sharding, simhash, suffixes, topk
+from ..sources.shared import shared_folder
+from . import compression, linededup, mixing, packing, ranked, records, repetition, secrets, sharding, simhash, simplex, suffixes, topk
 from .common import read
 
 
@@ -60,4 +61,24 @@ def op10_quality(spark, sf_dir):
     return compression.classify(read(spark, sf_dir), read(spark, sf_dir, "labels"), label="quality", threshold=0.3)
 
 
-QUERIES = {x.__name__: x for x in (op1_mixing, op2_line_dedup, op3_secrets, op4_packing, op5_suffix_dedup, op6_sharding, op7_quality_rules, op8_simhash, op9_topk, op10_quality)}
+def op11_clusters(spark, sf_dir):
+    return simplex.cluster(read(spark, sf_dir, "embeddings"), dims=64, k=8, rounds=10, scale=1024, salt="3")
+
+
+def op12_ranked_search(spark, sf_dir):
+    return ranked.ranked_search(read(spark, sf_dir), read(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_records(spark, sf_dir):
+    path = shared_folder(spark, "token-records")
+    records.write_records(read(spark, sf_dir), path, packing.tokenizer_path("byte_bpe_50k.json"), packing.tokenizer_path("byte_bpe_50k.tiktoken"))
+    return records.read_records(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+QUERIES = {
+    x.__name__: x
+    for x in (
+        op1_mixing, op2_line_dedup, op3_secrets, op4_packing, op5_suffix_dedup, op6_sharding, op7_quality_rules, op8_simhash,
+        op9_topk, op10_quality, op11_clusters, op12_ranked_search, op13_records,
+    )
+}

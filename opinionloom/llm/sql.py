@@ -70,4 +70,65 @@ with v as (
 select * from r where rank <= 20
 """
 
-SQL = {"op2_line_dedup": LINE_DEDUP, "op7_quality_rules": quality_rules(), "op9_topk": TOP_K}
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+RANKED = f"""
+with d as (
+  select row_number() over () as row, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') as terms from documents
+), c as (select count(*) filter (where len(terms) > 0)::bigint as n_docs, sum(len(terms))::bigint as length from d),
+t as (select row, doc_id, len(terms)::bigint as n, unnest(terms) as term from d),
+tf as (select row, doc_id, n, term, count(*)::bigint as tf from t group by all),
+i as (
+  select row, item_id, term, count(*)::bigint as times from (
+    select row_number() over () as row, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}')) as term from benchmark) group by all
+), w as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)))::bigint as w from tf, c group by term, n_docs
+), s as (
+  select i.row as item_row, i.item_id, tf.row, tf.doc_id,
+    sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // length))))::bigint as score
+  from i join tf using (term) join w using (term), c group by all
+), r as (
+  select item_id, row_number() over (partition by item_row order by score desc, doc_id)::integer as rank, doc_id, score
+  from s where score > 0 and doc_id is not null
+)
+select * from r where rank <= 20
+"""
+
+
+def clusters(dims=64, k=8, rounds=10, scale=1024, salt="3"):
+    """Each round as a table of its own; a component's mean is floored by subtracting what remains of a division."""
+    assigned = lambda centres: f"""
+  select v.row, arg_min(c.cluster, (d, c.cluster)) as cluster, min(d)::bigint as distance from (
+    select v.row, c.cluster, list_sum(list_transform(list_zip(v.v, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::bigint as d from v, {centres} c
+  ) x join v using (row) join {centres} c using (cluster) group by v.row"""
+    parts = [f"""v as materialized (
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor({scale} * x::double)::bigint) as v from embeddings
+  where len(embedding) = {dims} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+)""", f"""c0 as materialized (
+  select row_number() over (order by sha256('{salt}:' || vec_id), v) - 1 as cluster, v as c from v
+  qualify cluster < {k}
+)"""]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} as materialized ({assigned(f'c{n}')})")
+        if n < rounds:
+            parts.append(f"""m{n} as (
+  select cluster, place, sum(x)::hugeint as s, count(*) as n from (
+    select cluster, unnest(v) as x, generate_subscripts(v, 1) as place from a{n} join v using (row)) group by cluster, place
+), c{n + 1} as materialized (
+  select c.cluster, coalesce(m.c, c.c) as c from c{n} c left join (
+    select cluster, list(((s - ((s % n) + n) % n) // n)::bigint order by place) as c from m{n} group by cluster) m using (cluster)
+)""")
+    return f"""
+with {", ".join(parts)}
+select vec_id, cluster::integer as cluster, distance, (sum(distance) over (partition by cluster))::bigint as cluster_inertia,
+  (sum(distance) over ())::bigint as inertia, sha256(array_to_string(c.c, ',')) as centroid_sha256
+from a{rounds} join v using (row) join c{rounds} c using (cluster)
+"""
+
+
+SQL = {
+    "op2_line_dedup": LINE_DEDUP, "op7_quality_rules": quality_rules(), "op9_topk": TOP_K, "op11_clusters": clusters(),
+    "op12_ranked_search": RANKED,
+}

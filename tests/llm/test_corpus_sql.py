@@ -9,7 +9,7 @@ from opinionloom.llm.sql import SQL
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(queries()) and set(SQL) <= set(QUERIES)
 
 
@@ -31,6 +31,9 @@ CONTRACT = {
     8: "doc_id bigint, fingerprint string, component_id bigint",
     9: "query_id bigint, rank int, vec_id bigint, score bigint",
     10: "doc_id bigint, held_out boolean, score double, predicted int",
+    11: "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
+    12: "item_id bigint, rank int, doc_id bigint, score bigint",
+    13: "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
 }
 
 
