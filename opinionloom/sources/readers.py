@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from opinionloom.functions import vocab
+from opinionloom.sources.csv_ranges import read_csv_parallel
 from opinionloom.sources.shared import file_system, kept
 
 ASPECT_TYPES = {
@@ -13,6 +14,8 @@ ASPECT_TYPES = {
 SCORED_TYPES = {"review_id": "bigint", "sentiment_score": "double"}
 # Names of our columns in an uploaded table, which may have any others.
 UPLOAD_ID, UPLOAD_TEXT = "_review_id", "_review_text"
+# The place of a row that was read in stretches.
+PLACE = "_place_in_files"
 # Offsets of file splits are broadcast up to this number of splits (some 30 bytes each).
 SPLITS_SENT = 500_000
 
@@ -54,19 +57,23 @@ def typed(rows, types):
     return rows.select(*[F.col(quoted(c)).cast(types[c]).alias(c) if c in types else F.col(quoted(c)) for c in rows.columns])
 
 
-def load_reviews(spark, path, id_column=None, multiline=True, extra=(), partitions=None):
+def load_reviews(spark, path, id_column=None, multiline=True, extra=(), partitions=None, parallel=False):
     """Reviews from the first two columns of a table, as ``review_id, model, original_review`` and the ``extra`` columns.
 
     Without an ``id_column`` the rows are numbered from 0 in file order.  Parquet rows take the
     id from a column, as their order is not part of the data.  A few files that cannot be split
-    leave most executors idle; ``partitions`` then deals the rows out by their id.
+    leave most executors idle; ``partitions`` then deals the rows out by their id, or ``parallel`` has CSV files read in
+    stretches by many tasks (see ``csv_ranges``), with the same rows.
     """
-    table = read_table(spark, path, multiline)
-    first, second = table.columns[:2]
+    parallel = parallel and not path.rstrip("/").lower().endswith(".parquet")
+    table = read_csv_parallel(spark, path, PLACE) if parallel else read_table(spark, path, multiline)
+    first, second = [c for c in table.columns if c != PLACE][:2]
     picked = [F.col(quoted(first)).cast("string").alias("model"), F.col(quoted(second)).cast("string").alias("original_review")]
     picked += [F.col(quoted(c)) for c in extra]
     if id_column is not None:
         reviews = table.select(F.col(quoted(id_column)).cast("bigint").alias("review_id"), *picked)
+    elif parallel:
+        reviews = table.select(F.col(PLACE).alias("review_id"), *picked)
     else:
         reviews = numbered(table, picked)
     return missing_to_null(spread(reviews, "review_id", partitions), ["model", "original_review"])
@@ -110,17 +117,21 @@ def numbered(table, columns, name="review_id"):
     )
 
 
-def load_uploaded(spark, path, review_column):
+def load_uploaded(spark, path, review_column, parallel=False):
     """Any table with all its columns, after ``_review_id`` (the place in the file) and ``_review_text``.
 
-    Missing texts in the review column are NULL in ``_review_text``; the column itself stays as it was.
+    Missing texts in the review column are NULL in ``_review_text``; the column itself stays as it was.  With ``parallel`` one
+    large CSV file is read by many tasks.
     """
-    table = read_table(spark, path)
-    taken = {UPLOAD_ID, UPLOAD_TEXT} & {c.lower() for c in table.columns}
+    parallel = parallel and not path.rstrip("/").lower().endswith(".parquet")
+    table = read_csv_parallel(spark, path, PLACE) if parallel else read_table(spark, path)
+    names = [c for c in table.columns if not (parallel and c == PLACE)]
+    taken = {UPLOAD_ID, UPLOAD_TEXT} & {c.lower() for c in names}
     if taken:
         raise ValueError(f"rename the columns {sorted(taken)}")
     chosen = F.col(quoted(review_column)).cast("string").alias(UPLOAD_TEXT)
-    rows = numbered(table, [chosen, *[F.col(quoted(c)) for c in table.columns]], UPLOAD_ID)
+    columns = [chosen, *[F.col(quoted(c)) for c in names]]
+    rows = table.select(F.col(PLACE).alias(UPLOAD_ID), *columns) if parallel else numbered(table, columns, UPLOAD_ID)
     return missing_to_null(rows, [UPLOAD_TEXT])
 
 

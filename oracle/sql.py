@@ -432,6 +432,7 @@ ORACLE["csv_reviews"] = f"""select doc_id as review_id, {MISSING.format('source'
   {MISSING.format('text')} as original_review from documents"""
 ORACLE["csv_numbered"] = f"""select row_number() over (order by doc_id) - 1 as review_id, {MISSING.format('source')} as model,
   {MISSING.format('text')} as original_review from documents"""
+ORACLE["csv_parallel"] = ORACLE["csv_numbered"]
 ORACLE["uploaded_csv"] = f"""with up as (select doc_id::varchar as review_id, lang as "a.b", text, {MISSING.format('text')} as _review_text from documents),
   {overall('_review_text', 'up', 'review_id, "a.b", text, _review_text')}"""
 LEXICON_RUN = f"""{FINAL}, {lexicon("nullif(final_review, '')", 'final', 'review_id')},
