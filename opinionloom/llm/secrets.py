@@ -27,6 +27,7 @@ ENCODINGS = (
     (r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+$", UPPER + "234567"),
     (r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$", DIGITS + LOWER),
     (r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$", DIGITS + UPPER),
+    (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$", UPPER + LOWER),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z_-]+$", UPPER + LOWER + DIGITS + "-_"),
@@ -37,33 +38,40 @@ LEAST_BITS, LENGTHS, RATE = 80, (20, 32, 48, 72), 0.05
 STEP, STEPS = 0.01, 3000
 
 
-def _matches(text, pattern, group=0):
-    """Matches of a pattern as array<struct<start, end, value>>, in code points; value is of the group.
+def _pieces(text, kinds):
+    """For each (kind, pattern, group) the matches in a text, as one array<struct<kind, nth, gap, size, value>>.
 
-    What lies between matches gives their places.
+    ``gap`` is the number of code points between a match and the one before, ``size`` its length; value is of the group.
     """
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,value:string>>)").alias("out"))
+    found = []
+    for kind, pattern, group in kinds:
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+        zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+        lengths = lambda x, i: F.struct(
+            i.alias("nth"), F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("size"), x["value"].alias("value")
+        )
+        kinded = F.transform(F.transform(zipped, lengths), _of_kind(kind))
+        empty = F.expr("cast(array() as array<struct<kind:int,nth:int,gap:int,size:int,value:string>>)")
+        found.append(F.when(text.rlike(pattern), kinded).otherwise(empty))
+    return F.filter(F.concat(*found), lambda x: x["value"].isNotNull())
 
-    def add(done, x):
-        begin = done["at"] + F.length(x["gap"])
-        end = begin + F.length(x["whole"])
-        found = F.struct(begin.alias("start"), end.alias("end"), x["value"].alias("value"))
-        return F.when(x["whole"].isNull(), done).otherwise(F.struct(end.alias("at"), F.concat(done["out"], F.array(found)).alias("out")))
 
-    return F.when(text.rlike(pattern), F.aggregate(zipped, start, add, lambda x: x["out"])).otherwise(start["out"])
+def _of_kind(kind):
+    return lambda x: F.struct(F.lit(kind).alias("kind"), x["nth"].alias("nth"), x["gap"].alias("gap"), x["size"].alias("size"), x["value"].alias("value"))
 
 
-def _spans(matches, kind):
-    return F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
+def _placed(rows, ids):
+    """(ids, kind, start, end, value) of rows with ids and ``pieces``, in code points; the end is exclusive.
+
+    A match begins where the gaps and matches before it end: one running sum, however many there are in a text.
+    """
+    rows = rows.select(*ids, F.explode("pieces").alias("x")).select(*ids, "x.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(Window.partitionBy(*ids, "kind").orderBy("nth")).cast("int")
+    return rows.select(*ids, "kind", (end - F.col("size")).alias("start"), end.alias("end"), "value")
 
 
-def base_spans(text):
-    """The spans of the fixed patterns as array<struct<start, kind, end>>, in order; kind is a place in ``KINDS``."""
-    assigned = F.filter(_matches(text, ASSIGN, 2), lambda x: F.length(x["value"]) >= ASSIGNED)
-    return F.array_sort(F.concat(_spans(assigned, "assign"), _spans(_matches(text, ACCESS), "access"), _spans(_matches(text, HEX), "hex")))
+BASE = [(0, ASSIGN, 2), (1, ACCESS, 0), (2, HEX, 0)]
 
 
 def _erfc(x):
@@ -140,34 +148,53 @@ def find_secrets(docs, text="text", key="doc_id", rate=RATE):
     """(key, base, spans) for each document: arrays of struct<start, kind, end> in code points, the end exclusive.
 
     ``base`` has the spans of the fixed patterns, ``spans`` these and the tokens that pass as random: tokens of 20 letters,
-    digits and ``+/_-`` or more, outside of base spans, of an encoding with digits and letters, that would
-    carry 80 bits or more, and that ``cleared_below`` does not clear.  The parts of a token between its signs are tokens
-    as well, as in a path; of tokens in each other that pass, the longest is a span.
-
-    Null and empty texts have no spans.  Null and repeated keys are documents of their own.  Only expressions of Spark
-    are used; what is shuffled are tokens with their p, and the spans.
+    digits and ``+/_-`` or more, outside of base spans, of an encoding of two kinds of characters or more, that would
+    carry 80 bits or more, and that ``cleared_below`` does not clear.  Letters alone are tested where both cases occur: words of one
+    case are too short to tell from random ones.  The parts of a token between its signs are tokens as well, as in a path; of tokens
+    in each other that pass, the longest is a span.
+
+    Null and empty texts have no spans, an empty table gives an empty one.  Null and repeated keys are documents of their own;
+    equal tokens are tested each.  The work grows with the length of a text and the number of its matches, not faster.  Only
+    expressions of Spark are used; what is shuffled are matches, tokens with their p, and the spans.
     """
     value = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), base_spans(value).alias("base"), _matches(value, TOKEN).alias("tokens"))
-    rows = kept(rows, "secrets")
-    runs = rows.select("uid", "base", F.explode("tokens").alias("t")).select("uid", "base", F.col("t.start").alias("run"), F.col("t.value").alias("value"))
-    whole = F.array(F.struct(F.lit(0).alias("start"), F.length("value").alias("end"), F.col("value").alias("value")))
-    parts = F.array_distinct(F.concat(whole, *[_matches(F.col("value"), pattern) for pattern in PARTS]))
-    parts = F.when(F.col("value").rlike("[+/_-]"), parts).otherwise(whole)
-    tokens = runs.select("uid", "base", "run", F.explode(parts).alias("t"))
-    tokens = tokens.select("uid", "base", "run", (F.col("run") + F.col("t.start")).alias("start"), (F.col("run") + F.col("t.end")).alias("end"), F.col("t.value").alias("token"))
-    tokens = tokens.where(~F.exists("base", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))).drop("base")
+    pieces = _pieces(value, [*BASE, (KINDS.index("random"), TOKEN, 0)])
+    rows = kept(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(key).alias("key"), pieces.alias("pieces")), "secrets")
+    matches = _placed(rows, ["uid"])
+    base = matches.where((F.col("kind") == 1) | (F.col("kind") == 2) | ((F.col("kind") == 0) & (F.length("value") >= ASSIGNED)))
+    base = kept(base.select("uid", "start", "kind", "end"), "base-spans")
+    tokens = kept(_tokens(matches.where(F.col("kind") == KINDS.index("random")), base), "candidates")
     number = sum((F.col("size") >= x).cast("int") for x in LENGTHS)
     tested = randomness(tokens).where("symbols is not null").withColumn("class", number)
     tested = kept(tested.where(F.col("size") * F.log2(F.col("symbols")) >= LEAST_BITS).drop("token"), "tokens")
     limit = F.coalesce(*[F.when(F.col("class") == c, F.lit(p)) for c, p in cleared_below(tested, rate).items()], F.lit(-1.0))
-    span = F.struct("start", F.lit(KINDS.index("random")).alias("kind"), "end")
-    found = tested.where(F.col("p") > limit).groupBy("uid", "run").agg(F.collect_list(span).alias("all"))
-    wider = lambda x, y: (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
-    found = found.select("uid", F.filter("all", lambda x: ~F.exists("all", lambda y: wider(x, y))).alias("all"))
-    found = found.groupBy("uid").agg(F.flatten(F.collect_list("all")).alias("more"))
-    spans = F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))
-    return rows.join(found, "uid", "left").select(F.col("key").alias(key), "base", spans.alias("spans"))
+    # Tokens lie in each other or apart: one lies in another if any that begins before it reaches its end.
+    before = Window.partitionBy("uid").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    found = tested.where(F.col("p") > limit).select("uid", "start", "end", F.max("end").over(before).alias("reach"))
+    found = found.where("reach is null or reach < end").select("uid", "start", F.lit(KINDS.index("random")).alias("kind"), "end")
+    span = F.struct("start", "kind", "end")
+    own = base.union(found).groupBy("uid").agg(
+        F.array_sort(F.collect_list(F.when(F.col("kind") < KINDS.index("random"), span))).alias("base"), F.array_sort(F.collect_list(span)).alias("spans")
+    )
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    joined = rows.select("uid", "key").join(own, "uid", "left")
+    return joined.select(F.col("key").alias(key), F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
+
+
+def _tokens(runs, base):
+    """(uid, start, end, token): runs and the parts between their signs that overlap no base span."""
+    whole = runs.select("uid", "start", "end", F.col("value").alias("token"))
+    signed = runs.where(F.col("value").rlike("[+/_-]")).select("uid", F.col("start").alias("run"), _pieces(F.col("value"), [(i, x, 0) for i, x in enumerate(PARTS)]).alias("pieces"))
+    parts = _placed(signed, ["uid", "run"])
+    parts = parts.select("uid", (F.col("run") + F.col("start")).alias("start"), (F.col("run") + F.col("end")).alias("end"), F.col("value").alias("token"))
+    tokens = whole.union(parts).distinct()
+    # In the order of base starts and token ends, the base spans before a token are those that begin before it ends.
+    events = tokens.select("uid", F.col("end").alias("at"), F.lit(0).alias("is_base"), "start", "end", "token")
+    events = events.union(base.select("uid", F.col("start").alias("at"), F.lit(1).alias("is_base"), "start", "end", F.lit(None).cast("string").alias("token")))
+    before = Window.partitionBy("uid").orderBy("at", "is_base").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(F.col("is_base") == 1, F.col("end"))).over(before)
+    events = events.withColumn("reach", reach).where("is_base = 0 and (reach is null or reach <= start)")
+    return events.select("uid", "start", "end", "token")
 
 
 def written(spans):

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -44,9 +45,9 @@ def secret_texts():
 
 def test_base_spans(spark):
     texts = [*awkward(), *secret_texts()]
-    rows = table(spark, texts).select("doc_id", secrets.base_spans(F.coalesce("text", F.lit(""))).alias("b")).collect()
+    rows = secrets.find_secrets(table(spark, texts)).collect()
     for r in rows:
-        assert [tuple(x) for x in r["b"]] == brute_base(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert [tuple(x) for x in r["base"]] == brute_base(texts[r["doc_id"]]), texts[r["doc_id"]]
 
 
 def p_of(spark, tokens):
@@ -130,3 +131,34 @@ def test_tokens_on_one_side(spark):
     high, mixed = token(own, "89abcdef", 40), token(own, "0123456789abcdef", 40)
     p = p_of(spark, [high, mixed])
     assert p[0] < 1e-13 and p[1] > 1e-3
+
+
+def test_letters_alone(spark):
+    """Random letters of both cases are found, names in them are not; words of one case are not tested."""
+    own = random.Random(12)
+    hidden = [token(own, BASE64[:52], 40) for _ in range(40)]
+    names = ["AbstractSingletonProxyFactoryBean", "getElementsByTagNameAndClassName", "Donaudampfschifffahrtsgesellschaft", "INTERNATIONALIZATION"]
+    texts = [prose(i, 20) + " " + x + " " + own.choice(names) + " " + prose(i, 9) for i, x in enumerate(hidden)]
+    rows = {r["doc_id"]: [x for x in r["spans"] if x["kind"] == 3] for r in secrets.find_secrets(table(spark, texts)).collect()}
+    found = [[texts[i][x["start"] : x["end"]] for x in rows[i]] for i in range(len(texts))]
+    assert sum(x in y for x, y in zip(hidden, found)) >= 34
+    assert not any(y in names for ys in found for y in ys)
+
+
+def test_long_texts_of_tokens(spark):
+    """The work does not grow with the square of the matches in a text."""
+    own, parts = random.Random(2), []
+    for i in range(40_000):
+        parts.append(own.choice(["/", "token=", " ", "\n", "x-"]) + token(own, BASE64[:62], 22 + i % 9) + own.choice([" ", "/", ".", "\n"]))
+    text = "é" + "".join(parts)
+    began = time.time()
+    (row,) = secrets.find_secrets(table(spark, [text])).collect()
+    assert time.time() - began < 60
+    assert [tuple(x) for x in row["base"]] == brute_base(text)
+    spans = [tuple(x) for x in row["spans"]]
+    more = [x for x in spans if x[1] == 3]
+    assert spans == sorted(spans) and len(more) > 15_000
+    ends = 0
+    for start, _, end in sorted(x for x in spans if x[1] in (0, 3)):
+        assert start >= ends
+        ends = end
