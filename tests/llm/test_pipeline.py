@@ -2,11 +2,11 @@
 
 import corpus_pipeline
 from rows import awkward, prose, table
+from test_jaccard import brute_survivors
 from test_mixing import expected_targets
 from test_packing import check as check_packing
 from test_packing import ids_of
 from test_rules import brute_lines, brute_measures
-from test_simhash import brute_fingerprint, brute_roots
 
 from opinionloom.llm import repetition
 
@@ -39,12 +39,10 @@ def test_stages(spark):
     good.sort(key=lambda r: r["doc_id"])
     want = {r["doc_id"]: x[2] for r, x in zip(good, brute_lines([r["text"] for r in good], 10))}
     assert {r["doc_id"]: r["text"] for r in lines} == want and all(r["n_chars"] == len(r["text"]) for r in lines)
-    marks = {r["doc_id"]: brute_fingerprint(r["text"]) for r in lines}
-    roots = brute_roots(sorted(set(marks.values())))
-    first = {}
-    for i in sorted(marks):
-        first.setdefault(roots[marks[i]], i)
-    assert sorted(r["doc_id"] for r in single) == sorted(first.values()) and len(single) < len(lines)
+    lines.sort(key=lambda r: r["doc_id"])
+    # The smallest id of what links of a five-word Jaccard similarity of 0.8 or more join.
+    stays = brute_survivors([r["text"] for r in lines])
+    assert sorted(r["doc_id"] for r in single) == [lines[i]["doc_id"] for i in sorted(stays)] and len(single) < len(lines)
     size = {r["doc_id"]: len((r["text"] or "").split()) for r in single}
     total, taken, largest = {}, {}, {}
     for r in single:
