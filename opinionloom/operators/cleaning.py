@@ -29,7 +29,9 @@ def translate_reviews(reviews, translator=None, lang="lang", detector=None):
     if translator is None:
         return reviews.withColumn("translated_review", cleaned).withColumn("final_review", cleaned)
     if detector is not None:
-        reviews, language = reviews.withColumn("_language", detector(cleaned)), F.col("_language")
+        # A condition that changes from row to row keeps Spark from copying the detector into all that uses its result.
+        once = F.when(F.monotonically_increasing_id() >= 0, detector(cleaned))
+        reviews, language = reviews.withColumn("_language", once), F.col("_language")
     else:
         language = None if lang is None else F.col(lang)
     foreign = F.lit(True) if language is None else F.coalesce(~language.isin(*NO_TRANSLATION), F.lit(False))

@@ -8,6 +8,7 @@ data; that is a parameter of the operators.
 from pyspark.sql import functions as F
 
 from opinionloom.functions import labels as lab
+from opinionloom.functions import language, sentences
 from opinionloom.functions import text as txt
 from opinionloom.functions import vocab
 from opinionloom.functions.scorers import batch_scorer, batch_translator, lexicon_scorer
@@ -251,6 +252,27 @@ def vocabulary_table_matches(spark, folder):
     return aspects.vocabulary_matches(documents(spark, folder, "text"), "text", words.where(F.length("term") >= 9)).select("doc_id", "term")
 
 
+@query
+def detect_language(spark, folder):
+    texts = documents(spark, folder, "text", "lang")
+    profile = language.learn_languages(texts)
+    return texts.select("doc_id", "lang", profile.detector()(F.col("text")).alias("detected"))
+
+
+@query
+def learned_abbreviations(spark, folder):
+    counts = sentences.word_counts(documents(spark, folder, "text"))
+    scores = sentences.abbreviation_scores(counts).where(F.col("score") >= sentences.LEAST_SCORE)
+    return scores.select("word", "n", "stopped", F.round("score", 6).alias("score"))
+
+
+@query
+def sentences_learned(spark, folder):
+    texts = documents(spark, folder, "text")
+    split = sentences.sentence_splitter(sentences.learn_abbreviations(texts))
+    return texts.select("doc_id", F.posexplode(split(F.col("text"))).alias("sent_pos", "text"))
+
+
 @query
 def clause_split(spark, folder):
     texts = documents(spark, folder, "text")
@@ -573,6 +595,22 @@ def run_translated(spark, folder):
     return done.scored.select("review_id", "model", "translated_review", "final_review", "sentiment_label")
 
 
+@query
+def run_detected(spark, folder):
+    """A job on a file without languages: they are detected by a profile of texts whose language is known."""
+
+    def load_model():
+        return lambda texts: [f"translated!! {text}" for text in texts]
+
+    path = shared_folder(spark, "reviews") + ".csv"
+    columns = F.col("source").alias("Product"), F.col("text").alias("Review"), "doc_id"
+    writers.write_table(table(spark, folder, "documents").select(*columns), path, "csv")
+    loaded = readers.load_reviews(spark, path, id_column="doc_id")
+    profile = language.learn_languages(documents(spark, folder, "text", "lang"))
+    done = job.run(loaded, word_scorer(), batch_translator(load_model), detector=profile.detector())
+    return done.scored.select("review_id", "model", "translated_review", "final_review", "sentiment_label")
+
+
 @query
 def reloaded_first_records(spark, folder):
     path = shared_folder(spark, "aspects") + ".csv"

@@ -453,6 +453,58 @@ translated as (select review_id, model, null as lang, case when {junk('t')} then
 ORACLE["run_translated"] = f"""with {TRANSLATED},{deduped('model').replace('from cleaned)', 'from translated)')},
 {lexicon("nullif(final_review, '')", 'final', 'review_id')}
 select review_id, model, cleaned_review as translated_review, final_review, raw_label as sentiment_label from final join judged using (review_id)"""
+
+
+def letter_runs(texts, key):
+    """(key, bucket, n): the buckets of runs of three letters in a relation's texts."""
+    return f"""(select {key}, (unicode(s[i:i]) * 961 + unicode(s[i + 1:i + 1]) * 31 + unicode(s[i + 2:i + 2])) % 8191 as bucket, sum(n)::bigint as n
+  from (select {key}, n, ' ' || word || ' ' as s, unnest(range(1, length(word) + 1)) as i from (
+    select {key}, word, count(*) as n from (select {key}, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) as word from {texts})
+    group by all)) group by all)"""
+
+
+def languages(texts, key):
+    """CTEs: the profile of the documents' languages, and ``spoken``, the language of each text of a relation."""
+    return f"""runs_of_languages as {letter_runs('(select lang, text from documents where lang is not null)', 'lang')},
+totals as (select lang, sum(n) + 8191 as total from runs_of_languages group by lang),
+runs_of_texts as {letter_runs(texts, key)},
+fits as (select r.{key}, t.lang as spoken, sum(r.n * floor(1000 * ln((coalesce(c.n, 0) + 1) / t.total) + 0.5))::bigint as score
+  from runs_of_texts r cross join totals t left join runs_of_languages c on c.lang = t.lang and c.bucket = r.bucket group by all),
+spoken as (select {key}, case when count(*) > 1 then 'unknown' else min(spoken) end as detected
+  from (select *, max(score) over (partition by {key}) as best from fits) where score = best group by {key})"""
+
+
+ORACLE["detect_language"] = f"""with {languages('documents', 'doc_id')}
+select doc_id, lang, coalesce(detected, 'unknown') as detected from documents left join spoken using (doc_id)"""
+DETECTED = f"""{CLEANED},
+{languages('(select review_id, cleaned_review as text from cleaned)', 'review_id')},
+sent as (select review_id, model, {clean("case when coalesce(detected, 'unknown') not in ('en', 'unknown') then 'translated!! ' || cleaned_review else cleaned_review end")} as t
+  from cleaned left join spoken using (review_id)),
+translated as (select review_id, model, null as lang, case when {junk('t')} then null else t end as cleaned_review from sent)"""
+ORACLE["run_detected"] = f"""with {DETECTED},{deduped('model').replace('from cleaned)', 'from translated)')},
+{lexicon("nullif(final_review, '')", 'final', 'review_id')}
+select review_id, model, cleaned_review as translated_review, final_review, raw_label as sentiment_label from final join judged using (review_id)"""
+
+ABBREVIATIONS = r"""counted as (
+  select rtrim(t, '.') as word, count(*)::bigint as n, count(*) filter (where length(t) = length(rtrim(t, '.')) + 1)::bigint as stopped
+  from (select unnest(regexp_extract_all(lower(text), '\p{L}[\p{L}\p{N}.]*')) as t from documents) group by all),
+usual as (select sum(stopped) / sum(n) as share from counted),
+scored_words as (select word, n, stopped, length(word) - length(replace(word, '.', '')) as inner_stops,
+  -2 * (stopped * ln(share) + (n - stopped) * ln(1 - share) - stopped * ln(0.99) - (n - stopped) * ln(1 - 0.99)) as ratio
+  from counted, usual where stopped > 0 and length(word) <= 20 and share > 0 and share < 1),
+abbreviations as (select word, n, stopped, ratio * exp(-(length(word) - inner_stops)) * (inner_stops + 1)
+    * pow((length(word) - inner_stops)::double, stopped - n) as score from scored_words),
+short as (select word from abbreviations where score >= 0.3 order by round(score, 9) desc, word limit 2000)""".replace("\\\\", "\\")
+ORACLE["learned_abbreviations"] = f"with {ABBREVIATIONS} select word, n, stopped, round(score, 6) as score from abbreviations where score >= 0.3"
+BLANK = SPACE.replace(r"\t-\r", r"\t\x{0b}-\r")
+ORACLE["sentences_learned"] = rf"""with {ABBREVIATIONS},
+cut as (select doc_id, regexp_extract_all(text, '[^\n]*?[.!?][{SPACE}]+|[^\n]+|\n') as ps from documents where text is not null),
+piece as (select doc_id, unnest(ps) as p, unnest(range(len(ps))) as i from cut),
+held as (select doc_id, p, i,
+  lower(regexp_extract(p, '(?:^|[^\p{{L}}\p{{N}}.])(\p{{L}}[\p{{L}}\p{{N}}.]*)\.[{BLANK}]+$', 1)) in (select word from short) as goes_on from piece),
+part as (select *, coalesce(sum((not goes_on)::int) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as g from held),
+joined as (select doc_id, g, {strip("string_agg(p, '' order by i)")} as text from part group by doc_id, g)
+select doc_id, (row_number() over (partition by doc_id order by g) - 1)::int as sent_pos, text from joined where text <> ''"""
 ORACLE["reloaded_first_records"] = f"with {RECORDS} select * from records where review_id < 5"
 ORACLE["reloaded_model_stats"] = f"with {model_figures('labelled')} select * from figures"
 ORACLE["plain_aspect_file"] = """with r as (select source as model, doc_id, row_number() over (partition by source order by doc_id) - 1 as i from documents)
