@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import kept
-from .common import with_outputs
+from .common import quoted
 
 #: Weights of the sources in their order, repeating; the most copies of a document.
 WEIGHTS = (5, 2, 1)
@@ -146,20 +146,23 @@ def mix(docs, text="text", source="source", key="doc_id", weights=WEIGHTS, most=
         F.col("source").alias("_s"), F.col("preference").alias("_p"), F.struct("whole", "odds", "cut").alias("_rule")
     )
     aims = targets.select(F.col("source").alias("_t"), F.struct("source_size", "target").alias("_aim"))
-    own = F.col(source).cast("string")
-    rows = docs.withColumn("_size", words(text))
-    rows = rows.join(aims, own.eqNullSafe(F.col("_t")), "left").drop("_t")
-    rows = rows.join(named, own.eqNullSafe(F.col("_s")) & (preference(F.col("_size")) == F.col("_p")), "left").drop("_s", "_p")
-    extra = (F.col("_rule.odds") > 0) & (_rank(F.col(key), seed, F.col("_rule.odds")) <= F.col("_rule.cut"))
+    # The document's own columns travel as one, so that none can clash with those of the rule.
+    rows = docs.select(
+        F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), words(text).alias("_size"),
+        F.col(quoted(source)).cast("string").alias("_source"), F.col(quoted(key)).alias("_key"),
+    )
+    rows = rows.join(aims, F.col("_source").eqNullSafe(F.col("_t")), "left").drop("_t")
+    rows = rows.join(named, F.col("_source").eqNullSafe(F.col("_s")) & (preference(F.col("_size")) == F.col("_p")), "left").drop("_s", "_p")
+    extra = (F.col("_rule.odds") > 0) & (_rank(F.col("_key"), seed, F.col("_rule.odds")) <= F.col("_rule.cut"))
     copies = F.when(F.col("_size") > 0, F.col("_rule.whole") + F.coalesce(extra.cast("long"), F.lit(0))).otherwise(F.lit(0)).cast("long")
-    return with_outputs(
-        rows.withColumn("_copies", copies),
-        {
-            "size": F.col("_size"), "source_size": F.coalesce(F.col("_aim.source_size"), F.lit(0)).cast("long"),
-            "target": F.coalesce(F.col("_aim.target"), F.lit(0.0)), "copies": F.col("_copies"),
-            "taken": F.col("_copies") * F.col("_size"),
-        },
-    ).drop("_size", "_copies", "_rule", "_aim")
+    outputs = {
+        "size": F.col("_size"), "source_size": F.coalesce(F.col("_aim.source_size"), F.lit(0)).cast("long"),
+        "target": F.coalesce(F.col("_aim.target"), F.lit(0.0)), "copies": F.col("_copies"), "taken": F.col("_copies") * F.col("_size"),
+    }
+    others = [c for c in docs.columns if c.lower() not in outputs]
+    return rows.withColumn("_copies", copies).select(
+        *[F.col("_row." + quoted(c)).alias(c) for c in others], *[x.alias(name) for name, x in outputs.items()]
+    )
 
 
 def mixed_documents(docs, **options):

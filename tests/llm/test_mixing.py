@@ -74,3 +74,16 @@ def test_large_documents_are_preferred(spark):
     done = mixing.mix(docs).where("source = 'a'").groupBy(F.col("size") > 10).agg(F.avg("copies")).collect()
     share = dict(tuple(x) for x in done)
     assert share[True] > share[False]
+
+
+def test_columns_named_like_those_of_the_rule(spark):
+    docs = table(spark, [prose(i, 5 + i) for i in range(40)])
+    want = sorted(map(tuple, mixing.mix(docs).select("doc_id", "size", "target", "taken").collect()))
+    odd = docs
+    for i, name in enumerate(["_s", "_p", "_t", "_rule", "_aim", "_size", "_copies", "_row", "_source", "_key", "left", "whole", "Taken", "a.b"]):
+        odd = odd.withColumn(name, F.lit(i))
+    found = mixing.mix(odd)
+    assert sorted(map(tuple, found.select("doc_id", "size", "target", "taken").collect())) == want
+    assert found.select("_rule", "`a.b`").distinct().collect() == [(3, 13)] and "Taken" not in found.columns
+    assert mixing.mixed_documents(odd).columns == odd.columns
+    assert mixing.mix(docs.limit(0)).collect() == []
