@@ -177,10 +177,11 @@ def components(links):
 
 
 def near_duplicates(docs, text="text", key="doc_id", width=3, radius=3, most=BUCKET):
-    """(key, text_hash, fp, n_near, component): one row for each document, with its group.
+    """(key, text_hash, fp, n_near, component, root): one row for each document, with its group.
 
     ``fp`` is the fingerprint, ``component`` the smallest key reachable over links of at most ``radius`` differing
-    bits (null where all keys are null), ``n_near`` the documents with the same fingerprint.  Equal
+    bits (null where all keys are null), ``n_near`` the documents with the same fingerprint.  ``root`` names the group itself, also where
+    documents of different groups share a key.  Equal
     fingerprints are one point; only points are bucketed and linked.  Empty texts have fingerprint 0.
     """
     own = small_batches(docs).select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), fingerprints(text, width).alias("fp"))
@@ -190,8 +191,8 @@ def near_duplicates(docs, text="text", key="doc_id", width=3, radius=3, most=BUC
     joined = points.join(roots, points.fp == roots.node, "left").select("fp", "n_near", "least", F.coalesce("root", "fp").alias("root"))
     joined = kept(joined, "rooted")
     named = joined.groupBy("root").agg(F.min("least").alias("component"))
-    groups = joined.join(named, "root").select("fp", "n_near", "component")
-    return own.join(groups, "fp").select("key", "text_hash", "fp", "n_near", "component")
+    groups = joined.join(named, "root").select("fp", "n_near", "component", "root")
+    return own.join(groups, "fp").select("key", "text_hash", "fp", "n_near", "component", "root")
 
 
 def first_of_each(docs, found, group, text="text", key="doc_id"):
@@ -211,7 +212,4 @@ def first_of_each(docs, found, group, text="text", key="doc_id"):
 
 def one_of_each(docs, text="text", key="doc_id", **options):
     """One document of each group of near duplicates; see ``first_of_each``."""
-    found = near_duplicates(docs, text, key, **options)
-    # A group whose keys are all null is told by its fingerprint.
-    name = F.struct("component", F.when(F.col("component").isNull(), F.col("fp")))
-    return first_of_each(docs, found, name, text, key)
+    return first_of_each(docs, near_duplicates(docs, text, key, **options), F.col("root"), text, key)

@@ -97,3 +97,11 @@ def test_awkward_tables(spark):
     none = docs.withColumn("doc_id", F.lit(None).cast("long"))
     assert {r["component"] for r in simhash.near_duplicates(none).collect()} == {None}
     assert simhash.one_of_each(none).count() == 2 and simhash.one_of_each(docs).columns == docs.columns
+
+
+def test_unlike_documents_with_one_key_stay(spark):
+    a, b = prose(71, 60), prose(72, 60)
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (None, b)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.one_of_each(docs).collect())) == sorted([(1, a), (1, b)])
+    found = simhash.near_duplicates(docs)
+    assert found.select("root").distinct().count() == 2 and {r["component"] for r in found.collect()} == {1}
