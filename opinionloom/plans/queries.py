@@ -13,6 +13,7 @@ from opinionloom.functions import text as txt
 from opinionloom.functions import vocab
 from opinionloom.functions.scorers import batch_scorer, batch_translator, lexicon_scorer
 from opinionloom.operators import (
+    ann,
     aspects,
     cleaning,
     dashboard,
@@ -23,7 +24,7 @@ from opinionloom.operators import (
     training,
     vectors,
 )
-from opinionloom.operators.upsert import find_one, upsert
+from opinionloom.operators.upsert import upsert
 from opinionloom.plans import job
 from opinionloom.sources import keyed, readers, writers
 from opinionloom.sources.shared import cached, kept, shared_folder
@@ -455,7 +456,7 @@ def upsert_summary(spark, folder):
 def find_summary(spark, folder):
     path = shared_folder(spark, "summaries")
     job.publish_summaries(absa(spark, folder), path)
-    return evidence.summary_lines(find_one(keyed.read_keyed(spark, path), "model", "src1"))
+    return evidence.summary_lines(keyed.find_keyed(spark, path, {"model": "src1"}))
 
 
 # Training and vectors
@@ -515,6 +516,14 @@ def vector_search(spark, folder):
     return _rounded(vectors.search_vectors(table(spark, folder, "embeddings"), asked, 10))
 
 
+@query
+def vector_search_lists(spark, folder):
+    """The search of vector_search, by an index of lists, followed until no list can hold a neighbour."""
+    asked = [[1.0] * 64, [float(i % 2) for i in range(64)], [float(i) for i in range(64)]]
+    index = ann.ListIndex.build(table(spark, folder, "embeddings"), shared_folder(spark, "vector-lists"))
+    return _rounded(index.search(asked, 10, exact=True))
+
+
 def _rounded(found):
     return found.withColumn("similarity", F.round("similarity", 6))
 

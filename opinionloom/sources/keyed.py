@@ -46,6 +46,26 @@ def read_keyed(spark, path, version=None, buckets=None):
     return spark.read.option("mergeSchema", "true").parquet(*folders)
 
 
+def find_keyed(spark, path, key, version=None):
+    """The row of one key, or none; ``key`` gives a value for each key column of the table, in the order of its ``upsert_keyed``.
+
+    Only the bucket that the key belongs to is read.
+    """
+    names = list(key)
+    schema = read_keyed(spark, path, version, buckets=[]).schema
+    values = [F.lit(key[name]).cast(schema[name].dataType) for name in names]
+    number = _bucket_number(spark, path.rstrip("/"), BUCKETS)
+    own = spark.range(1).select(_bucket(values, number)).first()[0]
+    rows = read_keyed(spark, path, version, buckets=[own])
+    for name, value in zip(names, values):
+        rows = rows.where(F.col(name).eqNullSafe(value))
+    return rows.limit(1)
+
+
+def _bucket(keys, buckets):
+    return F.pmod(F.xxhash64(*[k.cast("string") for k in keys]), F.lit(buckets)).cast("int")
+
+
 def upsert_keyed(updates, path, keys, order=None, source=None, buckets=BUCKETS, takeover=False):
     """Merge updates into the keyed table, which need not exist yet; returns the number of the version.
 
@@ -64,7 +84,7 @@ def upsert_keyed(updates, path, keys, order=None, source=None, buckets=BUCKETS,
     if newest_version(spark, path) != (number - 1 if number else None):
         raise BusyTable(f"version {number} of {path} has been written meanwhile")
     buckets = _bucket_number(spark, path, buckets)
-    bucket = F.pmod(F.xxhash64(*[F.col(k).cast("string") for k in keys]), F.lit(buckets)).cast("int")
+    bucket = _bucket([F.col(k) for k in keys], buckets)
     touched = [row[0] for row in updates.select(bucket).distinct().collect()]
     try:
         stored = read_keyed(spark, path, buckets=touched)

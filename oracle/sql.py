@@ -417,6 +417,7 @@ ORACLE["vector_search"] = """with asked as (
 s as (select query_id, vec_id, list_cosine_similarity(embedding::double[], q) as sim from embeddings, asked),
 r as (select *, row_number() over (partition by query_id order by sim desc, vec_id)::int as rank from s)
 select query_id, vec_id, round(sim, 6) as similarity, rank from r where rank <= 10"""
+ORACLE["vector_search_lists"] = ORACLE["vector_search"]
 ORACLE["upsert_vectors"] = """with a as (select 'label' || label as model, vec_id * 2 as original_index, len(embedding)::int as dimensions from embeddings),
 s as (select 'label' || label as model, vec_id as original_index from embeddings)
 select model, original_index, case when dimensions is null then 'stored' else 'arrived' end as state, dimensions

@@ -8,7 +8,7 @@ from opinionloom.operators import training, vectors
 from opinionloom.operators.aspects import vocabulary_matches
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
-from opinionloom.sources import readers, writers
+from opinionloom.sources import keyed, readers, writers
 from opinionloom.sources.keyed import BusyTable, newest_version, prune_keyed, read_keyed, upsert_keyed
 from opinionloom.sources.shared import Workspace, kept, shared_folder
 from opinionloom.streaming import live
@@ -426,3 +426,17 @@ def test_streams_in_several_batches(spark, tmp_path):
     first = live.first_arrivals(arrivals, ["user"], delay="10 days").select("user")
     live.drain_to_parquet(first, str(tmp_path / "first"), str(tmp_path / "c3"))
     assert rows_of(spark.read.parquet(str(tmp_path / "first")), "user") == [("u0",), ("u1",), ("u2",)]
+
+
+def test_lookup_reads_one_bucket(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    rows = [(i, f"m{i % 7}", f"text {i}") for i in range(300)] + [(None, "m1", "no number"), (5, None, "no name")]
+    updates = spark.createDataFrame(rows, "number long, model string, text string")
+    keyed.upsert_keyed(updates, path, ["number", "model"])
+    keyed.upsert_keyed(spark.createDataFrame([(3, "m3", "new")], "number long, model string, text string"), path, ["number", "model"])
+    for number, model, text in [*rows[:3], rows[-2], rows[-1], (3, "m3", "new")]:
+        found = keyed.find_keyed(spark, path, {"number": number, "model": model})
+        assert [r["text"] for r in found.collect()] == [text]
+        assert len({re.search("_bucket=([0-9]+)", file)[1] for file in found.inputFiles()}) == 1
+    assert keyed.find_keyed(spark, path, {"number": 999, "model": "m1"}).collect() == []
+    assert [r["text"] for r in keyed.find_keyed(spark, path, {"number": 3, "model": "m3"}, version=0).collect()] == ["text 3"]
