@@ -1,5 +1,5 @@
 import pytest
-from golden import REPORTS, STATISTICS
+from golden import COUNTS, REPORTS, STATISTICS
 from pyspark.sql import functions as F
 
 from opinionloom.functions import labels as lab
@@ -259,7 +259,7 @@ def test_keywords_with_the_largest_ids(spark):
 
 # model, total, positive, negative, neutral, mean stars, shares of all rows
 def golden_reviews(spark):
-    sizes = spark.createDataFrame([(i, *row[:5]) for i, row in enumerate(STATISTICS)], "o int, model string, t int, p int, n int, u int")
+    sizes = spark.createDataFrame([(i, *row[:2], *COUNTS[row[0]]) for i, row in enumerate(STATISTICS)], "o int, model string, t int, p int, n int, u int")
     rows = sizes.select("*", F.explode(F.sequence(F.lit(0), F.col("t") - 1)).alias("i"))
     label = (
         F.when(F.col("i") < F.col("p"), "Positive").when(F.col("i") < F.col("p") + F.col("n"), "Negative")
@@ -277,9 +277,9 @@ def test_golden_statistics(spark):
     assert [
         (r["model"], r["total_reviews"], r["valid_cleaned_reviews"], r["average_sentiment_score"], r["pct_positive"],
          r["pct_negative"], r["pct_neutral"]) for r in found
-    ] == [(m, t, t, mean, p, n, u) for m, t, _, _, _, mean, p, n, u, _, _ in STATISTICS]
+    ] == [(m, t, v, mean, p, n, u) for m, t, v, p, n, u, mean, _, _ in STATISTICS]
     labelled = stats.model_stats(golden_reviews(spark)).collect()
-    assert {r["model"]: r["valid_cleaned_reviews"] for r in labelled} == {g[0]: sum(g[2:5]) for g in STATISTICS}
+    assert {r["model"]: r["valid_cleaned_reviews"] for r in labelled} == {model: sum(own) for model, own in COUNTS.items()}
     assert all(abs(r["pct_positive"] + r["pct_negative"] + r["pct_neutral"] - 100) < 0.02 for r in labelled)
 
 
@@ -300,7 +300,7 @@ STATS = "model string, valid_cleaned_reviews bigint, pct_positive double, pct_ne
 
 
 def test_golden_report(spark):
-    rows = [(m, t, p, n, u, good, bad, i) for i, (m, t, _, _, _, _, p, n, u, good, bad) in enumerate(STATISTICS)]
+    rows = [(m, v, p, n, u, good, bad, i) for i, (m, _, v, p, n, u, _, good, bad) in enumerate(STATISTICS)]
     feedback = report.feedback_report(spark.createDataFrame(rows, STATS))
     found = {r["model"]: r for r in feedback.collect()}
     assert found.keys() == REPORTS.keys() and len(found) == 8
