@@ -7,10 +7,8 @@ each position; the other phrases starting there are exactly its prefixes.
 
 import os.path
 import re
-from collections.abc import Iterator
 from itertools import chain
 
-import pyarrow as pa
 from pyspark.sql import functions as F
 
 
@@ -53,41 +51,6 @@ def phrase_hits(text, phrases):
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(longest), with_prefixes)))
 
 
-# Bytes of a vocabulary table that are sent to the tasks at once.
-TERMS_SENT = 4 << 20
-
-
-def table_hits(text, terms, sent=TERMS_SENT):
-    """Columns with the distinct terms of a table that occur in the (lower-case) text, one for each part of the table.
-
-    A part has about ``sent`` bytes of terms at most; each task builds one automaton from it, and runs its texts through.
-    """
-    spark = terms.sparkSession
-    known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
-    size = known.agg(F.sum(F.octet_length("term") + 8)).first()[0] or 0
-    parts = -(-size // sent) or 1
-    part = F.pmod(F.xxhash64("term"), F.lit(parts))
-    return [_automaton_hits(spark, known.where(part == number), text) for number in range(parts)]
-
-
-def _automaton_hits(spark, part, text):
-    words = spark.sparkContext.broadcast([row["term"] for row in part.collect()])
-
-    @F.arrow_udf("array<string>")
-    def hits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton()
-        for word in words.value:
-            automaton.add_word(word, word)
-        automaton.make_automaton()
-        for batch in batches:
-            found = [sorted({word for _, word in automaton.iter(x)}) if x and len(automaton) else [] for x in batch.to_pylist()]
-            yield pa.array(found, pa.list_(pa.string()))
-
-    return hits(text)
-
-
 def word_count(text, words, word_class):
     """How often any of the words stands in the (lower-case) text on its own."""
     firsts = re.escape("".join(sorted({word[0] for word in words})))

@@ -1,17 +1,16 @@
 """Opinions on single aspects, at sentence and at clause level."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinionloom.functions import labels, vocab
 from opinionloom.functions import text as txt
 from opinionloom.functions.numbers import round_half_even
-from opinionloom.functions.phrases import bind, phrase_hits, table_hits
+from opinionloom.functions.phrases import bind, phrase_hits
 from opinionloom.functions.scorers import lexicon_scorer
 from opinionloom.functions.vocab import NEGATIVE, NEUTRAL, POSITIVE
 from opinionloom.operators.cleaning import valid_reviews
+from opinionloom.operators.lookup import table_matches
 
 
 def aspect_rows(reviews, terms=vocab.ASPECT_TERMS, splitter=txt.split_sentences, scorer=None):
@@ -40,13 +39,12 @@ def aspect_rows(reviews, terms=vocab.ASPECT_TERMS, splitter=txt.split_sentences,
 def vocabulary_matches(rows, text, terms):
     """One row per text and vocabulary term that occurs in it as a substring, ignoring case.
 
-    ``terms`` is a list of lower-case terms of any length, or a table with a column ``term``, which may be large (see
-    ``phrases.table_hits``); each text is scanned once for a list, and once for each part of a table.
+    ``terms`` is a list of lower-case terms of any length, for which each text is scanned once, or a table with a column
+    ``term``, which may be large (see ``lookup.table_matches``).
     """
-    if not isinstance(terms, DataFrame):
-        return rows.withColumn("term", F.explode(phrase_hits(F.col(text), list(dict.fromkeys(terms)))))
-    found = [rows.withColumn("term", F.explode(hits)) for hits in table_hits(F.lower(F.col(text)), terms)]
-    return reduce(DataFrame.unionAll, found)
+    if isinstance(terms, DataFrame):
+        return table_matches(rows, text, terms)
+    return rows.withColumn("term", F.explode(phrase_hits(F.col(text), list(dict.fromkeys(terms)))))
 
 
 def clause_aspects(reviews, text="text", review_id="review_id", scorer=None, keywords=vocab.ASPECT_KEYWORDS):

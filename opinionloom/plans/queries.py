@@ -250,7 +250,7 @@ def vocabulary_matches(spark, folder):
 @query
 def vocabulary_table_matches(spark, folder):
     words = table(spark, folder, "benchmark").select(F.explode(F.split(F.lower("text"), "[^\\p{L}]+")).alias("term"))
-    return aspects.vocabulary_matches(documents(spark, folder, "text"), "text", words.where(F.length("term") >= 9)).select("doc_id", "term")
+    return aspects.vocabulary_matches(documents(spark, folder, "text"), "text", words).select("doc_id", "term")
 
 
 @query
@@ -681,33 +681,41 @@ def retrained_stats(spark, folder):
 WEEKS = (range(1, 9), range(9, 17), range(17, 25), range(25, 32))
 
 
-def arrivals(spark, folder, weeks=WEEKS):
-    """The events of some parts of the month as a stream of one file each, in this order, one file at a time."""
+def arrive(spark, folder, drain, weeks=WEEKS):
+    """Let the events of some parts of the month arrive as files, part after part, and call ``drain`` with the stream after each.
+
+    Events without a time come with the first part.
+    """
     path = shared_folder(spark, "arrivals")
     events = table(spark, folder, "events")
-    for days in weeks:
-        events.where(F.dayofmonth("ts").isin(*days)).coalesce(1).write.mode("append").parquet(path)
-    stream = live.read_arrivals(spark, path, events.schema, files_per_trigger=1)
+    day = F.coalesce(F.dayofmonth("ts"), F.lit(WEEKS[0][0]))
     stars = F.floor(F.col("value") % 5).cast("double") + 1
-    return (
-        stream.withColumn("ts", F.col("ts").cast("timestamp"))
-        .withColumn("sentiment_score", stars)
-        .withColumn("sentiment_label", lab.label_of_stars(stars))
-    )
+    for days in weeks:
+        events.where(day.isin(*days)).write.mode("append").parquet(path)
+        drain(
+            live.read_arrivals(spark, path, events.schema)
+            .withColumn("ts", F.col("ts").cast("timestamp"))
+            .withColumn("sentiment_score", stars)
+            .withColumn("sentiment_label", lab.label_of_stars(stars))
+        )
 
 
 @query
 def live_kpi(spark, folder):
     path, checkpoint = shared_folder(spark, "kpi"), shared_folder(spark, "kpi-progress")
-    live.drain_to_parquet(live.live_kpi(arrivals(spark, folder), ["event_type"]), path, checkpoint)
+    arrive(spark, folder, lambda stream: live.drain_to_parquet(live.live_kpi(stream, ["event_type"]), path, checkpoint))
     return spark.read.parquet(path)
 
 
 @query
 def stream_dedupe(spark, folder):
     path, checkpoint = shared_folder(spark, "first"), shared_folder(spark, "first-progress")
-    first = live.first_arrivals(arrivals(spark, folder), ["user_id", "event_type"], delay="60 days")
-    live.drain_to_parquet(first.select("user_id", "event_type"), path, checkpoint)
+
+    def drain(stream):
+        first = live.first_arrivals(stream, ["user_id", "event_type"], delay="60 days")
+        live.drain_to_parquet(first.select("user_id", "event_type"), path, checkpoint)
+
+    arrive(spark, folder, drain)
     return spark.read.parquet(path)
 
 
@@ -717,7 +725,11 @@ def stream_upsert(spark, folder):
     path = shared_folder(spark, "users")
     columns = "user_id", "event_type", "event_id", "sentiment_label"
     for weeks in (WEEKS[2:], WEEKS[:2]):
-        some = arrivals(spark, folder, weeks).select(*columns)
-        live.drain_to_keyed_table(some, path, ["user_id", "event_type"], shared_folder(spark, "users-progress"), "event_id")
+        progress = shared_folder(spark, "users-progress")
+
+        def drain(stream, progress=progress):
+            live.drain_to_keyed_table(stream.select(*columns), path, ["user_id", "event_type"], progress, "event_id")
+
+        arrive(spark, folder, drain, weeks)
     keyed.prune_keyed(spark, path)
     return keyed.read_keyed(spark, path)

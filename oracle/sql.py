@@ -198,7 +198,7 @@ ASPECT_OF_CLAUSE = (
 ORACLE["vocabulary_matches"] = f"""select doc_id, t.term from documents join
   (select distinct unnest({sql_list(sum(vocab.ASPECT_KEYWORDS.values(), []))}) as term) t on contains(lower(text), t.term)"""
 ORACLE["vocabulary_table_matches"] = r"""select doc_id, t.term from documents join
-  (select distinct unnest(string_split_regex(lower(text), '[^\p{L}]+')) as term from benchmark) t on length(t.term) >= 9 and contains(lower(text), t.term)"""
+  (select distinct unnest(string_split_regex(lower(text), '[^\p{L}]+')) as term from benchmark) t on t.term <> '' and contains(lower(text), t.term)"""
 # The data has no accented letter next to the three words, so plain word boundaries do.
 CLAUSES = f"""
 parts as (select doc_id, list_filter(list_transform(

@@ -1,12 +1,12 @@
+import random
 import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinionloom.functions import phrases
 from opinionloom.functions.scorers import batch_translator, lexicon_scorer
-from opinionloom.operators import training, vectors
+from opinionloom.operators import lookup, training, vectors
 from opinionloom.operators.aspects import vocabulary_matches
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
@@ -376,12 +376,25 @@ def test_vocabulary_as_a_table(spark):
     texts = spark.createDataFrame([(1, "The BATTERY life"), (2, "nothing"), (3, None), (4, "screen, battery; screens")], "id int, text string")
     terms = spark.createDataFrame([("battery",), ("Battery life",), ("screen",), ("screens",), ("",), ("none",)], "term string")
     want = {(1, "battery"), (1, "battery life"), (4, "battery"), (4, "screen"), (4, "screens")}
-    for sent in (4 << 20, 20):
-        found = [F.explode(hits).alias("term") for hits in phrases.table_hits(F.lower(F.col("text")), terms, sent)]
-        assert len(found) > 1 or sent > 20
-        assert {tuple(r) for part in found for r in texts.select("id", part).collect()} == want
+    for sent, slice_rows in ((1 << 20, 1000), (0, 1000), (0, 1)):
+        assert {(r["id"], r["term"]) for r in lookup.table_matches(texts, "text", terms, sent, slice_rows).collect()} == want
     assert {(r["id"], r["term"]) for r in vocabulary_matches(texts, "text", terms).collect()} == want
-    assert vocabulary_matches(texts, "text", terms.limit(0)).count() == 0
+    for none in (vocabulary_matches(texts, "text", terms.limit(0)), vocabulary_matches(texts.limit(0), "text", terms)):
+        assert none.columns == ["id", "text", "term"] and none.count() == 0
+
+
+def test_vocabulary_of_short_and_foreign_terms_against_a_plain_search(spark):
+    rng = random.Random(4)
+    letters = "aab\u00e9\U0001f600 -x\n"
+    texts = [None, "", "a", "x" * 70_000 + "abxa"] + ["".join(rng.choices(letters, k=rng.randrange(1, 60))) for _ in range(60)] * 2
+    words = [None, "", "zzzz"] + ["".join(rng.choices(letters, k=rng.randrange(1, 8))) for _ in range(200)]
+    rows = spark.createDataFrame([(i, x, "g", "t") for i, x in enumerate(texts)], "row int, body string, gram string, term string")
+    terms = spark.createDataFrame([(w,) for w in words], "term string").repartition(5)
+    want = sorted((i, w) for i, x in enumerate(texts) for w in set(words) if x and w and w in x)
+    for sent, slice_rows in ((1 << 20, 1000), (0, 7)):
+        found = lookup.table_matches(rows, "body", terms, sent, slice_rows)
+        assert found.columns == ["row", "body", "gram", "term"]
+        assert sorted((r["row"], r["term"]) for r in found.collect()) == want
 
 
 def test_embeddings(spark):
