@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, small_batches
 
-#: Bounds of the sample that the model is fitted on: rows of each label, and bytes of a text (longer ones are drawn last, and cut).
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 1 << 14
+#: Bounds of the sample that the model is fitted on: rows of each label, and blocks of a text (of a longer one, blocks from all over it).
+SAMPLE_ROWS, SAMPLE_BLOCKS = 3000, 4
 #: Bytes of a text that are compressed at a time; more would be judged by the text's own beginning.
 BLOCK = 1 << 13
 #: Bytes of a dictionary, and the compression level.
@@ -99,21 +99,33 @@ def _rising(x, y, weights):
     return pools[:, 2] / pools[:, 0], (pools[:, 1] + 0.5 * share) / (pools[:, 0] + 0.5)
 
 
-def fit(docs, labels, text="text", key="doc_id", label="quality", rows=SAMPLE_ROWS, most_bytes=SAMPLE_BYTES, size=DICTIONARY, level=LEVEL):
+def _blocks_of(text, key, number):
+    """The bytes, or if there are more than ``number`` blocks, one drawn block of each of that many equal stretches, joined."""
+    blocks = F.ceil(F.octet_length(text) / BLOCK)
+
+    def drawn(i):
+        start, end = (F.floor(blocks * j / number) for j in (i, i + 1))
+        at = start + F.pmod(F.xxhash64(F.lit(13 + i), key), F.greatest(end - start, F.lit(1)))
+        return F.substring(text, (at * BLOCK + 1).cast("int"), F.lit(BLOCK))
+
+    return F.when(blocks <= number, text).otherwise(F.concat(*[drawn(i) for i in range(number)]))
+
+
+def fit(docs, labels, text="text", key="doc_id", label="quality", rows=SAMPLE_ROWS, blocks=SAMPLE_BLOCKS, size=DICTIONARY, level=LEVEL):
     """A ``Model`` from labelled rows that are not held out.
 
-    The sample is bounded: of each label, the ``rows`` rows whose keys have the smallest hashes, first those with texts of at
-    most ``most_bytes``; of longer ones, drawn if there are too few, that many bytes are taken.  Empty texts are not drawn; of
-    rows that repeat a key, one is.  Other columns of the tables are not looked at.  Without rows of both labels the score is the share of
+    The sample is bounded: of each label, the ``rows`` rows whose keys have the smallest hashes, whatever the length of their
+    texts.  A text of more than ``blocks`` blocks gives that many of its blocks, one drawn from each of as many equal stretches.  Empty
+    texts are not drawn; of rows that repeat a key, one is.  Other columns of the tables are not looked at.  Without rows of both labels the score is the share of
     label 1, or one half.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~is_held_out(key)).groupBy(key).agg(F.max(label).alias("_label"))
     order = F.xxhash64(F.lit(11), F.col(key))
-    texts = docs.select(F.col(key), F.col(text).alias("_text"), (F.octet_length(text) > most_bytes).alias("_long")).where("octet_length(_text) > 0")
-    there = texts.groupBy(key).agg(F.min("_long").alias("_long")).join(known, key)
-    chosen = [there.where(F.col("_label") == q).orderBy("_long", order, key).limit(rows) for q in (0, 1)]
-    texts = texts.select(key, "_long", F.substring(F.col("_text").cast("binary"), 1, most_bytes).alias("_text"))
-    drawn = texts.join(F.broadcast(chosen[0].union(chosen[1])), [key, "_long"]).groupBy(key, "_label").agg(F.min("_text").alias("_text"))
+    texts = docs.select(F.col(key), F.col(text).cast("binary").alias("_text")).where("octet_length(_text) > 0")
+    there = texts.select(key).distinct().join(known, key)
+    chosen = [there.where(F.col("_label") == q).orderBy(order, key).limit(rows) for q in (0, 1)]
+    texts = texts.select(key, _blocks_of(F.col("_text"), F.col(key), blocks).alias("_text"))
+    drawn = texts.join(F.broadcast(chosen[0].union(chosen[1])), key).groupBy(key, "_label").agg(F.min("_text").alias("_text"))
     drawn = drawn.select(key, F.col("_text").alias("text"), "_label").toArrow()
     share = {r["_label"]: r["count"] for r in known.groupBy("_label").count().collect()}
     good_share = share.get(1, 0) / sum(share.values()) if share else 0.5

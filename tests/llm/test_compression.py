@@ -92,3 +92,13 @@ def test_length_is_looked_at_before_the_draw(spark):
     texts = [prose(i, 60) if i % 2 or i >= 60 else "buy now !!! " * 2000 for i in range(120)]
     labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], LABELS)
     assert compression.fit(table(spark, texts), labels, rows=20).pairs
+
+
+def test_what_stands_deep_in_long_texts_is_learned(spark):
+    words = [prose(seed, 300).split(" ") for seed in (1, 2)]
+    deep = [" ".join(np.random.default_rng(i).choice(words[i % 2], 9000)) for i in range(60)]
+    texts = [prose(1000 + i, 9000) + x for i, x in enumerate(deep)]
+    assert min(map(len, texts)) > 80_000
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], LABELS)
+    found = {r["doc_id"]: r["predicted"] for r in compression.classify(table(spark, texts), labels, rows=30).collect()}
+    assert sum(found[i] == i % 2 for i in found) > 54
