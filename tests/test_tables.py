@@ -455,3 +455,56 @@ def test_lookup_reads_one_bucket(spark, tmp_path):
         assert len({re.search("_bucket=([0-9]+)", file)[1] for file in found.inputFiles()}) == 1
     assert keyed.find_keyed(spark, path, {"number": 999, "model": "m1"}).collect() == []
     assert [r["text"] for r in keyed.find_keyed(spark, path, {"number": 3, "model": "m3"}, version=0).collect()] == ["text 3"]
+
+
+def parts_of(path, version):
+    """Kinds of the folders that a version of a keyed table wrote."""
+    return [part.name for part in path.glob(f"_version={version}~*/_bucket=*/_part=*")]
+
+
+def test_small_updates_write_deltas(spark, tmp_path):
+    path = tmp_path / "keyed"
+    rows = spark.range(20000).select(F.when(F.col("id") > 0, F.col("id")).alias("id"), F.lit(0).alias("v"))
+    upsert_keyed(rows, str(path), ["id"], buckets=4)
+    for turn in range(1, 12):
+        news = spark.range(turn * 50, turn * 50 + 100).withColumn("v", F.lit(turn))
+        assert upsert_keyed(news, str(path), ["id"]) == turn
+    # A hundred keys write a hundred rows; the ninth delta of a bucket has it written whole.
+    assert {kind for turn in range(1, 9) for kind in parts_of(path, turn)} == {"_part=delta"}
+    assert spark.read.parquet(*map(str, path.glob("_version=3~*"))).count() == 100
+    assert parts_of(path, 9) == ["_part=whole"] * 4 and set(parts_of(path, 10)) == {"_part=delta"}
+    stored = {r["id"]: r["v"] for r in read_keyed(spark, str(path)).collect()}
+    want = {None: 0, **{i: 0 for i in range(1, 20000)}}
+    for turn in range(1, 12):
+        want.update({i: turn for i in range(turn * 50, turn * 50 + 100)})
+    assert stored == want and read_keyed(spark, str(path)).count() == 20000
+    assert {r["id"]: r["v"] for r in read_keyed(spark, str(path), 2).collect()}[120] == 2
+    # A null key and a key with an old row each have one row; the state before the last stays readable.
+    assert [r["v"] for r in keyed.find_keyed(spark, str(path), {"id": None}).collect()] == [0]
+    assert [r["v"] for r in keyed.find_keyed(spark, str(path), {"id": 620}).collect()] == [11]
+    assert prune_keyed(spark, str(path), keep=2) > 0 and not (path / "_claims" / "3").exists()
+    assert {r["id"]: r["v"] for r in read_keyed(spark, str(path), 10).collect()}[620] == 0
+    assert {r["id"]: r["v"] for r in read_keyed(spark, str(path)).collect()} == want
+    with pytest.raises(ValueError, match="other keys"):
+        upsert_keyed(news, str(path), ["v"])
+
+
+def test_buckets_split_as_they_grow(spark, tmp_path):
+    path = str(tmp_path / "keyed")
+    want = {}
+    for turn in range(6):
+        news = spark.range(turn * 300, (turn + 1) * 400).select("id", F.sha2(F.concat("id", F.lit(turn)), 256).alias("v"))
+        upsert_keyed(news, path, ["id"], buckets=2, most_bytes=8000)
+        want.update({r["id"]: r["v"] for r in news.collect()})
+        assert {r["id"]: r["v"] for r in read_keyed(spark, path).collect()} == want
+        assert read_keyed(spark, path).count() == len(want)
+    names = {folder.name.split("=")[1] for folder in (tmp_path / "keyed").glob("_version=5~*/_bucket=*")}
+    assert len({name.split("of")[1] for name in names}) >= 1 and max(int(name.split("of")[1]) for name in names) >= 8
+    found = keyed.find_keyed(spark, path, {"id": 1701})
+    assert [r["v"] for r in found.collect()] == [want[1701]] and len({file.rsplit("/", 3)[1] for file in found.inputFiles()}) == 1
+    assert keyed.find_keyed(spark, path, {"id": 99999}).collect() == []
+    # Most of the table's buckets are not touched by one more key.
+    upsert_keyed(spark.createDataFrame([(5, "new")], "id long, v string"), path, ["id"], most_bytes=8000)
+    assert parts_of(tmp_path / "keyed", 6) == ["_part=delta"]
+    prune_keyed(spark, path)
+    assert {r["id"]: r["v"] for r in read_keyed(spark, path).collect()} == {**want, 5: "new"}
