@@ -707,6 +707,23 @@ def live_kpi(spark, folder):
     return spark.read.parquet(path)
 
 
+@query
+def live_windows(spark, folder):
+    """The middle of the month comes last, when its windows are over."""
+    path, checkpoint = shared_folder(spark, "figures"), shared_folder(spark, "figures-progress")
+    parts = [WEEKS[0], WEEKS[3], WEEKS[2], WEEKS[1]]
+    arrive(spark, folder, lambda stream: live.drain_to_figures(stream, path, checkpoint, ["event_type"]), parts)
+    return live.window_figures(spark, path, ["event_type"])
+
+
+@query
+def live_corrections(spark, folder):
+    path, checkpoint = shared_folder(spark, "figures"), shared_folder(spark, "figures-progress")
+    parts = [WEEKS[0], WEEKS[3], WEEKS[2], WEEKS[1]]
+    arrive(spark, folder, lambda stream: live.drain_to_figures(stream, path, checkpoint, ["event_type"], window="10 days"), parts)
+    return live.window_revisions(spark, path, ["event_type"]).drop("batch")
+
+
 @query
 def stream_dedupe(spark, folder):
     path, checkpoint = shared_folder(spark, "first"), shared_folder(spark, "first-progress")

@@ -522,6 +522,22 @@ w as (select date_trunc('day', ts) as window_start, event_type, count(*) as tota
   count(*) filter (where sentiment_label = 'Negative') / count(*) * 100 as negative_pct from arrived group by 1, 2)
 select window_start::timestamp as window_start, (window_start + interval 1 day)::timestamp as window_end, * exclude (window_start) from w
 where window_start + interval 1 day <= (select max(ts) - interval 1 hour from events)"""
+ORACLE["live_windows"] = ORACLE["live_kpi"].split("where window_start +")[0] + "where window_start is not null"
+ORACLE["live_corrections"] = f"""with {STARS},
+b as (select time_bucket(interval 10 day, ts, timestamp '1970-01-01') as window_start, event_type, sentiment_score, sentiment_label, ts,
+  case when day(ts) < 9 then 0 when day(ts) >= 25 then 1 when day(ts) >= 17 then 2 else 3 end as batch from arrived where ts is not null),
+clock as (select batch, max(last) over (order by batch) as now_at, max(last) over (order by batch rows between unbounded preceding and 1 preceding) as before
+  from (select batch, max(ts) as last from b group by batch)),
+touched as (select distinct window_start, event_type, batch from b),
+upto as (select t.window_start, t.event_type, t.batch, count(*) as total_reviews, avg(sentiment_score) as average_rating,
+  count(*) filter (where sentiment_label = 'Positive') / count(*) * 100 as positive_pct,
+  count(*) filter (where sentiment_label = 'Negative') / count(*) * 100 as negative_pct
+  from touched t join b on b.window_start = t.window_start and b.event_type is not distinct from t.event_type and b.batch <= t.batch group by 1, 2, 3)
+select window_start::timestamp as window_start, (window_start + interval 10 day)::timestamp as window_end, event_type,
+  (row_number() over (partition by window_start, event_type order by batch))::int as revision,
+  case when window_start + interval 10 day + interval 1 hour <= before then 'correction'
+    when window_start + interval 10 day + interval 1 hour <= now_at then 'closed' else 'open' end as kind,
+  total_reviews, average_rating, positive_pct, negative_pct from upto join clock using (batch)"""
 ORACLE["stream_dedupe"] = "select distinct user_id, event_type from events"
 ORACLE["stream_upsert"] = f"""with {STARS} select user_id, event_type, max(event_id) as event_id,
   arg_max(sentiment_label, event_id) as sentiment_label from arrived group by 1, 2"""

@@ -443,6 +443,39 @@ def test_streams_in_several_batches(spark, tmp_path):
     assert rows_of(spark.read.parquet(str(tmp_path / "first")), "user") == [("u0",), ("u1",), ("u2",)]
 
 
+def test_windows_open_late_and_folded(spark, tmp_path):
+    schema = "ts timestamp, user string, sentiment_label string, sentiment_score double"
+    source, path, checkpoint = (str(tmp_path / name) for name in ("in", "figures", "progress"))
+
+    def arrive(*rows):
+        frame = spark.createDataFrame([(ts, "u", label, stars) for ts, label, stars in rows], "ts string, user string, sentiment_label string, sentiment_score double")
+        frame.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+        live.drain_to_figures(live.read_arrivals(spark, source, schema), path, checkpoint, ["user"])
+
+    def revisions():
+        rows = live.window_revisions(spark, path, ["user"]).orderBy("window_start", "revision").collect()
+        return [(r["window_start"].day, r["revision"], r["kind"], r["total_reviews"], r["average_rating"]) for r in rows]
+
+    with pytest.raises(FileNotFoundError):
+        live.window_figures(spark, path, ["user"])
+    arrive(("2024-01-01 10:00:00", "Positive", 5.0), (None, "Positive", 5.0))
+    arrive(("2024-01-03 10:00:00", "Negative", 1.0), ("2024-01-01 11:00:00", None, None))
+    arrive(("2024-01-01 12:00:00", "Negative", 2.0), ("2024-01-03 12:00:00", "Positive", 4.0))
+    # The first day is open, then over with its second batch, then corrected; the third day stays open and is there all the same.
+    assert revisions() == [(1, 1, "open", 1, 5.0), (1, 2, "closed", 2, 5.0), (1, 3, "correction", 3, 3.5), (3, 1, "open", 1, 1.0), (3, 2, "open", 2, 2.5)]
+    figures = rows_of(live.window_figures(spark, path, ["user"]).select("total_reviews", "average_rating", "positive_pct", "user"), "total_reviews")
+    assert figures == [(2, 2.5, 50.0, "u"), (3, 3.5, pytest.approx(100 / 3), "u")]
+    # A batch that runs again replaces its folder; a folder without its mark does not count.
+    (tmp_path / "figures" / "batch=9").mkdir()
+    live.fold_figures(spark, path, 1)
+    assert rows_of(live.window_figures(spark, path, ["user"]).select("total_reviews", "average_rating", "positive_pct", "user"), "total_reviews") == figures
+    assert revisions() == [(1, 1, "closed", 2, 5.0), (1, 2, "correction", 3, 3.5), (3, 1, "open", 1, 1.0), (3, 2, "open", 2, 2.5)]
+    arrive(("2024-01-02 12:00:00", "Negative", 2.0))
+    live.fold_figures(spark, path, 3)
+    assert sorted(p.name for p in (tmp_path / "figures").iterdir()) == ["batch=9", "folded=3"]
+    assert [row[1:4] for row in revisions()] == [(1, "closed", 3), (1, "closed", 1), (1, "open", 2)]
+
+
 def test_lookup_reads_one_bucket(spark, tmp_path):
     path = str(tmp_path / "keyed")
     rows = [(i, f"m{i % 7}", f"text {i}") for i in range(300)] + [(None, "m1", "no number"), (5, None, "no name")]
