@@ -1,5 +1,6 @@
 """The whole job: reviews in, scored reviews, aspects, statistics and reports out."""
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from opinionloom.functions.text import normalise_review
@@ -16,14 +17,18 @@ from opinionloom.sources.shared import cached, workspace
 from opinionloom.sources.writers import write_markdown, write_results, write_table
 
 
-def final_reviews(reviews, translator=None, keep=True, with_original=True, lang=None, detector=None):
+# True for the first review of each text of a model, in the tables inside of a run.
+FIRST = "_first"
+
+
+def final_reviews(reviews, translator=None, keep=True, with_original=True, lang=None, detector=None, with_mark=False):
     """Clean, reject, translate and mark repeats.
 
     Finding repeats reads the cleaned texts twice.  Cleaning them costs far more than storing
     and reading them, so they are stored at their first use; ``keep=False`` recomputes instead.
     Without the original texts one text per review is stored and shuffled; the other columns are made
     from it afterwards.  ``lang`` names a column with the language, ``detector`` finds it; without both a
-    translator sees every text.
+    translator sees every text.  ``with_mark`` keeps the column ``_first``, which is true for the first review of each text.
     """
     stage, text = preprocess_reviews(reviews), "cleaned_review"
     if translator is not None:
@@ -31,12 +36,12 @@ def final_reviews(reviews, translator=None, keep=True, with_original=True, lang=
     if not with_original:
         stage = stage.drop("original_review")
     stage = with_first(cached(stage) if keep else stage, text=text)
-    return (
+    final = (
         stage.withColumn("translated_review", F.col(text))
-        .withColumn("final_review", F.when(F.col("_first"), F.col(text)))
+        .withColumn("final_review", F.when(F.col(FIRST), F.col(text)))
         .withColumn("norm_review", normalise_review(F.col(text)))
-        .drop("_first")
     )
+    return final if with_mark else final.drop(FIRST)
 
 
 def with_known_labels(reviews, known):
@@ -54,15 +59,18 @@ class Run:
     """Tables of one run of the job.
 
     What several results start from is stored at its first use; ``close`` forgets it and deletes what was
-    written in between.
+    written in between.  ``quality`` has the counts of ``cleaning.quality_report`` once ``write`` has run: they are taken
+    while the scored reviews are written, without a job of their own.  It stays None if ``scored`` lacks ``_first``.
     """
 
     def __init__(self, scored, denominator="labelled", space=None):
         self.space = space or workspace(scored.sparkSession)
-        self.scored = scored
-        self.aspects = aspect_rows(scored)
+        self.marked = scored
+        self.scored = scored.drop(FIRST)
+        self.quality = None
+        self.aspects = aspect_rows(self.scored)
         # A small table that the reports and the preview all start from.
-        self.stats = self.space.cached(model_stats(scored, denominator))
+        self.stats = self.space.cached(model_stats(self.scored, denominator))
         self.feedback = feedback_report(self.stats)
 
     def close(self):
@@ -70,8 +78,9 @@ class Run:
 
     def write(self, folder, format="parquet"):
         """Write the tables and both Markdown reports; statistics in order of first appearance."""
+        seen = Observation("quality") if FIRST in self.marked.columns else None
         paths = write_results(
-            folder, self.scored, self.stats.orderBy("first_review").drop("first_review"),
+            folder, self.marked.observe(seen, *_quality_counts()).drop(FIRST) if seen else self.scored, self.stats.orderBy("first_review").drop("first_review"),
             self.feedback.orderBy("first_review").drop("first_review"), self.aspects, format,
         )
         for name, report in (
@@ -80,6 +89,7 @@ class Run:
         ):
             paths[name] = f"{folder.rstrip('/')}/{name}.md"
             write_markdown(report, paths[name])
+        self.quality = seen.get if seen else None
         return paths
 
     def preview(self, n=10):
@@ -87,6 +97,14 @@ class Run:
         return tuple(table.orderBy("first_review").limit(n) for table in (self.stats, self.feedback))
 
 
+def _quality_counts():
+    repeated = F.col(FIRST).isNull()
+    return (
+        F.count("*").alias("total_reviews"), F.count_if(F.col("cleaned_review").isNull()).alias("meaningless_reviews"),
+        F.count_if(repeated).alias("repeated_reviews"),
+    )
+
+
 def run(reviews, scorer=None, translator=None, denominator="labelled", lang=None, detector=None, space=None):
     """Run the job on loaded reviews; no Spark job starts before a result is used.
 
@@ -94,7 +112,7 @@ def run(reviews, scorer=None, translator=None, denominator="labelled", lang=None
     several results, so they are stored once, in the workspace ``space`` (by default the application's).
     """
     space = space or workspace(reviews.sparkSession)
-    final = final_reviews(reviews, translator, lang=lang, detector=detector)
+    final = final_reviews(reviews, translator, lang=lang, detector=detector, with_mark=True)
     return Run(space.cached(score_reviews(final, scorer)), denominator, space)
 
 
@@ -107,7 +125,7 @@ def run_twice(reviews, scorer=None, translator=None, denominator="labelled", lan
     if first.aspects.isEmpty():
         return first, None, None
     classifier, metrics = train_classifier(first.space.cached(training_set(first.aspects)), **training)
-    unscored = first.scored.drop("sentiment_score", "sentiment_label")
+    unscored = first.marked.drop("sentiment_score", "sentiment_label")
     return Run(first.space.cached(classifier.score_reviews(unscored)), denominator, first.space), classifier, metrics
 
 

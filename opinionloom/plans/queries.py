@@ -343,6 +343,12 @@ def model_keywords(spark, folder):
     return stats.top_keywords(labelled, ("model", "sentiment_label")).drop("first_place")
 
 
+@query
+def model_keywords_sketched(spark, folder):
+    labelled = scored(spark, folder).where(F.col("sentiment_label").isNotNull())
+    return stats.top_keywords_sketched(labelled, ("model", "sentiment_label")).drop("first_place")
+
+
 @query
 def top_keywords_overall(spark, folder):
     return stats.top_keywords_overall(scored(spark, folder))
@@ -656,6 +662,14 @@ def full_run(spark, folder):
     return spark.read.parquet(paths["per_model_summary"])
 
 
+@query
+def run_quality(spark, folder):
+    """The counts that a run takes while it writes; as a table of one row."""
+    done = job.run(reviews(spark, folder), word_scorer())
+    done.write(shared_folder(spark, "run"))
+    return spark.range(1).select(*[F.lit(count).cast("bigint").alias(name) for name, count in done.quality.items()])
+
+
 @query
 def stored_results(spark, folder):
     done = job.run(reviews(spark, folder), word_scorer())

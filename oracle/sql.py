@@ -522,6 +522,8 @@ w as (select date_trunc('day', ts) as window_start, event_type, count(*) as tota
   count(*) filter (where sentiment_label = 'Negative') / count(*) * 100 as negative_pct from arrived group by 1, 2)
 select window_start::timestamp as window_start, (window_start + interval 1 day)::timestamp as window_end, * exclude (window_start) from w
 where window_start + interval 1 day <= (select max(ts) - interval 1 hour from events)"""
+ORACLE["run_quality"] = ORACLE["quality_report"]
+ORACLE["model_keywords_sketched"] = ORACLE["model_keywords"]
 ORACLE["live_windows"] = ORACLE["live_kpi"].split("where window_start +")[0] + "where window_start is not null"
 ORACLE["live_corrections"] = f"""with {STARS},
 b as (select time_bucket(interval 10 day, ts, timestamp '1970-01-01') as window_start, event_type, sentiment_score, sentiment_label, ts,

@@ -252,6 +252,28 @@ def test_keywords_break_ties_by_first_use(spark):
     assert overall == [("mango", 2), ("apple", 2)]
 
 
+@pytest.mark.parametrize("tracked", [4, 100, 10000])
+def test_sketched_keywords_are_the_exact_ones(spark, tracked):
+    """Sketches that are too small, even uses with many ties, a null group, a hot group and one with few words."""
+    group = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.concat(F.lit("m"), F.col("id") % 2))
+    heavy, rare = F.expr("concat('word', cast(floor(pow(300, rand(3))) as string))"), F.expr("concat('rare', cast(id as string))")
+    even = F.expr("concat('even', cast(id % 50 as string))")
+    rows = spark.range(4000).select(
+        F.col("id").alias("review_id"), group.alias("model"),
+        F.when(group == "m1", even).otherwise(F.concat_ws(" ", heavy, heavy, rare)).alias("final_review"),
+    )
+    rows = rows.unionByName(spark.createDataFrame([(9000, "one", "only words here"), (9001, "one", None), (9002, "none", "")], rows.schema))
+    rows = spark.createDataFrame(rows.collect(), rows.schema)
+
+    def of(table):
+        return sorted(map(str, table.select("model", "rank", "word", "uses", "first_place").collect()))
+
+    assert of(stats.top_keywords_sketched(rows, ["model"], 5, tracked=tracked)) == of(stats.top_keywords(rows, ["model"], 5))
+    everything = stats.top_keywords_sketched(rows, (), 5, tracked=tracked)
+    assert [tuple(r) for r in everything.orderBy("rank").collect()] == [tuple(r) for r in stats.top_keywords(rows, (), 5).orderBy("rank").collect()]
+    assert stats.top_keywords_sketched(rows.limit(0), ["model"], tracked=tracked).isEmpty()
+
+
 def test_keywords_with_the_largest_ids(spark):
     rows = scored(spark, [(2**63 - 1, "m", "late early", 5.0, "Positive"), (2**63 - 2, "m", "early", 5.0, "Positive")])
     assert [r["word"] for r in stats.top_keywords_overall(rows, 1).collect()] == ["early"]

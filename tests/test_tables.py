@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinionloom.functions.scorers import batch_translator, lexicon_scorer
-from opinionloom.operators import lookup, training, vectors
+from opinionloom.operators import cleaning, lookup, training, vectors
 from opinionloom.operators.aspects import vocabulary_matches
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
@@ -227,7 +227,10 @@ def reviews(spark):
 @pytest.mark.parametrize("format", ["csv", "parquet"])
 def test_run_writes_and_reads_back(spark, tmp_path, format):
     done = job.run(reviews(spark), lexicon_scorer())
+    assert done.quality is None
     paths = done.write(str(tmp_path), format)
+    prepared = cleaning.translate_reviews(cleaning.preprocess_reviews(reviews(spark)))
+    assert done.quality == cleaning.quality_report(prepared).first().asDict() and "_first" not in done.scored.columns
     scored, aspects = readers.load_scored(spark, paths["sentiment_output"], paths["absa_training_dataset"])
     assert {r["review_id"]: r["sentiment_label"] for r in scored.selectExpr("int(review_id) review_id", "sentiment_label").collect()} == {
         0: "Positive", 1: None, 2: "Negative", 3: None, 4: "Negative", 5: None,
