@@ -1,21 +1,23 @@
 """The language of a text, by its runs of three letters.
 
 A profile holds, for each language, a weight of every bucket of letter runs: the logarithm of how often it occurs in texts of the
-language, in whole steps.  It is learned from texts of known language, and applied as an expression.
+language, in whole steps.  It is learned from texts of known language, and applied to batches of texts.
 """
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from opinionloom.functions.phrases import bind
-
 # Buckets of letter runs (a prime), steps of the logarithm, and languages that a profile may have.
 BUCKETS, STEPS, MOST_LANGUAGES = 8191, 1000, 200
 UNKNOWN = "unknown"
 NOT_LETTERS = r"\P{L}+"
 # Code points of a run become one number with these factors.
 FACTORS = (961, 31, 1)
+# Characters whose runs are looked at together; a longer text is looked at on its own.
+PART = 1 << 18
 
 
 def letter_words(text):
@@ -23,20 +25,43 @@ def letter_words(text):
     return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), NOT_LETTERS, " ")
 
 
+def bucket_reader():
+    """A function that yields (first text, buckets, offsets) for consecutive ``letter_words``, some ``PART`` characters at a time.
+
+    ``buckets`` has one number for each run of three characters whose middle is a letter, ``offsets`` (one more than texts) says
+    which are whose.  It is made here so that it travels with the functions that use it.
+    """
+    part, buckets, (first, second, third) = PART, BUCKETS, FACTORS
+
+    def read(texts):
+        at = 0
+        while at < len(texts):
+            upto, size = at, 0
+            while upto < len(texts) and (size == 0 or size + len(texts[upto]) <= part):
+                size += len(texts[upto])
+                upto += 1
+            some = texts[at:upto]
+            # Texts begin and end with a space, so no run with a letter in the middle reaches into the next one.
+            codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
+            letters = np.flatnonzero(codes != 32)
+            found = (codes[letters - 1] * first + codes[letters] * second + codes[letters + 1] * third) % buckets
+            ends = np.cumsum([len(x) for x in some])
+            yield at, found.astype(np.int64), np.concatenate([[0], np.searchsorted(letters, ends)])
+            at = upto
+
+    return read
+
+
 def run_buckets(spaced):
     """The bucket of each run of three characters in ``letter_words`` whose middle is a letter."""
+    read = bucket_reader()
 
-    def of_codes(codes):
-        inner = F.sequence(F.lit(1), F.size(codes) - 2)
-        letters = F.filter(inner, lambda i: F.get(codes, i) != 32)
-        first, second, third = FACTORS
-        return F.transform(
-            letters, lambda i: F.pmod(F.get(codes, i - 1) * first + F.get(codes, i) * second + F.get(codes, i + 1) * third, F.lit(BUCKETS))
-        )
+    @F.arrow_udf("array<int>")
+    def of_texts(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(np.split(found, offsets[1:-1]), pa.list_(pa.int32())) for _, found, offsets in read(texts.to_pylist())]
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))
 
-    codes = F.transform(F.split(spaced, ""), F.ascii)
-    none = F.expr("cast(array() as array<int>)")
-    return F.when(F.length(spaced) > 2, bind(codes, of_codes)).otherwise(none)
+    return of_texts(spaced)
 
 
 class LanguageProfile:
@@ -49,19 +74,27 @@ class LanguageProfile:
         """A function from a text Column to a Column with the language whose runs of letters fit best.
 
         Texts with fewer than ``least`` runs, and those that fit two languages equally well, are 'unknown'.  The profile
-        is part of the expression (one number for each bucket and language), so nothing is joined.
+        travels with the function (one number for each bucket and language), so nothing is joined.
         """
-
-        def detect(text):
-            def best(buckets):
-                sums = [F.struct(_sum_of(own, buckets).alias("score"), F.lit(name).alias("name")) for name, own in self.weights.items()]
-                ranked = F.sort_array(F.array(*sums), asc=False)
-                tie = (F.size(ranked) > 1) & (F.get(ranked, F.lit(0))["score"] == F.get(ranked, F.lit(1))["score"])
-                return F.when(tie | (F.size(buckets) < least), F.lit(UNKNOWN)).otherwise(bind(ranked, lambda r: F.get(r, F.lit(0))["name"]))
-
-            return bind(run_buckets(letter_words(text)), best) if self.weights else F.lit(UNKNOWN)
-
-        return detect
+        if not self.weights:
+            return lambda text: F.lit(UNKNOWN)
+        read, unknown, names = bucket_reader(), UNKNOWN, list(self.weights)
+        weights = np.array(list(self.weights.values()), np.int64)
+
+        @F.arrow_udf("string")
+        def best(texts: pa.Array) -> pa.Array:
+            out = []
+            for _, found, offsets in read(texts.to_pylist()):
+                scores = np.empty((len(names), len(offsets) - 1), np.int64)
+                for own, score in zip(weights, scores):
+                    sums = np.concatenate([np.zeros(1, np.int64), np.cumsum(own[found])])
+                    score[:] = sums[offsets[1:]] - sums[offsets[:-1]]
+                tie = np.count_nonzero(scores == scores.max(axis=0), axis=0) > 1
+                open_ = tie | (np.diff(offsets) < least)
+                out.extend(unknown if x else names[i] for i, x in zip(scores.argmax(axis=0).tolist(), open_.tolist()))
+            return pa.array(out, pa.string())
+
+        return lambda text: best(letter_words(text))
 
     def save(self, spark, path):
         """Store the profile as a table."""
@@ -76,22 +109,37 @@ class LanguageProfile:
         return cls(weights)
 
 
-def _sum_of(weights, buckets):
-    # One constant array, not a tree of thousands of constants.
-    table = F.from_json(F.lit("[" + ",".join(map(str, weights)) + "]"), "array<bigint>")
-    return F.aggregate(buckets, F.lit(0).cast("bigint"), lambda total, b: total + F.get(table, b))
-
-
 def bucket_counts(rows, text="text", lang="lang"):
-    """(lang, bucket, n): how often each bucket occurs in the texts of each language.
-
-    Words are counted first, combining in each task, so that runs are made once for each different word of a language.
-    """
-    words = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.explode(F.split(F.trim(letter_words(F.col(text))), " ")).alias("word"))
-    words = words.where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
-    spaced = F.concat(F.lit(" "), "word", F.lit(" "))
-    runs = words.select("lang", "n", F.explode(run_buckets(spaced)).alias("bucket"))
-    return runs.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    """(lang, bucket, n): how often each bucket occurs in the texts of each language, added up in each task first."""
+    kind = rows.schema[lang].dataType.simpleString()
+    read, buckets, most = bucket_reader(), BUCKETS, MOST_LANGUAGES
+
+    def rows_of(sums, type_):
+        names = list(sums)
+        table = np.array([sums[x] for x in names]).reshape(-1, buckets)
+        which, bucket = np.nonzero(table)
+        langs = pa.array(names, type_).take(pa.array(which))
+        return pa.RecordBatch.from_arrays([langs, pa.array(bucket.astype(np.int32)), pa.array(table[which, bucket])], ["lang", "bucket", "n"])
+
+    def count(batches):
+        sums, type_ = {}, None
+        for batch in batches:
+            coded, type_ = batch.column(0).dictionary_encode(), batch.column(0).type
+            names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+            for first, found, offsets in read(batch.column(1).to_pylist()):
+                whose = np.repeat(of[first : first + len(offsets) - 1], np.diff(offsets))
+                for code in np.unique(whose).tolist():
+                    own = np.bincount(found[whose == code], minlength=buckets)
+                    sums[names[code]] = sums[names[code]] + own if names[code] in sums else own
+            if len(sums) > most:
+                yield rows_of(sums, type_)
+                sums = {}
+        if sums:
+            yield rows_of(sums, type_)
+
+    spaced = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letter_words(F.col(text)).alias("spaced"))
+    counted = spaced.mapInArrow(count, f"lang {kind}, bucket int, n long")
+    return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def learn_languages(rows, text="text", lang="lang"):
@@ -100,10 +148,11 @@ def learn_languages(rows, text="text", lang="lang"):
     One number for each bucket and language comes to the driver, whatever the number of texts.
     """
     counts = {}
-    found = bucket_counts(rows, text, lang)
-    if found.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+    # One pass: that many rows and one more are of too many languages.
+    found = bucket_counts(rows, text, lang).limit(MOST_LANGUAGES * BUCKETS + 1).collect()
+    if len(found) > MOST_LANGUAGES * BUCKETS or len({row["lang"] for row in found}) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    for row in found.collect():
+    for row in found:
         counts.setdefault(row["lang"], [0] * BUCKETS)[row["bucket"]] = row["n"]
     return LanguageProfile({name: weights_of(own) for name, own in counts.items()})
 

@@ -129,3 +129,22 @@ def test_sentences_go_on_after_abbreviations(spark):
     rows = spark.createDataFrame([(t,) for t in cases], "t string").select("t", split(F.col("t")).alias("s")).collect()
     assert {r["t"]: r["s"] for r in rows} == cases
     assert sentences.sentence_splitter([]) is txt.split_sentences
+
+
+def test_runs_are_counted_in_one_pass_for_many_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "PART", 50)
+    rows = [(i, "de" if i % 3 else "en", w) for i, w in enumerate(["größe", "", None, "𝐀b 𐐀c", "a" * 200, "x y z", "the end"] * 9)]
+    frame = spark.createDataFrame(rows, "id int, lang string, text string")
+    want = {}
+    for _, lang, text in rows:
+        want.setdefault(lang, Counter()).update(brute_runs(text))
+    counted = language.bucket_counts(frame)
+    assert {(r["lang"], r["bucket"]): r["n"] for r in counted.collect()} == {(k, b): n for k, own in want.items() for b, n in own.items()}
+    # Words were shuffled before, and runs were made by an expression, row by row.
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    profile = language.learn_languages(frame)
+    found = {r["id"]: r["said"] for r in frame.select("id", profile.detector()(F.col("text")).alias("said")).collect()}
+    for i, _, text in rows:
+        sums = sorted((sum(own[b] for b in brute_runs(text)), name) for name, own in profile.weights.items())
+        assert found[i] == ("unknown" if not brute_runs(text) or sums[0][0] == sums[1][0] else sums[1][1])
