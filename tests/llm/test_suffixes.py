@@ -112,3 +112,16 @@ def test_names_with_many_bytes_are_spread(spark, monkeypatch, keep):
     spread = suffixes.drop_repeats(table(spark, texts), length=400, keep=keep).collect()
     assert seen and sorted(whole, key=lambda r: r["doc_id"]) == sorted(spread, key=lambda r: r["doc_id"])
     assert sum(r["n_removed"] for r in spread) > 1000
+
+
+def test_suffix_ranks_take_little_memory():
+    import tracemalloc
+
+    base = random.Random(5).randbytes(3000)
+    parts = [base[: 1500 + 7 * (i % 200)] + random.Random(i).randbytes(500) for i in range(160)]
+    tracemalloc.start()
+    suffixes.repeated_windows(parts, np.array([len(x) - 399 for x in parts]), 400, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # 162 bytes for each byte of text before, for up to NAME_BYTES in each of an executor's Python workers.
+    assert peak < 125 * sum(map(len, parts))
