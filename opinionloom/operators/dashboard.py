@@ -64,7 +64,7 @@ def aspect_crosstab(aspects, top=8):
 
 
 def rows_of_top_aspects(aspects, top=8):
-    """Aspect rows restricted to the ``top`` most frequent aspects."""
+    """Aspect rows restricted to the ``top`` most frequent aspects.  ``aspects`` is read twice, so store what is costly."""
     counts = aspects.groupBy("aspect").agg(F.count("*").alias("n"))
     frequent = counts.orderBy(F.desc("n"), "aspect").limit(top).select("aspect")
     # Never more than ``top`` rows, so the broadcast is bounded.

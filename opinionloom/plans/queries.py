@@ -320,8 +320,9 @@ def aspect_crosstab_top8(spark, folder):
 
 @query
 def rows_of_top_aspects(spark, folder):
-    rows = dashboard.rows_of_top_aspects(absa(spark, folder))
-    return rows.select("review_id", "sent_pos", "aspect", "label")
+    # Read twice, for the counts and for the rows; the sentences themselves are not asked for.
+    rows = cached(absa(spark, folder).select("review_id", "sent_pos", "aspect", "label"))
+    return dashboard.rows_of_top_aspects(rows).select("review_id", "sent_pos", "aspect", "label")
 
 
 # Statistics
