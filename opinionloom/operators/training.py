@@ -1,6 +1,7 @@
 """Training set, classifier and its metrics."""
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import functions as F
@@ -35,13 +36,15 @@ def train_classifier(training, dimensions=2**16, penalties=(0.0, 0.01, 0.1), ite
 
     Returns the model and a DataFrame with its metrics.
     """
-    pairs = with_tokens(training).select("_tokens", "label_id", "split")
-    train = pairs.where(F.col("split") == "train")
-    validation = pairs.where(F.col("split") == "validation")
-    counts = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dimensions)
-    weights = IDF(inputCol="_counts", outputCol="_features")
-    features = Pipeline(stages=[counts, weights]).fit(train)
-    ready = features.transform(train).select("_features", "label_id").persist()
+    # Words are cut and hashed once; the weights, all models and their metrics start from what is stored here.
+    hashing = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=dimensions)
+    counted = hashing.transform(with_tokens(training)).select("_counts", "label_id", "split").persist(StorageLevel.DISK_ONLY)
+    train = counted.where(F.col("split") == "train")
+    weights = IDF(inputCol="_counts", outputCol="_features").fit(train)
+    features = PipelineModel(stages=[hashing, weights])
+    # Each step of a fit sends an array of all coefficients from every task, so there are no more tasks than cores.
+    ready = weights.transform(train).select("_features", "label_id").coalesce(training.sparkSession.sparkContext.defaultParallelism)
+    validation = weights.transform(counted.where(F.col("split") == "validation")).select("_features", "label_id")
     trials = []
     for penalty in penalties:
         step = LogisticRegression(
@@ -49,10 +52,10 @@ def train_classifier(training, dimensions=2**16, penalties=(0.0, 0.01, 0.1), ite
             regParam=penalty, maxIter=iterations, family="multinomial",
         )
         fitted = step.fit(ready)
-        metrics = classification_metrics(fitted.transform(features.transform(validation)), "label_id", "prediction")
+        metrics = classification_metrics(fitted.transform(validation), "label_id", "prediction")
         score = metrics.first()  # one row
         trials.append((score["f1"] if score["f1"] is not None else -1.0, -penalty, fitted, score))
-    ready.unpersist()
+    counted.unpersist()
     _, _, best, score = max(trials, key=lambda trial: trial[:2])
     metrics = training.sparkSession.createDataFrame([score], schema=metrics.schema)
     return Classifier(features, best), metrics
