@@ -1,14 +1,18 @@
 """Which terms of a large vocabulary table occur in which texts, by an index of the terms' rarest grams."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from opinionloom.functions.phrases import bind
+from opinionloom.sources.readers import quoted
 from opinionloom.sources.shared import kept
 
 # Code points of a gram; a shorter term is a gram itself.
 GRAM = 4
 # Bytes of the index that are sent to all tasks; a larger index meets the texts' grams in a shuffle.
 INDEX_SENT = 32 << 20
+# Words of the texts whose terms a task remembers at a time.
+REMEMBERED = 200_000
 # Grams found in more texts than this are spread over several tasks.
 SLICE = 1_000_000
 
@@ -48,27 +52,72 @@ def gram_index(texts, terms, slice_rows=SLICE):
 def table_matches(rows, text, terms, sent=INDEX_SENT, slice_rows=SLICE):
     """The rows, once for each distinct term of the table that occurs in their text as a substring, ignoring case.
 
-    Adds the term as column ``term``, in place of one of that name.  Each gram of a text fetches the terms that are indexed under
-    it, and each of them is looked for in the text.  An index of at most ``sent`` bytes goes to all tasks and the texts
-    stay in place; a larger one is shuffled by gram, with grams of many texts in slices.  Null and
+    Adds the term as column ``term``, in place of one of that name.  Terms that come to at most ``sent`` bytes with their index go to
+    all tasks, and each text is looked at once, where it lies.  Otherwise each gram of a text fetches the terms that are indexed
+    under it, by a shuffle by gram with grams of many texts in slices, and each of them is looked for in the text.  Null and
     empty texts and terms match nothing, repeated rows match alike, and an empty table on either side gives no rows.
     """
-    whole = F.struct(*[name for name in rows.columns if name != "term"]).alias("row")
-    texts = rows.select(whole, F.lower(F.col(text)).alias("text")).where("text <> ''")
-    known = terms.select(F.lower("term").alias("term")).where("term <> ''").distinct()
+    others = [name for name in rows.columns if name != "term"]
+    known = kept(terms.select(F.lower("term").alias("term")).where("term <> ''").distinct(), "terms")
+    size = known.agg(F.sum(F.octet_length("term") + 4 * GRAM + 64)).first()[0] or 0
+    if size <= sent:
+        found = _found_in_place([row[0] for row in known.toLocalIterator()])(F.lower(F.col(text)))
+        return rows.select(*[F.col(quoted(name)) for name in others], F.explode(found).alias("term"))
+    texts = rows.select(F.struct(*[F.col(quoted(name)) for name in others]).alias("row"), F.lower(F.col(text)).alias("text")).where("text <> ''")
     made, lengths = gram_index(texts, known, slice_rows)
-    index = kept(made, "grams")
-    size = index.agg(F.sum(F.octet_length("term") + F.octet_length("gram") + 64)).first()[0] or 0
-    if not lengths or not size:
-        return texts.select("row.*", F.lit("").alias("term")).where("false")
     grams = F.explode(text_grams(F.col("text"), lengths)).alias("gram")
-    if size <= sent:
-        near = texts.select("row", "text", grams).join(F.broadcast(index.select("gram", "term")), "gram")
-    else:
-        near = _by_shuffle(texts, grams, index)
+    near = _by_shuffle(texts, grams, kept(made, "grams"))
     return near.where(F.col("text").contains(F.col("term"))).select("row.*", "term")
 
 
+def _found_in_place(terms):
+    """A function from a lower-case text Column to the given terms that occur in it.
+
+    A term without white space lies in one word, so words are looked up, and a task remembers what it found in them; the
+    other terms are looked for in the whole text.  A term is indexed under that of its grams which the fewest terms hold.
+    """
+    longest, remembered = GRAM, REMEMBERED
+
+    def index_of(some):
+        def grams(term):
+            n = min(longest, len(term))
+            return {term[i : i + n] for i in range(len(term) - n + 1)}
+
+        held, under = {}, {}
+        for term in some:
+            for gram in grams(term):
+                held[gram] = held.get(gram, 0) + 1
+        for term in some:
+            under.setdefault(min((held[gram], gram) for gram in grams(term))[1], []).append(term)
+        return under, sorted({len(gram) for gram in under})
+
+    whole = [len(term.split()) == 1 and not term[:1].isspace() and not term[-1:].isspace() for term in terms]
+    in_words, across = (index_of([t for t, w in zip(terms, whole) if w == wanted]) for wanted in (True, False))
+
+    def look_up(text, index):
+        under, lengths = index
+        grams = {text[i : i + n] for n in lengths for i in range(len(text) - n + 1)}
+        return [term for gram in grams if gram in under for term in under[gram] if term in text]
+
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        out, known = [], {}
+        for text in texts.to_pylist():
+            own = set()
+            for word in set((text or "").split()):
+                if word not in known:
+                    if len(known) >= remembered:
+                        known.clear()
+                    known[word] = look_up(word, in_words)
+                own.update(known[word])
+            if across[0] and text:
+                own.update(look_up(text, across))
+            out.append(list(own))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return found
+
+
 def _by_shuffle(texts, grams, index):
     """Texts with the terms indexed under their grams; a text travels once for the join with its terms, not with its grams."""
     numbered = kept(texts.withColumn("id", F.monotonically_increasing_id()), "texts")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from opinionloom.operators import training
+from opinionloom.operators import lookup, training
 from opinionloom.plans import queries
 
 
@@ -33,3 +33,15 @@ def test_a_classifier_is_trained_in_one_pass(spark):
     _, metrics = training.train_classifier(rows, dimensions=2**8, penalties=(0.0, 0.1), iterations=5)
     assert metrics.first()["f1"] == 1.0
     assert seen.value == 120
+
+
+def test_texts_are_not_copied_for_each_gram(spark):
+    words = ["able", "ab", "größe", "zzzz", "x", "the end", "😀b"]
+    texts = spark.createDataFrame([(i, t, i) for i, t in enumerate(["Unable to GRÖSSE größe", None, "", "the end 😀b x", "a", "zzz the\tend"] * 5)], "id long, text string, `a.b` long")
+    terms = spark.createDataFrame([(w,) for w in [*words, " ", "d ", "to g", None]], "term string")
+    found = lookup.table_matches(texts, "text", terms)
+    words = [*words, " ", "d ", "to g"]
+    want = {(r["id"], w) for r in texts.collect() for w in words if w in (r["text"] or "").lower()}
+    assert {(r["id"], r["term"]) for r in found.collect()} == want and found.count() == len(want)
+    # A join with the index got one row, with the whole text, for each gram.
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
