@@ -4,7 +4,9 @@ A profile holds, for each language, a weight of every bucket of letter runs: the
 language, in whole steps.  It is learned from texts of known language, and applied to batches of texts.
 """
 
+import functools
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +27,30 @@ def letter_words(text):
     return F.regexp_replace(F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" ")), NOT_LETTERS, " ")
 
 
+def spaced_text(text):
+    """The lower-case text with a space before and after it; a missing text is two spaces."""
+    return F.concat(F.lit(" "), F.lower(F.coalesce(text, F.lit(""))), F.lit(" "))
+
+
+@functools.cache
+def _letter_edges():
+    """The code points at which letters begin and end, in turns."""
+    letters = np.fromiter(map(str.isalpha, map(chr, range(sys.maxunicode + 1))), bool, sys.maxunicode + 1)
+    return np.flatnonzero(np.diff(letters)) + 1
+
+
 def bucket_reader():
-    """A function that yields (first text, buckets, offsets) for consecutive ``letter_words``, some ``PART`` characters at a time.
+    """A function that yields (first text, buckets, offsets) for consecutive texts of ``spaced_text`` or ``letter_words``, some
+    ``PART`` characters at a time.
 
-    ``buckets`` has one number for each run of three characters whose middle is a letter, ``offsets`` (one more than texts) says
-    which are whose.  It is made here so that it travels with the functions that use it.
+    ``buckets`` has one number for each run of three characters whose middle is a letter, where all that is no letter counts as
+    a space; ``offsets`` (one more than texts) says which are whose.  It is made here so that it travels with the functions that use it.
     """
-    part, buckets, (first, second, third) = PART, BUCKETS, FACTORS
+    part, buckets, (first, second, third), edges, end = PART, BUCKETS, FACTORS, _letter_edges(), sys.maxunicode + 1
 
     def read(texts):
+        sizes = np.diff(np.concatenate([[0], edges, [end]]))
+        is_letter = np.repeat(np.arange(len(sizes)) % 2 == 1, sizes)
         at = 0
         while at < len(texts):
             upto, size = at, 0
@@ -43,10 +60,14 @@ def bucket_reader():
             some = texts[at:upto]
             # Texts begin and end with a space, so no run with a letter in the middle reaches into the next one.
             codes = np.frombuffer("".join(some).encode("utf-32-le"), np.uint32)
-            letters = np.flatnonzero(codes != 32)
-            found = (codes[letters - 1] * first + codes[letters] * second + codes[letters + 1] * third) % buckets
+            letter = is_letter[codes]
+            codes = np.where(letter, codes, np.uint32(32))
+            runs = codes[:-2] * np.uint32(first) + codes[1:-1] * np.uint32(second) + codes[2:] * np.uint32(third)
+            # The remainder; numpy divides whole arrays faster than it takes remainders.
+            runs -= runs // np.uint32(buckets) * np.uint32(buckets)
+            letters = np.flatnonzero(letter)
             ends = np.cumsum([len(x) for x in some])
-            yield at, found.astype(np.int64), np.concatenate([[0], np.searchsorted(letters, ends)])
+            yield at, runs[letters - 1].astype(np.int64), np.concatenate([[0], np.searchsorted(letters, ends)])
             at = upto
 
     return read
@@ -94,7 +115,7 @@ class LanguageProfile:
                 out.extend(unknown if x else names[i] for i, x in zip(scores.argmax(axis=0).tolist(), open_.tolist()))
             return pa.array(out, pa.string())
 
-        return lambda text: best(letter_words(text))
+        return lambda text: best(spaced_text(text))
 
     def save(self, spark, path):
         """Store the profile as a table."""
@@ -127,8 +148,9 @@ def bucket_counts(rows, text="text", lang="lang"):
             coded, type_ = batch.column(0).dictionary_encode(), batch.column(0).type
             names, of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
             for first, found, offsets in read(batch.column(1).to_pylist()):
-                whose = np.repeat(of[first : first + len(offsets) - 1], np.diff(offsets))
-                for code in np.unique(whose).tolist():
+                here = of[first : first + len(offsets) - 1]
+                whose = np.repeat(here, np.diff(offsets))
+                for code in np.unique(here).tolist():
                     own = np.bincount(found[whose == code], minlength=buckets)
                     sums[names[code]] = sums[names[code]] + own if names[code] in sums else own
             if len(sums) > most:
@@ -137,7 +159,7 @@ def bucket_counts(rows, text="text", lang="lang"):
         if sums:
             yield rows_of(sums, type_)
 
-    spaced = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), letter_words(F.col(text)).alias("spaced"))
+    spaced = rows.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), spaced_text(F.col(text)).alias("spaced"))
     counted = spaced.mapInArrow(count, f"lang {kind}, bucket int, n long")
     return counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 

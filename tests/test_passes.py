@@ -2,8 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from opinionloom.operators import lookup, training
-from opinionloom.plans import queries
+from opinionloom.functions import language
+from opinionloom.functions import text as txt
+from opinionloom.functions.scorers import lexicon_scorer
+from opinionloom.operators import cleaning, lookup, stats, training
+from opinionloom.plans import job, queries
+from opinionloom.sources.shared import Workspace
 
 
 def counted(spark, rows, column):
@@ -45,3 +49,21 @@ def test_texts_are_not_copied_for_each_gram(spark):
     assert {(r["id"], r["term"]) for r in found.collect()} == want and found.count() == len(want)
     # A join with the index got one row, with the whole text, for each gram.
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_languages_need_no_regular_expression(spark):
+    texts = ["we play, we rest", "wir spielen; wir ruhen", "a1b2", "größe\t日本語 テキスト 😀", "x-y_z", "!?", "", None]
+    frame = spark.createDataFrame([("de" if i % 2 else "en", t) for i, t in enumerate(texts)], "lang string, text string")
+    profile = language.learn_languages(frame)
+    assert "regexp_replace" not in plan_of(frame.select(profile.detector()(F.col("text"))))
+    assert "regexp_replace" not in plan_of(language.bucket_counts(frame))
+    # All that is no letter counts as one space, as it does in letter_words.
+    read = language.bucket_reader()
+    spaced = frame.select(language.spaced_text(F.col("text")).alias("s"), language.letter_words(F.col("text")).alias("w")).collect()
+    for row in spaced:
+        (_, raw, _), (_, words, _) = next(read([row["s"]])), next(read([row["w"]]))
+        assert raw.tolist() == words.tolist()
