@@ -13,6 +13,7 @@ from opinionloom.operators.stats import model_stats
 from opinionloom.operators.training import train_classifier, training_set
 from opinionloom.operators.vectors import embed_reviews
 from opinionloom.sources.keyed import upsert_keyed
+from opinionloom.sources.readers import quoted
 from opinionloom.sources.shared import cached, workspace
 from opinionloom.sources.writers import write_markdown, write_results, write_table
 
@@ -30,20 +31,40 @@ def final_reviews(reviews, translator=None, keep=True, with_original=True, lang=
     from it afterwards.  ``lang`` names a column with the language, ``detector`` finds it; without both a
     translator sees every text.  ``with_mark`` keeps the column ``_first``, which is true for the first review of each text.
     """
-    stage, text = preprocess_reviews(reviews), "cleaned_review"
+    stage, text = preprocess_reviews(reviews), _text(translator)
     if translator is not None:
-        stage, text = translate_reviews(stage, translator, lang, detector).drop("final_review"), "translated_review"
+        stage = translate_reviews(stage, translator, lang, detector).drop("final_review")
     if not with_original:
         stage = stage.drop("original_review")
     stage = with_first(cached(stage) if keep else stage, text=text)
-    final = (
-        stage.withColumn("translated_review", F.col(text))
-        .withColumn("final_review", F.when(F.col(FIRST), F.col(text)))
-        .withColumn("norm_review", normalise_review(F.col(text)))
-    )
+    final = stage.withColumns(_made(text))
     return final if with_mark else final.drop(FIRST)
 
 
+def _text(translator):
+    """The column that the final texts are made from."""
+    return "cleaned_review" if translator is None else "translated_review"
+
+
+def _made(text):
+    """The columns that are made from the text of a review and its mark."""
+    return {
+        "translated_review": F.col(text), "final_review": F.when(F.col(FIRST), F.col(text)),
+        "norm_review": normalise_review(F.col(text)),
+    }
+
+
+def _scored_once(space, final, text, score):
+    """The rows of ``score(final)``, stored at their first use without the columns that are made from the text.
+
+    These are made again when they are read, so each text is stored once and not up to four times.
+    """
+    scored = score(final)
+    made = {name: column for name, column in _made(text).items() if name != text}
+    stored = space.cached(scored.drop(*made))
+    return stored.select(*[made[c].alias(c) if c in made else F.col(quoted(c)) for c in scored.columns])
+
+
 def with_known_labels(reviews, known):
     """Scores from a table of known labels (``review_id, sentiment_score, sentiment_label``).
 
@@ -113,7 +134,7 @@ def run(reviews, scorer=None, translator=None, denominator="labelled", lang=None
     """
     space = space or workspace(reviews.sparkSession)
     final = final_reviews(reviews, translator, lang=lang, detector=detector, with_mark=True)
-    return Run(space.cached(score_reviews(final, scorer)), denominator, space)
+    return Run(_scored_once(space, final, _text(translator), lambda rows: score_reviews(rows, scorer)), denominator, space)
 
 
 def run_twice(reviews, scorer=None, translator=None, denominator="labelled", lang=None, detector=None, **training):
@@ -126,7 +147,8 @@ def run_twice(reviews, scorer=None, translator=None, denominator="labelled", lan
         return first, None, None
     classifier, metrics = train_classifier(first.space.cached(training_set(first.aspects)), **training)
     unscored = first.marked.drop("sentiment_score", "sentiment_label")
-    return Run(first.space.cached(classifier.score_reviews(unscored)), denominator, first.space), classifier, metrics
+    again = _scored_once(first.space, unscored, _text(translator), classifier.score_reviews)
+    return Run(again, denominator, first.space), classifier, metrics
 
 
 class UploadedAnalysis:

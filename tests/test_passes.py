@@ -67,3 +67,22 @@ def test_languages_need_no_regular_expression(spark):
     for row in spaced:
         (_, raw, _), (_, words, _) = next(read([row["s"]])), next(read([row["w"]]))
         assert raw.tolist() == words.tolist()
+
+
+def test_a_run_stores_each_text_once(spark):
+    rows = spark.createDataFrame([(i, "m", f"good phone {i // 2}") for i in range(6)], "review_id long, model string, original_review string")
+    for translator, texts in ((None, {"cleaned_review"}), (F.upper, {"cleaned_review", "translated_review"})):
+        with Workspace(spark) as space:
+            done = job.run(rows, lexicon_scorer(), translator, space=space)
+            stored = space._cached[0]
+            assert {c for c in stored.columns if c.endswith("_review")} == {"original_review", *texts}
+            found = done.scored.orderBy("review_id").collect()
+        assert done.scored.columns == [
+            "review_id", "model", "original_review", "cleaned_review", "translated_review", "final_review", "norm_review",
+            "sentiment_score", "sentiment_label",
+        ]
+        said = "GOOD PHONE" if translator else "good phone"
+        assert [r["final_review"] for r in found] == [f"{said} {i // 2}" if i % 2 == 0 else None for i in range(6)]
+        assert [r["translated_review"] for r in found] == [f"{said} {i // 2}" for i in range(6)]
+        assert [r["norm_review"] for r in found] == [f"good phone {i // 2}" for i in range(6)]
+        assert [r["sentiment_label"] for r in found] == ["Positive" if i % 2 == 0 else None for i in range(6)]
