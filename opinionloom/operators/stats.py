@@ -72,11 +72,17 @@ def top_keywords_sketched(reviews, keys, n=6, text="final_review", tracked=10000
 
 def _counted(used, keys):
     """The place is one number, not a struct, so that Spark can keep the groups in a hash table and combine them before
-    the shuffle."""
-    place = F.col("review_id").cast("decimal(19,0)") * F.lit(POSITIONS).cast("decimal(10,0)") + F.col("pos")
-    return used.groupBy(*keys, "word").agg(
-        F.count("*").alias("uses"), F.min(place.cast("decimal(38,0)")).alias("first_place")
+    the shuffle.  It is a BIGINT for the ids with which it fits into one, which costs far less than a decimal."""
+    number = F.col("review_id")
+    fits = number.between(-POSITIONS, POSITIONS - 1)
+    large = (number.cast("decimal(19,0)") * F.lit(POSITIONS).cast("decimal(10,0)") + F.col("pos")).cast("decimal(38,0)")
+    counted = used.groupBy(*keys, "word").agg(
+        F.count("*").alias("uses"),
+        F.min(F.when(fits, number.cast("bigint") * F.lit(POSITIONS) + F.col("pos"))).alias("_near"),
+        F.min(F.when(~fits, large)).alias("_far"),
     )
+    first = F.least(F.col("_near").cast("decimal(38,0)"), F.col("_far"))
+    return counted.select(*keys, "word", "uses", first.alias("first_place"))
 
 
 def _same(keys, left, right):

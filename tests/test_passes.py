@@ -86,3 +86,15 @@ def test_a_run_stores_each_text_once(spark):
         assert [r["translated_review"] for r in found] == [f"{said} {i // 2}" for i in range(6)]
         assert [r["norm_review"] for r in found] == [f"good phone {i // 2}" for i in range(6)]
         assert [r["sentiment_label"] for r in found] == ["Positive" if i % 2 == 0 else None for i in range(6)]
+
+
+def test_places_of_keywords_are_decimals_only_for_large_ids(spark):
+    ids = [0, 5, -7, 2**31 - 1, 2**31, -(2**31), -(2**31) - 1, 2**62, -(2**63), 2**63 - 1]
+    rows = spark.createDataFrame([(i, f"w{n % 3}ord sturdy item{n}") for n, i in enumerate(ids)], "review_id long, final_review string")
+    found = stats.keyword_counts(rows)
+    assert "min(cast(" not in plan_of(found)
+    want = {}
+    for n, i in enumerate(ids):
+        for pos, word in enumerate([f"w{n % 3}ord", "sturdy", f"item{n}"]):
+            want.setdefault(word, []).append(i * stats.POSITIONS + pos)
+    assert {r["word"]: (r["uses"], int(r["first_place"])) for r in found.collect()} == {w: (len(p), min(p)) for w, p in want.items()}
