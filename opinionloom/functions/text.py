@@ -34,6 +34,9 @@ NOT_ALNUM = r"[\P{L}&&\P{N}]+"
 CLAUSE_END = rf"[.!?]|(?=[bhtBHT])(?<![{WORD}])(?i:but|however|though)(?![{WORD}])"
 SENTENCE_END = rf"([.!?])[{SPACE}]+"
 
+# All that ``clean_text`` leaves besides letters and digits.
+CLEAN_SIGNS = " ,._"
+
 
 def clean_text(text):
     """Drop links, tags and symbols, squeeze white space and runs of dots; NULL becomes ''."""
@@ -60,8 +63,12 @@ def trim_space(text):
 
 
 def is_meaningless(text, filler=vocab.FILLER_WORDS, min_letters=vocab.MIN_LETTERS,
-                   min_alnum_share=vocab.MIN_ALNUM_SHARE):
-    """True for a missing or blank text, only filler words, too few letters or too many symbols."""
+                   min_alnum_share=vocab.MIN_ALNUM_SHARE, signs=None):
+    """True for a missing or blank text, only filler words, too few letters or too many symbols.
+
+    ``signs`` names the ASCII characters besides letters and digits that the text can hold, if no others can be in it; then
+    they are counted without a regular expression.
+    """
     lowered = F.lower(text)
     # Only a text made of filler letters is worth splitting into tokens.
     filler_letters = "".join(sorted(set("".join(filler))))
@@ -70,7 +77,12 @@ def is_meaningless(text, filler=vocab.FILLER_WORDS, min_letters=vocab.MIN_LETTER
         F.size(F.array_except(tokens, F.array(*[F.lit(w) for w in (*filler, "")]))) == 0
     )
     enough_letters = text.rlike(r"\p{L}[^\p{L}]*+" * min_letters)
-    alnum_share = F.try_divide(F.length(F.regexp_replace(text, NOT_ALNUM, "")), F.length(text))
+    if signs is None:
+        alnum = F.length(F.regexp_replace(text, NOT_ALNUM, ""))
+    else:
+        alnum_only = reduce(lambda value, sign: F.replace(value, F.lit(sign), F.lit("")), signs, text)
+        alnum = F.length(text) - (F.octet_length(text) - F.octet_length(alnum_only))
+    alnum_share = F.try_divide(alnum, F.length(text))
     return F.coalesce(only_filler | ~enough_letters | (alnum_share < min_alnum_share), F.lit(True))
 
 

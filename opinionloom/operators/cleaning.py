@@ -92,4 +92,5 @@ def _by_distinct_text(keyed, group):
 
 
 def _null_if_meaningless(text):
-    return F.when(~txt.is_meaningless(text), text)
+    """A text that ``clean_text`` made, or NULL."""
+    return F.when(~txt.is_meaningless(text, signs=txt.CLEAN_SIGNS), text)

@@ -98,3 +98,13 @@ def test_places_of_keywords_are_decimals_only_for_large_ids(spark):
         for pos, word in enumerate([f"w{n % 3}ord", "sturdy", f"item{n}"]):
             want.setdefault(word, []).append(i * stats.POSITIONS + pos)
     assert {r["word"]: (r["uses"], int(r["first_place"])) for r in found.collect()} == {w: (len(p), min(p)) for w, p in want.items()}
+
+
+def test_cleaned_texts_are_judged_without_their_letters_being_cut_out(spark):
+    texts = ["good phone", "a.b", "...,,,...,,,abc", "._,abc__", "1,2.3", "a_b_c_d_e", "größe 日本 😀", "lol ok", "", None, "a  b\u2003c", ". . . . . . . . abc", "x" * 9 + "." * 21]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("c", txt.clean_text(F.col("t")))
+    judged = frame.select("c", txt.is_meaningless(F.col("c")).alias("a"), txt.is_meaningless(F.col("c"), signs=txt.CLEAN_SIGNS).alias("b"))
+    rows = judged.collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and {r["a"] for r in rows} == {True, False}
+    plan = plan_of(cleaning.preprocess_reviews(frame.select(F.col("t").alias("original_review"))))
+    assert txt.NOT_ALNUM not in plan
