@@ -14,7 +14,7 @@ from opinionloom.operators.training import train_classifier, training_set
 from opinionloom.operators.vectors import embed_reviews
 from opinionloom.sources.keyed import upsert_keyed
 from opinionloom.sources.readers import quoted
-from opinionloom.sources.shared import cached, workspace
+from opinionloom.sources.shared import cached, kept, workspace
 from opinionloom.sources.writers import write_markdown, write_results, write_table
 
 
@@ -169,10 +169,16 @@ class UploadedAnalysis:
 
 
 def publish_summaries(aspects, path):
-    """Summarise the aspect rows of every model and upsert the summaries into the keyed table."""
-    return upsert_keyed(business_summaries(aspect_shares(aspects)), path, ["model"])
+    """Summarise the aspect rows of every model and upsert the summaries into the keyed table.
+
+    An upsert reads its updates more than once, so the summaries (one row per model) are written in between.
+    """
+    return upsert_keyed(kept(business_summaries(aspect_shares(aspects)), "summaries"), path, ["model"])
 
 
 def publish_embeddings(scored, path, embedder=None):
-    """Embed the scored reviews and upsert the documents into the keyed table."""
-    return upsert_keyed(embed_reviews(scored, embedder), path, ["original_index", "model"])
+    """Embed the scored reviews, once, and upsert the documents into the keyed table."""
+    documents = cached(embed_reviews(scored, embedder))
+    version = upsert_keyed(documents, path, ["original_index", "model"])
+    documents.unpersist()
+    return version

@@ -108,3 +108,22 @@ def test_cleaned_texts_are_judged_without_their_letters_being_cut_out(spark):
     assert [r["a"] for r in rows] == [r["b"] for r in rows] and {r["a"] for r in rows} == {True, False}
     plan = plan_of(cleaning.preprocess_reviews(frame.select(F.col("t").alias("original_review"))))
     assert txt.NOT_ALNUM not in plan
+
+
+def test_summaries_are_made_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"a{i % 3}", "Positive", f"m{i % 4}") for i in range(60)], "aspect string, label string, model_name string")
+    rows, seen = counted(spark, rows, "aspect")
+    job.publish_summaries(rows, str(tmp_path / "summaries"))
+    assert seen.value == 60
+
+
+def test_embeddings_are_made_once(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def embed(text):
+        calls.add(1)
+        return [1.0, 2.0]
+
+    rows = spark.createDataFrame([(i, "m", f"good phone {i}", "Positive", 5.0) for i in range(30)], "review_id long, model string, final_review string, sentiment_label string, sentiment_score double")
+    job.publish_embeddings(rows, str(tmp_path / "vectors"), F.udf(embed, "array<float>").asNondeterministic())
+    assert calls.value == 30
