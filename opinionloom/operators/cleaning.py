@@ -17,7 +17,7 @@ def preprocess_reviews(reviews, text="original_review"):
 
 
 def translate_reviews(reviews, translator=None, lang="lang", detector=None):
-    """Add ``translated_review`` and ``final_review``.
+    """Add ``translated_review`` and ``final_review`` to reviews that ``preprocess_reviews`` has cleaned.
 
     ``translator`` maps a text Column to a Column; it sees only the texts whose language calls
     for it, and NULL otherwise, so one pass serves all rows.  The language is what ``detector`` (a function from
@@ -36,11 +36,13 @@ def translate_reviews(reviews, translator=None, lang="lang", detector=None):
         language = None if lang is None else F.col(lang)
     foreign = F.lit(True) if language is None else F.coalesce(~language.isin(*NO_TRANSLATION), F.lit(False))
     translated = reviews.withColumn("_translation", translator(F.when(foreign, cleaned)))
-    recleaned = translated.withColumn(
-        "translated_review", txt.clean_text(F.coalesce(F.col("_translation"), cleaned))
-    )
+    # A cleaned text is the same when it is cleaned again, unless dropping symbols has put a link together.
+    link = cleaned.contains("http") | cleaned.contains("www.")
+    same = F.coalesce(F.col("_translation").isNull() & ~link, F.lit(False))
+    again, text = txt.clean_text(F.coalesce(F.col("_translation"), cleaned)), F.col("translated_review")
+    recleaned = translated.withColumn("translated_review", F.when(same, cleaned).otherwise(again))
     return (
-        recleaned.withColumn("translated_review", _null_if_meaningless(F.col("translated_review")))
+        recleaned.withColumn("translated_review", F.when(same, text).otherwise(_null_if_meaningless(text)))
         .withColumn("final_review", F.col("translated_review"))
         .drop("_translation", "_language")
     )

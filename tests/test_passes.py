@@ -127,3 +127,20 @@ def test_embeddings_are_made_once(spark, tmp_path):
     rows = spark.createDataFrame([(i, "m", f"good phone {i}", "Positive", 5.0) for i in range(30)], "review_id long, model string, final_review string, sentiment_label string, sentiment_score double")
     job.publish_embeddings(rows, str(tmp_path / "vectors"), F.udf(embed, "array<float>").asNondeterministic())
     assert calls.value == 30
+
+
+def test_only_translated_texts_are_cleaned_again(spark, monkeypatch):
+    texts = ["good phone", "bon phone", "htt#p://x.y z", "ww#w.x y good phone", "", None, "lol", "a <b> c... d", "!?"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "review_id int, original_review string")
+    prepared = cleaning.preprocess_reviews(rows)
+
+    def bon(text):
+        return F.when(text.contains("bon"), F.concat(text, F.lit(" !!")))
+
+    done = cleaning.translate_reviews(prepared, bon, lang=None).orderBy("review_id").collect()
+    # A link that was broken by a symbol is dropped by the second cleaning.
+    assert [r["translated_review"] for r in done] == ["good phone", "bon phone", None, "y good phone", None, None, None, "a c. d", None]
+    known = cleaning.translate_reviews(prepared.where("review_id in (0, 7)"), bon, lang=None)
+    monkeypatch.setattr(txt, "clean_text", lambda text: F.raise_error(F.lit("cleaned again")).cast("string"))
+    again = cleaning.translate_reviews(prepared.where("review_id in (0, 7)"), bon, lang=None)
+    assert sorted(map(str, again.collect())) == sorted(map(str, known.collect()))
