@@ -100,6 +100,21 @@ def test_tables(spark):
     assert [r["n_removed"] for r in suffixes.drop_repeats(twice, keep="first").collect()] == [0, 0]
 
 
+def test_passages_around_the_length(spark):
+    """Passages of over 50 words, planted in unlike documents: whole ones of 400 bytes or more go, shorter ones stay."""
+    texts, want = [], []
+    for k, size in enumerate((300, 350, 394, 399, 400, 401, 450, 500)):
+        passage = "é" + " ".join(w[:4] for w in prose(600 + k, 200).split())[: size - 2]
+        assert len(passage.encode()) == size and len(passage.split()) > 50
+        for i in range(3):
+            # The digits beside it end what the documents share.
+            texts.append(f"{prose(700 + 10 * k + i, 30 + 20 * i)} {i}{passage}{i} {prose(800 + 10 * k + i, 90)}")
+            want.append((size, 1) if size >= 400 else (0, 0))
+    rows = suffixes.drop_repeats(table(spark, texts).repartition(3)).collect()
+    check(rows, texts, 400)
+    assert [(r["n_removed"], r["n_spans"]) for r in sorted(rows, key=lambda r: r["doc_id"])] == want
+
+
 @pytest.mark.parametrize("keep", ["none", "first"])
 def test_names_with_many_bytes_are_spread(spark, monkeypatch, keep):
     """Periodic texts of one phrase share a name: few stretches, many bytes."""
