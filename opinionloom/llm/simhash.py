@@ -11,8 +11,6 @@ from .common import as_bytes, quoted, small_batches
 
 #: Most members of a bucket that one task compares with each other; larger ones are split by more masks.
 BUCKET = 4096
-#: Rounds in which chains of links must come together; each halves them at least.
-ROUNDS = 60
 
 
 def _fingerprint(text, width):
@@ -151,7 +149,8 @@ def components(links):
     """(node, root) for the nodes of the links: the smallest node that each is joined with.
 
     Links turn towards smaller nodes in two alternating steps (every node's larger neighbours, then its smaller ones, go
-    to its smallest), which takes a number of rounds that grows with the logarithm of the longest chain.
+    to its smallest), which takes a number of rounds that grows with the logarithm of the longest chain.  Each step keeps what
+    is joined joined and makes the sum of the links' nodes smaller unless all are tied to their root, so the rounds end by themselves.
     """
 
     def turned(pairs, larger):
@@ -164,7 +163,7 @@ def components(links):
 
     links = kept(links.select(F.col("b").alias("u"), F.col("a").alias("v")), "links")
     state = None
-    for _ in range(ROUNDS):
+    while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         big = turned(both, True).distinct()
         small = turned(big, False).distinct()
@@ -173,7 +172,6 @@ def components(links):
         if now == state:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
-    raise RuntimeError("links did not come together")
 
 
 def near_duplicates(docs, text="text", key="doc_id", width=3, radius=3, most=BUCKET):

@@ -77,6 +77,15 @@ def test_long_chain_comes_together(spark):
     assert found == {x: 0 for x in range(1, 500)}
 
 
+def test_no_number_of_rounds_ends_the_joining(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "ROUNDS", 2, raising=False)
+    ids = list(range(-100, 100))
+    random.Random(3).shuffle(ids)
+    links = [(min(a, b), max(a, b)) for chain in (ids[:150], ids[150:]) for a, b in zip(chain, chain[1:])]
+    found = dict(simhash.components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert found == {x: min(chain) for chain in (ids[:150], ids[150:]) for x in chain if x != min(chain)}
+
+
 def test_groups_and_survivors(spark):
     texts = awkward()
     docs = table(spark, texts)
