@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from opinionloom.functions import text as txt
 
 NO_TRANSLATION = ("en", "unknown")
+# Bytes of bitmaps of review ids (see ``with_first_sent``) that are sent to all tasks, and of one bitmap.
+IDS_SENT, BITMAP = 64 << 20, 4096
 
 
 def preprocess_reviews(reviews, text="original_review"):
@@ -66,9 +68,34 @@ def mark_repeats(reviews, group=("model",), text="final_review"):
 
 def with_first(reviews, group=("model",), text="final_review"):
     """Add ``_first``, which is true for the first review of each normalised text of a group and NULL for others."""
+    return reviews.join(_first_ids(reviews, group, text).withColumn("_first", F.lit(True)), "review_id", "left")
+
+
+def with_first_sent(reviews, keep, group=("model",), text="final_review"):
+    """The rows of ``with_first``, computed now, with the texts left in place where the ids allow it.
+
+    ``reviews`` are read twice, so they had better be cheap to make again.  The ids of the first reviews become bitmaps of
+    32,768 ids each, a bit for an id, which ``keep`` stores and all tasks get.  Ids that lie so far apart that these are over ``IDS_SENT``
+    bytes, or that are given twice, are joined as in ``with_first``.
+    """
+    first = _first_ids(reviews, group, text).where(F.col("review_id").isNotNull())
+    number = F.col("review_id").cast("bigint")
+    maps = keep(first.groupBy(F.bitmap_bucket_number(number).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("_bits"), F.count("*").alias("_ids")
+    ))
+    size = maps.agg(F.count("*").alias("n"), F.count_if(F.bitmap_count("_bits") < F.col("_ids")).alias("twice")).first()
+    if size["n"] * BITMAP > IDS_SENT or size["twice"]:
+        return with_first(reviews, group, text)
+    joined = reviews.withColumn("_bucket", F.bitmap_bucket_number(number)).join(F.broadcast(maps.drop("_ids")), "_bucket", "left")
+    place = F.bitmap_bit_position(number).cast("int")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    return joined.withColumn("_first", F.when(F.getbit(byte, place % 8) == 1, True)).drop("_bucket", "_bits")
+
+
+def _first_ids(reviews, group, text):
+    """The id of the first review of each normalised text of a group."""
     keyed = reviews.select("review_id", *group, txt.normalise_review(F.col(text)).alias("norm_review"))
-    first = _by_distinct_text(keyed, group).agg(F.min("review_id").alias("review_id"))
-    return reviews.join(first.select("review_id", F.lit(True).alias("_first")), "review_id", "left")
+    return _by_distinct_text(keyed, group).agg(F.min("review_id").alias("review_id")).select("review_id")
 
 
 def quality_report(reviews, group=("model",)):

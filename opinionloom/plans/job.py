@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from opinionloom.functions.text import normalise_review
 from opinionloom.operators.aspects import aspect_pivot, aspect_rows, clause_aspects
-from opinionloom.operators.cleaning import preprocess_reviews, translate_reviews, with_first
+from opinionloom.operators.cleaning import preprocess_reviews, translate_reviews, with_first, with_first_sent
 from opinionloom.operators.evidence import aspect_shares, business_summaries
 from opinionloom.operators.report import feedback_report, markdown_full, markdown_sections
 from opinionloom.operators.scoring import score_overall, score_reviews
@@ -15,7 +15,7 @@ from opinionloom.operators.vectors import embed_reviews
 from opinionloom.sources.keyed import upsert_keyed
 from opinionloom.sources.readers import quoted
 from opinionloom.sources.shared import cached, kept, workspace
-from opinionloom.sources.writers import write_markdown, write_results, write_table
+from opinionloom.sources.writers import SMALL, write_markdown, write_results, write_table
 
 
 # True for the first review of each text of a model, in the tables inside of a run.
@@ -59,9 +59,12 @@ def _scored_once(space, final, text, score):
 
     These are made again when they are read, so each text is stored once and not up to four times.
     """
-    scored = score(final)
+    return _stored_once(score(final), text, space.cached)
+
+
+def _stored_once(scored, text, store):
     made = {name: column for name, column in _made(text).items() if name != text}
-    stored = space.cached(scored.drop(*made))
+    stored = store(scored.drop(*made))
     return stored.select(*[made[c].alias(c) if c in made else F.col(quoted(c)) for c in scored.columns])
 
 
@@ -82,10 +85,15 @@ class Run:
     What several results start from is stored at its first use; ``close`` forgets it and deletes what was
     written in between.  ``quality`` has the counts of ``cleaning.quality_report`` once ``write`` has run: they are taken
     while the scored reviews are written, without a job of their own.  It stays None if ``scored`` lacks ``_first``.
+
+    ``afresh`` gives the rows of ``scored`` once more, for ``write``, if they need not be stored for that: what is written first is what
+    the other tables are made from.
     """
 
-    def __init__(self, scored, denominator="labelled", space=None):
+    def __init__(self, scored, denominator="labelled", space=None, afresh=None):
         self.space = space or workspace(scored.sparkSession)
+        self.denominator = denominator
+        self.afresh = afresh
         self.marked = scored
         self.scored = scored.drop(FIRST)
         self.quality = None
@@ -99,11 +107,22 @@ class Run:
 
     def write(self, folder, format="parquet"):
         """Write the tables and both Markdown reports; statistics in order of first appearance."""
-        seen = Observation("quality") if FIRST in self.marked.columns else None
-        paths = write_results(
-            folder, self.marked.observe(seen, *_quality_counts()).drop(FIRST) if seen else self.scored, self.stats.orderBy("first_review").drop("first_review"),
-            self.feedback.orderBy("first_review").drop("first_review"), self.aspects, format,
-        )
+        marked = self.afresh() if self.afresh else self.marked
+        seen = Observation("quality") if FIRST in marked.columns else None
+        observed = marked.observe(seen, *_quality_counts()) if seen else marked
+        if self.afresh and format != "parquet":
+            # Text files do not give back what was written, nulls and empty texts for example.
+            observed = _stored_once(observed, _text(None), lambda rows: self.space.kept(rows, "scored", **SMALL["parquet"]))
+
+        def derived(path):
+            if self.afresh:
+                scored = observed.drop(FIRST) if format != "parquet" else self.space.spark.read.parquet(path)
+                self.stats = self.space.kept(model_stats(scored, self.denominator, stored=True), "stats")
+                self.feedback = feedback_report(self.stats)
+            in_order = [table.orderBy("first_review").drop("first_review") for table in (self.stats, self.feedback)]
+            return *in_order, aspect_rows(scored) if self.afresh else self.aspects
+
+        paths = write_results(folder, observed.drop(FIRST), derived, format)
         for name, report in (
             ("manufacturer_recommendations", markdown_full(self.feedback)),
             ("manufacturer_sections", markdown_sections(self.feedback)),
@@ -133,8 +152,16 @@ def run(reviews, scorer=None, translator=None, denominator="labelled", lang=None
     several results, so they are stored once, in the workspace ``space`` (by default the application's).
     """
     space = space or workspace(reviews.sparkSession)
-    final = final_reviews(reviews, translator, lang=lang, detector=detector, with_mark=True)
-    return Run(_scored_once(space, final, _text(translator), lambda rows: score_reviews(rows, scorer)), denominator, space)
+
+    def score(rows):
+        return score_reviews(rows, scorer)
+
+    def afresh():
+        return score(with_first_sent(preprocess_reviews(reviews), space.kept, text=_text(None)).withColumns(_made(_text(None))))
+
+    # A translator is too costly to see a text twice, so its texts are stored; others are cleaned again.
+    final = final_reviews(reviews, translator, translator is not None, lang=lang, detector=detector, with_mark=True)
+    return Run(_scored_once(space, final, _text(translator), score), denominator, space, afresh if translator is None else None)
 
 
 def run_twice(reviews, scorer=None, translator=None, denominator="labelled", lang=None, detector=None, **training):

@@ -1,5 +1,6 @@
 """How often costly inputs are computed."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from opinionloom.functions import language
@@ -7,6 +8,7 @@ from opinionloom.functions import text as txt
 from opinionloom.functions.scorers import lexicon_scorer
 from opinionloom.operators import cleaning, lookup, stats, training
 from opinionloom.plans import job, queries
+from opinionloom.sources import readers
 from opinionloom.sources.shared import Workspace
 
 
@@ -88,6 +90,56 @@ def test_a_run_stores_each_text_once(spark):
         assert [r["sentiment_label"] for r in found] == ["Positive" if i % 2 == 0 else None for i in range(6)]
 
 
+@pytest.mark.parametrize("format, ending", [("parquet", ".zstd.parquet"), ("csv", ".csv.gz")])
+def test_a_written_run_keeps_no_texts_on_the_executors(spark, tmp_path, format, ending):
+    texts = ["good camera", "GOOD camera", "bad price <b>x</b>, poor", None, "", "ok", 'a "quoted", good\nline']
+    rows = spark.createDataFrame([(i, f"m{i % 3}", t, "x") for i, t in enumerate(texts * 3)], "review_id long, model string, original_review string, lang string")
+    info = spark.sparkContext._jsc.sc().getRDDStorageInfo
+    spark.catalog.clearCache()
+    with Workspace(spark) as space:
+        done = job.run(rows, lexicon_scorer(), space=space)
+        lazy = [sorted(map(str, table.collect())) for table in (done.scored, done.stats, done.feedback, done.aspects)]
+    spark.catalog.clearCache()
+    with Workspace(spark) as space:
+        done = job.run(rows, lexicon_scorer(), space=space)
+        paths = done.write(str(tmp_path), format)
+        assert not [x for x in info() if x.diskSize() or x.memSize()]
+        assert [sorted(map(str, table.collect())) for table in (done.stats, done.feedback)] == lazy[1:3]
+        if format == "parquet":
+            assert sorted(map(str, spark.read.parquet(paths["sentiment_output"]).collect())) == lazy[0]
+            assert sorted(map(str, spark.read.parquet(paths["absa_training_dataset"]).collect())) == lazy[3]
+        again, _ = readers.load_scored(spark, paths["sentiment_output"], paths["absa_training_dataset"])
+        assert {r["review_id"]: r["sentiment_label"] for r in again.collect()} == {r["review_id"]: r["sentiment_label"] for r in done.scored.collect()}
+    assert all(p.name.endswith(ending) for p in tmp_path.glob("sentiment_output*/part-*"))
+
+
+@pytest.mark.parametrize("sent", [cleaning.IDS_SENT, 0])
+def test_first_reviews_are_found_without_moving_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(cleaning, "IDS_SENT", sent)
+    ids = [0, 1, 7, 8, -1, -8, -32768, 32768, 32769, 2**40, 2**63 - 1, -(2**63), 5, 6, None, None]
+    rows = [(x, f"m{n % 2}", [None, "Same ", "same", f"own {n % 7}"][n % 4]) for n, x in enumerate(ids)]
+    for given in (rows, rows + rows, [*rows, (5, "m0", "another text"), (5, "m1", "one more")], rows[:0]):
+        frame = spark.createDataFrame(given, "review_id long, model string, t string")
+        with Workspace(spark) as space:
+            found = cleaning.with_first_sent(frame, space.kept, text="t")
+            assert found.columns == [*frame.columns, "_first"]
+            assert sorted(map(str, found.collect())) == sorted(map(str, cleaning.with_first(frame, text="t").collect()))
+            moved = [line for line in plan_of(found).splitlines() if "Exchange" in line and "t#" in line]
+            assert sent == 0 or len(given) == len(rows) + 2 or not moved
+
+
+def test_statistics_of_stored_reviews_are_the_same(spark, monkeypatch):
+    rows = [(i, f"m{i % 3}" if i % 11 else None, " ".join(f"word{i * j % (5 + j)}" for j in range(1, 9)), i % 5 + 1.0, ["Positive", "Negative", "Neutral", None][i % 4]) for i in range(300)]
+    frame = spark.createDataFrame(rows, "review_id long, model string, final_review string, sentiment_score double, sentiment_label string")
+    known = sorted(map(str, stats.model_stats(frame).collect()))
+    counted = []
+    sketched = stats.top_keywords_sketched
+    monkeypatch.setattr(stats, "top_keywords_sketched", lambda *a, **b: counted.append(b) or sketched(*a, **b))
+    assert sorted(map(str, stats.model_stats(frame, stored=True).collect())) == known and len(counted) == 1
+    monkeypatch.setattr(stats, "GROUPS", 3)
+    assert sorted(map(str, stats.model_stats(frame, stored=True).collect())) == known and len(counted) == 1
+
+
 def test_places_of_keywords_are_decimals_only_for_large_ids(spark):
     ids = [0, 5, -7, 2**31 - 1, 2**31, -(2**31), -(2**31) - 1, 2**62, -(2**63), 2**63 - 1]
     rows = spark.createDataFrame([(i, f"w{n % 3}ord sturdy item{n}") for n, i in enumerate(ids)], "review_id long, final_review string")
