@@ -41,6 +41,16 @@ def final_reviews(reviews, translator=None, keep=True, with_original=True, lang=
     return final if with_mark else final.drop(FIRST)
 
 
+def final_texts(reviews, space=None):
+    """The columns ``review_id, model, final_review`` of ``final_reviews``, of which only these texts are made and none are stored.
+
+    The reviews are read now, for their repeats, and again when the result is used.
+    """
+    prepared = preprocess_reviews(reviews).select("review_id", "model", "cleaned_review")
+    marked = with_first_sent(prepared, (space or workspace(reviews.sparkSession)).kept, text="cleaned_review")
+    return marked.select("review_id", "model", F.when(F.col(FIRST), F.col("cleaned_review")).alias("final_review"))
+
+
 def _text(translator):
     """The column that the final texts are made from."""
     return "cleaned_review" if translator is None else "translated_review"

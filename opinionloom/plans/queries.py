@@ -83,6 +83,11 @@ def scored(spark, folder):
     return job.with_known_labels(final(spark, folder), known_labels(spark, folder))
 
 
+def known_texts(spark, folder):
+    """The texts and labels of ``scored``, stored."""
+    return kept(job.with_known_labels(job.final_texts(reviews(spark, folder)), known_labels(spark, folder)), "scored")
+
+
 def word_scorer():
     return lexicon_scorer(GOOD_WORDS, BAD_WORDS)
 
@@ -682,10 +687,10 @@ def stored_results(spark, folder):
 @query
 def retrained_stats(spark, folder):
     """Every review with a text has a label of the new classifier; the labels are its own."""
-    first = cached(scored(spark, folder))
+    first = known_texts(spark, folder)
     classifier, _ = training.train_classifier(training.training_set(aspects.aspect_rows(first, TERMS)))
     rescored = classifier.score_reviews(first.drop("sentiment_score", "sentiment_label"))
-    figures = stats.model_stats(cached(rescored))
+    figures = stats.model_stats(kept(rescored, "rescored"), stored=True)
     whole = F.round(F.col("pct_positive") + F.col("pct_negative") + F.col("pct_neutral")).cast("int")
     return figures.select("model", "total_reviews", "valid_cleaned_reviews", whole.alias("percent"), "first_review")
 

@@ -3,10 +3,12 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import IDF
 from pyspark.sql import functions as F
 
 from opinionloom.functions.scorers import batch_translator, lexicon_scorer
-from opinionloom.operators import cleaning, lookup, training, vectors
+from opinionloom.operators import cleaning, lookup, softmax, training, vectors
 from opinionloom.operators.aspects import vocabulary_matches
 from opinionloom.operators.upsert import find_one, upsert
 from opinionloom.plans import job
@@ -330,6 +332,32 @@ def test_training_learns_and_rescoring_works(spark, tmp_path):
     assert {r["review_id"]: r["sentiment_label"] for r in loaded.score_reviews(again).collect()} == labels
 
 
+@pytest.mark.parametrize("labels, dimensions", [(["Positive", "Negative", "Neutral"], 2**6), (["Negative", "Neutral"], 2**17), (["Neutral"], 2**6)])
+def test_classifier_is_that_of_the_library(spark, monkeypatch, labels, dimensions):
+    rows = [(" ".join(f"w{i * j % (7 + j)}" for j in range(i % 6)), f"a{i % 3}", labels[i % 7 % len(labels)], "m", i, 0, 0) for i in range(400)]
+    split = training.training_set(spark.createDataFrame(rows, "text string, aspect string, label string, model_name string, review_id bigint, sent_pos int, aspect_ord int"))
+    penalties, passes, losses = (0.0, 0.05, 0.3), [], softmax.Blocks.losses
+    monkeypatch.setattr(softmax.Blocks, "losses", lambda self, tables, offsets: passes.append(len(tables)) or losses(self, tables, offsets))
+    classifier, metrics = training.train_classifier(split, dimensions, penalties, 6)
+    # A pass serves all penalties that are not done.
+    assert len(passes) < sum(passes) or len(labels) == 1
+    hashing, weights = classifier.features.stages
+    counted = hashing.transform(training.with_tokens(split))
+    train = counted.where("split = 'train'")
+    own = IDF(inputCol="_counts", outputCol="_features").fit(train)
+    assert np.allclose(weights.idf.toArray(), own.idf.toArray()) and list(weights.docFreq) == list(own.docFreq) and weights.numDocs == own.numDocs
+    found = []
+    for penalty in penalties:
+        step = LogisticRegression(featuresCol="_features", labelCol="label_id", regParam=penalty, maxIter=6, family="multinomial")
+        model = step.fit(own.transform(train))
+        score = training.classification_metrics(model.transform(own.transform(counted.where("split = 'validation'"))), "label_id", "prediction").first()
+        found.append((score["f1"], -penalty, model, score))
+    _, _, model, score = max(found, key=lambda x: x[:2])
+    assert np.allclose(classifier.model.coefficientMatrix.toArray(), model.coefficientMatrix.toArray(), atol=1e-6)
+    assert np.allclose(classifier.model.interceptVector.toArray(), model.interceptVector.toArray(), atol=1e-6)
+    assert np.allclose(list(metrics.first()), list(score))
+
+
 def stored_vectors(spark):
     rng = np.random.default_rng(3)
     data = rng.normal(size=(400, 8))
