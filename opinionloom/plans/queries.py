@@ -491,7 +491,8 @@ def classifier_metrics(spark, folder):
 @query
 def train_classifier(spark, folder):
     """Rows and predictions by split and label; how good these are is for the metrics to say."""
-    rows = cached(training.training_set(absa(spark, folder)))
+    rows = training.training_set(aspects.aspect_rows(known_texts(spark, folder), TERMS))
+    rows = kept(rows.select("text", "aspect", "label", "label_id", "split"), "training")
     classifier, _ = training.train_classifier(rows)
     path = shared_folder(spark, "classifier")
     classifier.save(path)
