@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 import pytest
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF
 from pyspark.sql import functions as F
 
@@ -333,7 +333,7 @@ def test_training_learns_and_rescoring_works(spark, tmp_path):
 
 
 @pytest.mark.parametrize("labels, dimensions", [(["Positive", "Negative", "Neutral"], 2**6), (["Negative", "Neutral"], 2**17), (["Neutral"], 2**6)])
-def test_classifier_is_that_of_the_library(spark, monkeypatch, labels, dimensions):
+def test_classifier_is_that_of_the_library(spark, tmp_path, monkeypatch, labels, dimensions):
     rows = [(" ".join(f"w{i * j % (7 + j)}" for j in range(i % 6)), f"a{i % 3}", labels[i % 7 % len(labels)], "m", i, 0, 0) for i in range(400)]
     split = training.training_set(spark.createDataFrame(rows, "text string, aspect string, label string, model_name string, review_id bigint, sent_pos int, aspect_ord int"))
     penalties, passes, losses = (0.0, 0.05, 0.3), [], softmax.Blocks.losses
@@ -349,7 +349,9 @@ def test_classifier_is_that_of_the_library(spark, monkeypatch, labels, dimension
     found = []
     for penalty in penalties:
         step = LogisticRegression(featuresCol="_features", labelCol="label_id", regParam=penalty, maxIter=6, family="multinomial")
-        model = step.fit(own.transform(train))
+        # Loaded again: a fitted model of two classes holds the session, which cannot be sent to tasks once it has observed something.
+        step.fit(own.transform(train)).write().overwrite().save(str(tmp_path / "model"))
+        model = LogisticRegressionModel.load(str(tmp_path / "model"))
         score = training.classification_metrics(model.transform(own.transform(counted.where("split = 'validation'"))), "label_id", "prediction").first()
         found.append((score["f1"], -penalty, model, score))
     _, _, model, score = max(found, key=lambda x: x[:2])
